@@ -31,8 +31,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 
 
 def filled(column: pa.Array) -> pa.Array:
-    """The column as large strings, nulls as empty texts."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The column as large strings, nulls as empty texts, in memory of its own (some kernels misread slices)."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    moved = column.offset or len(column) and np.frombuffer(column.buffers()[1], np.int64, 1)[0]
+    return column.take(pa.array(np.arange(len(column)))) if moved else column
 
 
 def split_words(column: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -49,12 +51,14 @@ def split_words(column: pa.Array, lower: bool = False) -> tuple[pa.Array, np.nda
     return flat, offsets
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word; each distinct word of the batch is hashed once."""
+def word_hashes(words: pa.Array, strip: str = "") -> np.ndarray:
+    """64-bit hash of each word, without the characters of strip at its ends; each distinct word of the batch is hashed once."""
     if not len(words):
         return np.zeros(0, np.uint64)
     coded = words.dictionary_encode()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    distinct = coded.dictionary.to_pylist()
+    distinct = [w.strip(strip) for w in distinct] if strip else distinct
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     return own[coded.indices.to_numpy()]
 
 
