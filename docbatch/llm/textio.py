@@ -78,7 +78,7 @@ def window_hashes(hashes: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         here = place + j < ends
         rolled = np.zeros(n, np.uint64)
-        rolled[: n - j] = hashes[j:]
+        rolled[: max(n - j, 0)] = hashes[j:]
         total += np.where(here, mix64(rolled + np.uint64(j + 1)) * factor, np.uint64(0))
         factor = factor * np.uint64(0x9E3779B97F4A7C15) if j == 0 else np.uint64((int(factor) * 0x9E3779B97F4A7C15) & (2**64 - 1))
     return mix64(total + np.minimum(ends - place, k).astype(np.uint64))
