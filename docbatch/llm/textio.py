@@ -96,21 +96,29 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself where visible, else from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(b if b in visible else 256 + rest.index(b)) for b in range(256)}
+
+
 class WordTokenizer:
-    """Encodes texts with a tokenizers file, each distinct word once.
+    """Encodes texts with a tokenizers file, each distinct piece once.
 
     ``spaced`` tells how words join: False where the tokenizer drops white
     space, True for byte-level files where a word keeps the one space before
     it.  A text is cut only at places that every match of the tokenizer's
-    split pattern respects, so the ids are those of the whole text.  The memory
-    of known words is bounded by max_words and max_ids.
+    split pattern respects, so the ids are those of the whole text: before a
+    space or line feed after a character that isn't white space, after such a
+    line feed, and between a letter and a full stop or comma.  Pieces of letters
+    go straight to the model, others through the whole tokenizer.  The memory of
+    known pieces is bounded by max_words.
     """
 
-    _ODD = re.compile(r"\s ")
-    _CUT = re.compile(r"(?:(?<=\S)|^)(?: ?\S|\s)(?:(?!(?<=\S) ).)*", re.S)
-    _PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
+    _BYTES = _byte_letters()
 
-    def __init__(self, path: str, spaced: bool, max_words: int = 600_000) -> None:
+    def __init__(self, path: str, spaced: bool, max_words: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.spaced, self.max_words = Tokenizer.from_file(path), spaced, max_words
@@ -123,26 +131,27 @@ class WordTokenizer:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = self.n = 0
-        self.marks: dict[str, list[int]] = {}
 
-    def _mark(self, c: str) -> list[int]:
-        if c not in self.marks:
-            self.marks[c] = self.tok.encode(c, add_special_tokens=False).ids
-        return self.marks[c]
+    def _letters(self, piece: str) -> str | None:
+        """The model's form of a piece that is one word of letters."""
+        if self.spaced:
+            bare = piece[1:] if piece[:1] == " " else piece
+            if not bare.isalpha():
+                return None
+        else:
+            if not piece.isalpha() or not piece.isascii() and (max(piece) >= "\u0250" or "\u0130" in piece):
+                return None
+            piece = piece.lower()
+        return piece.encode().decode("latin-1").translate(self._BYTES)
 
     def _learn(self, words: list[str]) -> None:
         rest, ids = [], {}
         for w in words:
-            bare = w[1:] if self.spaced and w[:1] == " " else w
-            m = self._PLAIN.fullmatch(bare)
-            if m is None:
+            form = self._letters(w)
+            if form is None:
                 rest.append(w)
-                continue
-            stem = m[1] if self.spaced else m[1].lower()
-            if bare is not w:
-                stem = "Ġ" + stem
-            own = [t.id for t in self.model.tokenize(stem)]
-            ids[w] = own + self._mark(m[2]) if m[2] else own
+            else:
+                ids[w] = [t.id for t in self.model.tokenize(form)]
         for at in range(0, len(rest), 2048):
             part = rest[at : at + 2048]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -159,21 +168,21 @@ class WordTokenizer:
             self.places[w] = self.n - 1
 
     def _cut(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        if not self.spaced:
-            return split_words(column)
         column = filled(column)
-        lists = pc.split_pattern(column, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
+        if not self.spaced:
+            column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
+            return split_words(pc.replace_substring_regex(column, r"([A-Za-z])([.,])", r"\1 \2"))
+        odd = np.flatnonzero(pc.match_substring_regex(column, r"\s\s|\x00|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]").to_numpy(zero_copy_only=False))
+        marked = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(pc.replace_substring_regex(marked, r"([A-Za-z])([.,])", "\\1\0\\2"), "\0")
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        flat = lists.flatten()
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        words = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string())))
-        odd = pc.match_substring_regex(column, r"\s |^ ").to_numpy(zero_copy_only=False)
-        if not odd.any():
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        words, offsets = flat.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[offsets]
+        if not len(odd):
             return words, offsets
         parts, own, at = [], [0], 0
-        for i in np.flatnonzero(odd):  # rows with white space before a space are cut by the general rule
+        for i in odd:  # rows with runs of white space, or with rare kinds of it, are cut by the general rule
             parts.append(words.slice(offsets[at], offsets[i] - offsets[at]))
             own.extend(own[-1] + offsets[at + 1 : i + 1] - offsets[at])
             cut = self.cut_text(column[int(i)].as_py())
