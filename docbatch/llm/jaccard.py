@@ -43,7 +43,13 @@ def _node(own: np.ndarray) -> tuple[int, int]:
     return (whole & 2**64 - 1) - 2**63, (whole >> 64) - 2**63
 
 
-_STATS = "doc_id long, n long, node long, check long, key long, times long"
+_STATS = "doc_id long, n long, node long, check long, sketch binary, key long, times long"
+_SKETCH = 256
+
+
+def _sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall to each of 256 classes of hashes, up to 255."""
+    return np.minimum(np.bincount((own & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH), 255).astype(np.uint8).tobytes()
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,13 +61,13 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, times = np.unique(np.concatenate(held), return_counts=True)
         keys, times = keys[times >= _OFTEN], times[times >= _OFTEN]
         none = pa.nulls(len(keys), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys.view(np.int64)), pa.array(times)], names=["doc_id", "n", "node", "check", "key", "times"])
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(times)], names=["doc_id", "n", "node", "check", "sketch", "key", "times"])
 
     for b in slices(batches, "text"):
         sets = shingle_sets(b.column("text"), SHINGLE)
         node, check = zip(*map(_node, sets), strict=True)
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), none, none], names=["doc_id", "n", "node", "check", "key", "times"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(map(_sketch, sets), pa.binary()), none, none], names=["doc_id", "n", "node", "check", "sketch", "key", "times"])
         held += sets
         docs += len(sets)
         if docs >= _COUNTED:
@@ -190,17 +196,33 @@ def _linked() -> Column:
     return F.col("common") * 100 >= F.col("whole") * PERCENT
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches are near enough: their L1 distance bounds the symmetric difference from below."""
+    for b in batches:
+        a, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, _SKETCH).astype(np.int16) for c in ("_sa", "_sb"))
+        gap = np.abs(a - p).sum(axis=1, dtype=np.int64)
+        both = b.column("_a").to_numpy() + b.column("_b").to_numpy()
+        near = (100 + PERCENT) * gap <= (100 - PERCENT) * both
+        yield b.select(["node", "pivot"]).filter(pa.array(near))
+
+
 def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    a, b = nodes.select("node", F.col("n").alias("_a")), nodes.select(F.col("node").alias("pivot"), F.col("n").alias("_b"))
-    return pairs.join(a, "node").join(b, "pivot").where(F.least("_a", "_b") * 100 >= F.greatest("_a", "_b") * PERCENT).select("node", "pivot")
+    """Pairs whose sizes and sketches allow a link.
+
+    A link leaves at most (1 - t) / (1 + t) of both sizes in the symmetric
+    difference, and no map of the sets to counts can lie farther apart.
+    """
+    a = nodes.select("node", F.col("n").alias("_a"), F.col("sketch").alias("_sa"))
+    b = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("_b"), F.col("sketch").alias("_sb"))
+    sized = pairs.join(a, "node").join(b, "pivot").where(F.least("_a", "_b") * 100 >= F.greatest("_a", "_b") * PERCENT)
+    return sized.select("node", "pivot", "_a", "_b", "_sa", "_sb").mapInArrow(_close, "node long, pivot long")
 
 
 def links(texts: DataFrame, few: int = 48, rounds: int = 6, per_salt: int = 20_000, bucket_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes."""
     stats = materialize(texts.mapInArrow(_stats, _STATS), "stats")
-    docs = stats.where("node is not null").select("doc_id", "n", "node", "check")
-    nodes = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+    docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
+    nodes = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     if not nodes.where("low <> high").isEmpty():
         raise ValueError("two different sets share a 64-bit number")
