@@ -44,12 +44,28 @@ def _node(own: np.ndarray) -> tuple[int, int]:
 
 
 _STATS = "doc_id long, n long, node long, check long, sketch binary, key long, times long"
-_SKETCH = 256
+_LEAST = 256
 
 
 def _sketch(own: np.ndarray) -> bytes:
-    """How many shingles fall to each of 256 classes of hashes, up to 255."""
-    return np.minimum(np.bincount((own & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH), 255).astype(np.uint8).tobytes()
+    """How many shingles fall to each class of hashes, up to 255; a power of two classes, a quarter of the shingles or more."""
+    classes = max(_LEAST, 1 << (max(len(own) // 4, 1) - 1).bit_length())
+    return np.minimum(np.bincount((own & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes()
+
+
+def _gap(a: bytes, b: bytes) -> int:
+    """L1 distance of two sketches, the finer one folded to the classes of the other.
+
+    Folding and a common upper bound of counts only bring sketches nearer, so
+    this stays a lower bound of the symmetric difference.
+    """
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    n = min(len(x), len(y))
+    if len(x) == len(y):
+        return int(np.abs(x - y).sum())
+    # a class at its upper bound may hold more, so it proves nothing
+    sure = ((x.reshape(-1, n) < 255).all(axis=0)) & ((y.reshape(-1, n) < 255).all(axis=0))
+    return int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0))[sure].sum())
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +215,7 @@ def _linked() -> Column:
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches are near enough: their L1 distance bounds the symmetric difference from below."""
     for b in batches:
-        a, p = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, _SKETCH).astype(np.int16) for c in ("_sa", "_sb"))
-        gap = np.abs(a - p).sum(axis=1, dtype=np.int64)
+        gap = np.fromiter(map(_gap, b.column("_sa").to_pylist(), b.column("_sb").to_pylist()), np.int64, b.num_rows)
         both = b.column("_a").to_numpy() + b.column("_b").to_numpy()
         near = (100 + PERCENT) * gap <= (100 - PERCENT) * both
         yield b.select(["node", "pivot"]).filter(pa.array(near))

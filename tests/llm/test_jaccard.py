@@ -67,3 +67,17 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = components({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
     assert {r["doc_id"]: r["component_id"] for r in rows(near_duplicates(docs))} == want
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    from docbatch.llm.jaccard import _gap, _sketch
+
+    rng = np.random.default_rng(3)
+    for n, m in ((10, 12), (900, 1500), (5000, 1100), (60_000, 70_000)):
+        whole = rng.integers(0, 2**63, n + m).astype(np.uint64)
+        a, b = np.unique(whole[:n]), np.unique(whole[n // 2 :])
+        assert _gap(_sketch(a), _sketch(b)) <= len(np.setxor1d(a, b)) and _gap(_sketch(a), _sketch(a)) == 0
+    same = (np.arange(1, 400) << 40).astype(np.uint64)  # one class holds more than 255
+    assert _gap(_sketch(same), _sketch(np.concatenate([same, same[-1:] + np.uint64(1 << 40)]))) <= 1
