@@ -68,7 +68,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokenize(path: str, spaced: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 12 << 20, 16_384):
             tok = tokenizer(path, spaced)
             ids, offsets = tok.encode(batch.column("text"))
             kind = "<u2" if max(tok.tok.get_vocab_size(), end_id) < 1 << 16 else "<u4"
