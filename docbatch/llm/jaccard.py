@@ -190,22 +190,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FEW = 300_000  # rows of pairs that may be broadcast, some 15 MB
 
 
-def _measure(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int = 2000) -> DataFrame:
-    """pairs (node, pivot) with the sizes of their intersection and union.
-
-    A document's text is sent once to each pivot it is compared with; a pivot
-    with many of them goes to several tasks.
-    """
-    pairs = materialize(pairs, "pairs")
-    salts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")), "salts")
-    members = pairs.join(salts, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
-    pivots = salts.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    wanted = members.unionByName(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "salt", "member")).alias("at"))
-    wanted = materialize(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
-    few = wanted.agg(F.sum(F.size("at"))).first()[0] or 0
-    sent = texts.join(F.broadcast(wanted) if few <= _FEW else wanted, "doc_id").select("node", "text", F.explode("at").alias("at")).select("node", "at.*", "text")
-    sent = sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
-    return materialize(sent.mapInArrow(_compare, "node long, pivot long, common long, whole long"), "measured")
+def _measure(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (node, pivot) with the sizes of their intersection and union."""
+    return materialize(_sent(texts, nodes, pairs).mapInArrow(_compare, "node long, pivot long, common long, whole long"), "measured")
 
 
 def _linked() -> Column:
@@ -233,7 +220,126 @@ def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("node", "pivot", "_a", "_b", "_sa", "_sb").mapInArrow(_close, "node long, pivot long")
 
 
-def links(texts: DataFrame, few: int = 48, rounds: int = 6, per_salt: int = 20_000, bucket_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def _ranked(own: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Shingles in the global order: rare ones by hash, then common ones by how common they are."""
+    if not len(common):
+        return own
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    often = common[at] == own
+    return np.concatenate([own[~often], own[often][np.argsort(order[at[often]], kind="stable")]])
+
+
+def differences(own: np.ndarray, pivot: np.ndarray, common: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int, int, bool]:
+    """The difference of a set and its pivot in one order, how much of it to post, and whether the two link.
+
+    Let D be the difference, s = (1 - t) / (1 + t).  Sets x and y link when
+    |x ^ y| <= s (|x| + |y|), and |Dx & Dy| = (|Dx| + |Dy| - |x ^ y|) / 2.  If y
+    doesn't link with the pivot p, |Dy| > s (|y| + |p|), so that
+    |Dx & Dy| > (|Dx| + s (|p| - |x|)) / 2: the least common element is in the
+    first `first` of Dx.  If y links with p, |Dy| >= |Dx| - |x ^ y| holds by the
+    triangle inequality, which gives `bound`.  Elements that x has beyond p come
+    first; of them at least t |x| - |x & p| are common.
+    """
+    near, whole = 100 - PERCENT, 100 + PERCENT
+    extra = np.setdiff1d(own, pivot, assume_unique=True)
+    missing = np.setdiff1d(pivot, own, assume_unique=True)
+    n, m, both = len(own), len(pivot), len(own) - len(extra)
+    d = len(extra) + len(missing)
+    linked = both * 100 >= (n + m - both) * PERCENT
+    beyond = (PERCENT * n + 99) // 100 - both
+    first = d - max(1, (whole * d + near * (m - n)) // (2 * whole) + 1) + 1
+    bound = d - max(1, d - near * (PERCENT * n + 100 * min(n, m)) // (whole * PERCENT)) + 1
+    if beyond >= 1:
+        first, bound = min(first, len(extra) - beyond + 1), min(bound, len(extra) - beyond + 1)
+    elements = np.concatenate([_ranked(extra, common, order), _ranked(missing, common, order)[::-1]])
+    # a member that links is at most the radius from the pivot, so its partners are at most two radii away
+    far = both * 100 < (n + m - both) * (2 * PERCENT - 100)
+    return elements, first, 0 if linked or far else bound, linked
+
+
+def _centred(common: np.ndarray, order: np.ndarray, buckets: int):
+    """Postings of differences from the pivot; rows sorted by (pivot, salt, member), as for _compare.
+
+    role 0: members that don't link with the pivot, among themselves; role 1
+    and 2: such members near the boundary, and those that link with the pivot.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, own = None, None
+        for b in slices(batches, "text"):
+            keys, nodes, roles = [], [], []
+
+            def post(elements, node, role, at):
+                with np.errstate(over="ignore"):
+                    keys.append(mix64(elements ^ mix64(np.array([at], np.int64).view(np.uint64)) ^ np.uint64(role > 0)))
+                nodes.append(np.full(len(elements), node, np.int64))
+                roles.append(np.full(len(elements), role, np.int64))
+
+            for s, node, at, member in zip(shingle_sets(b.column("text"), SHINGLE), *(b.column(c).to_pylist() for c in ("node", "pivot", "member")), strict=True):
+                if not member:
+                    pivot, own = at, s
+                    continue
+                if at != pivot:
+                    raise ValueError("a pivot's text is missing")
+                elements, first, bound, linked = differences(s, own, common, order)
+                if linked:
+                    post(elements[:first], node, 2, at)
+                else:
+                    post(elements[:first], node, 0, at)
+                    if bound:
+                        post(elements[:bound], node, 1, at)
+            if keys:
+                keys, nodes, roles = np.concatenate(keys), np.concatenate(nodes), np.concatenate(roles)
+                yield _blobs(keys, nodes, roles, (mix64(keys) % np.uint64(buckets)).astype(np.int64))
+
+    return run
+
+
+def _blobs(keys: np.ndarray, nodes: np.ndarray, roles: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    by = np.argsort(bucket, kind="stable")
+    keys, nodes, roles, bucket = keys[by], nodes[by], roles[by], bucket[by]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.array([], np.int64)
+    offsets = pa.py_buffer((np.append(first, len(keys)) * 8).astype(np.int32))
+    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), blob(keys), blob(nodes), blob(roles)], names=["bucket", "keys", "nodes", "roles"])
+
+
+def _cells(table: pa.Table) -> pa.Table:
+    """The cells of a bucket that can hold a pair: (region, node, role); cells of equal members get one number."""
+    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    keys, nodes, roles = whole("keys", np.uint64), whole("nodes", np.int64), whole("roles", np.int64)
+    by = np.lexsort((nodes, keys))
+    keys, nodes, roles = keys[by], nodes[by], roles[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes, roles = keys[new], nodes[new], roles[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(first, len(keys)))
+    linked, single = np.add.reduceat((roles == 2).astype(np.int64), first), np.add.reduceat((roles == 1).astype(np.int64), first)
+    with np.errstate(over="ignore"):
+        region = np.add.reduceat(mix64(nodes.view(np.uint64) + roles.view(np.uint64)), first).view(np.int64)
+    pick = (sizes > 1) & ((linked + single == 0) | ((linked > 0) & (single > 0)))
+    _, one = np.unique(region, return_index=True)
+    once = np.zeros(len(first), bool)
+    once[one] = True
+    members = np.repeat(pick & once, sizes)
+    return pa.table({"region": pa.array(np.repeat(region, sizes)[members]), "node": pa.array(nodes[members]), "role": pa.array(roles[members])})
+
+
+def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int = 2000) -> DataFrame:
+    """The texts of pairs (node, pivot) beside their pivots' texts, each pivot's first; a pivot with many goes to several tasks."""
+    pairs = materialize(pairs, "pairs")
+    salts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")), "salts")
+    members = pairs.join(salts, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    pivots = salts.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    wanted = members.unionByName(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "salt", "member")).alias("at"))
+    wanted = materialize(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
+    few = wanted.agg(F.sum(F.size("at"))).first()[0] or 0
+    sent = texts.join(F.broadcast(wanted) if few <= _FEW else wanted, "doc_id").select("node", "text", F.explode("at").alias("at")).select("node", "at.*", "text")
+    return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
+
+
+def links(texts: DataFrame, few: int = 16, rounds: int = 5, per_salt: int = 20_000, bucket_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes."""
     stats = materialize(texts.mapInArrow(_stats, _STATS), "stats")
     docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
@@ -252,38 +358,53 @@ def links(texts: DataFrame, few: int = 48, rounds: int = 6, per_salt: int = 20_0
     buckets = max(1024, total // 4 // bucket_rows)
     posted = texts.mapInArrow(_postings(key, order, -(-times // per_salt), buckets), "bucket long, salt long, keys binary, nodes binary")
     regions = posted.groupBy("bucket", "salt").applyInArrow(_regions, "region long, node long, pivot long")
-    # of the parts of a region, and of regions with one number, the smallest pivot is the pivot
-    regions = materialize(regions.distinct(), "parts")
-    pivots = materialize(regions.groupBy("region").agg(F.min("pivot").alias("pivot"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("region", "pivot"), "pivots")
-    regions = materialize(regions.select("region", "node").distinct().join(pivots, "region"), "regions")
-
-    measured = _measure(texts, nodes, _sized(regions.where("node <> pivot").select("node", "pivot").distinct(), nodes))
-    found = measured.where(_linked()).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    comps = components(found)
-    open_ = regions.join(measured.select("node", "pivot", (1 - F.col("common") / F.col("whole")).alias("far")), ["node", "pivot"], "left").where("node <> pivot").select("region", "node", "far")
-    open_ = materialize(open_, "open")
-    for turn in range(rounds):
-        now = materialize(open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
-        state = now.groupBy("region").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("m"), F.max(F.struct(F.coalesce("far", F.lit(2.0)).alias("far"), "node", "comp")).alias("next"))
-        state = materialize(state.where("_a <> _b").select("region", "m", F.col("next.node").alias("pivot"), F.col("next.comp").alias("pivot_comp"), F.col("next.far").alias("pivot_far")), "state")
-        if state.isEmpty():
-            break
-        last = turn == rounds - 1
-        near = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= _RADIUS + 1e-9) | F.col(a).isNull() | (F.col(b) > 1)
-        left = materialize(now.join(state, "region"), "left")
-        small = left.where(F.lit(True) if last else F.col("m") <= few)
-        large = left.where(F.lit(False) if last else F.col("m") > few)
-        other = small.select("region", F.col("node").alias("_n"), F.col("comp").alias("_c"), F.coalesce("far", F.lit(2.0)).alias("_f"))
-        within = small.select("region", "node", "comp", "far").join(other, "region").where((F.col("node") < F.col("_n")) & (F.col("comp") != F.col("_c")) & near("far", "_f")).select("node", F.col("_n").alias("pivot"))
-        star = large.where((F.col("node") != F.col("pivot")) & (F.col("comp") != F.col("pivot_comp")) & near("far", "pivot_far")).select("node", "pivot")
-        measured = _measure(texts, nodes, _sized(within.unionByName(star).distinct(), nodes))
+    regions = materialize(regions.select("region", "node").distinct(), "parts")
+    # a text that others derive from shares all its rare shingles with them, so it lies in more regions than they do
+    size = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    scores = regions.groupBy("node").agg(F.count("*").alias("_r")).join(nodes.select("node", "n"), "node")
+    scores = materialize(scores.select("node", "n", (F.col("_r") * F.col("_r") / size).alias("score")), "scores")
+    open_ = materialize(regions.join(scores, "node").withColumn("role", F.lit(0).cast("long")), "regions")
+
+    comps = nodes.sparkSession.createDataFrame([], "node long, comp long")
+
+    def grow(pairs: DataFrame) -> DataFrame:
+        """Measures pairs; what links goes into the components."""
+        nonlocal comps
+        measured = _measure(texts, nodes, _sized(pairs, nodes))
         more = measured.where(_linked()).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         if not more.isEmpty():
-            found = materialize(found.unionByName(more), "links")
-            comps = components(found)
-        open_ = materialize(large.where("node <> pivot").select("region", "node", "far"), "open")
-        if last or open_.isEmpty():
+            comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        return measured
+
+    sizes = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+    for turn in range(rounds):
+        open_ = materialize(open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "joined")
+        best = open_.groupBy("region").agg(F.max(F.struct("score", "node", "n", "comp", "role")).alias("_p"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b")
+        open_ = open_.join(best.select("region", "_p"), "region").withColumn("pivot", F.col("_p.node"))
+        open_ = materialize(open_, "open")
+        apart = (F.col("comp") != F.col("_p.comp")) & ((F.col("role") == 0) | (F.col("role") != F.col("_p.role")))
+        star = open_.where(apart & sizes("n", "_p.n")).select("node", "pivot").distinct()
+        measured = grow(star)
+        far = measured.select("node", "pivot", (1 - F.col("common") / F.col("whole")).alias("far"))
+        now = open_.where("node <> pivot").drop("comp", "_p").join(far, ["node", "pivot"], "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = materialize(now.select("region", "node", "n", "score", "role", "pivot", "far", "comp"), "labelled")
+        state = now.groupBy("region").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("m"), F.count_if(F.col("role") == 1).alias("_u"), F.count_if(F.col("role") == 2).alias("_l"))
+        cost = F.when(F.col("_l") > 0, F.col("_u") * F.col("_l")).otherwise(F.col("m") * (F.col("m") - 1) / 2)
+        state = materialize(state.where("_a <> _b").select("region", "m", cost.alias("cost")), "state")
+        left = materialize(now.join(state, "region"), "left")
+        most = few * few / 2 if turn < rounds - 1 else float("inf")
+        small = left.where(F.col("cost") <= most)
+        other = small.select("region", F.col("node").alias("_n"), F.col("n").alias("_s"), F.col("comp").alias("_c"), F.col("role").alias("_r"), F.col("far").alias("_f"))
+        near = (F.abs(F.col("far") - F.col("_f")) <= _RADIUS + 1e-9) | F.col("far").isNull() | F.col("_f").isNull()
+        apart = ((F.col("role") == 0) & (F.col("node") < F.col("_n"))) | ((F.col("role") == 1) & (F.col("_r") == 2))
+        within = small.join(other, "region").where(apart & (F.col("comp") != F.col("_c")) & near & sizes("n", "_s"))
+        grow(within.select(F.least("node", "_n").alias("node"), F.greatest("node", "_n").alias("pivot")).distinct())
+        large = left.where(F.col("cost") > most).select("node", "pivot").distinct()
+        if large.isEmpty():
             break
+        centred = _sent(texts, nodes, large).mapInArrow(_centred(key, order, buckets), "bucket long, keys binary, nodes binary, roles binary")
+        cells = centred.groupBy("bucket").applyInArrow(_cells, "region long, node long, role long").distinct()
+        open_ = materialize(cells.join(scores, "node").select("region", "node", "n", "score", "role"), "cells")
     return docs.select("doc_id", "n", "node"), comps
 
 
