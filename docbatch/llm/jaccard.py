@@ -267,13 +267,13 @@ def _centred(common: np.ndarray, order: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, None
         for b in slices(batches, "text"):
-            keys, nodes, roles = [], [], []
+            keys, nodes, low = [], [], []
 
             def post(elements, node, role, at):
                 with np.errstate(over="ignore"):
                     keys.append(mix64(elements ^ mix64(np.array([at], np.int64).view(np.uint64)) ^ np.uint64(role > 0)))
                 nodes.append(np.full(len(elements), node, np.int64))
-                roles.append(np.full(len(elements), role, np.int64))
+                low.append(np.full(len(elements), (0, 2, 3)[role], np.uint32))
 
             for s, node, at, member in zip(shingle_sets(b.column("text"), SHINGLE), *(b.column(c).to_pylist() for c in ("node", "pivot", "member")), strict=True):
                 if not member:
@@ -289,35 +289,42 @@ def _centred(common: np.ndarray, order: np.ndarray, buckets: int):
                     if bound:
                         post(elements[:bound], node, 1, at)
             if keys:
-                keys, nodes, roles = np.concatenate(keys), np.concatenate(nodes), np.concatenate(roles)
-                yield _blobs(keys, nodes, roles, (mix64(keys) % np.uint64(buckets)).astype(np.int64))
+                keys, nodes, low = np.concatenate(keys), np.concatenate(nodes), np.concatenate(low)
+                yield _blobs((keys >> np.uint64(34)).astype(np.uint32) << np.uint32(2) | low, nodes, (mix64(keys) % np.uint64(buckets)).astype(np.int64))
 
     return run
 
 
-def _blobs(keys: np.ndarray, nodes: np.ndarray, roles: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+def _blobs(keys: np.ndarray, nodes: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     by = np.argsort(bucket, kind="stable")
-    keys, nodes, roles, bucket = keys[by], nodes[by], roles[by], bucket[by]
+    keys, nodes, bucket = keys[by], nodes[by], bucket[by]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.array([], np.int64)
-    offsets = pa.py_buffer((np.append(first, len(keys)) * 8).astype(np.int32))
-    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))])
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), blob(keys), blob(nodes), blob(roles)], names=["bucket", "keys", "nodes", "roles"])
+
+    def blob(x):
+        offsets = pa.py_buffer((np.append(first, len(keys)) * x.itemsize).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))])
+
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), blob(keys), blob(nodes)], names=["bucket", "keys", "nodes"])
 
 
 def _cells(table: pa.Table) -> pa.Table:
-    """The cells of a bucket that can hold a pair: (region, node, role); cells of equal members get one number."""
+    """The cells of a bucket that can hold a pair: (region, node, role); cells of equal members get one number.
+
+    Cells whose 32-bit numbers are equal within a bucket are joined together, which loses nothing.
+    """
     whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    keys, nodes, roles = whole("keys", np.uint64), whole("nodes", np.int64), whole("roles", np.int64)
+    keys, nodes = whole("keys", np.uint32), whole("nodes", np.int64)
     by = np.lexsort((nodes, keys))
-    keys, nodes, roles = keys[by], nodes[by], roles[by]
+    keys, nodes = keys[by], nodes[by]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes, roles = keys[new], nodes[new], roles[new]
+    keys, nodes = keys[new], nodes[new]
+    roles, keys = np.array([0, 0, 1, 2])[keys & np.uint32(3)], keys >> np.uint32(1)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(first, len(keys)))
     linked, single = np.add.reduceat((roles == 2).astype(np.int64), first), np.add.reduceat((roles == 1).astype(np.int64), first)
     with np.errstate(over="ignore"):
-        region = np.add.reduceat(mix64(nodes.view(np.uint64) + roles.view(np.uint64)), first).view(np.int64)
+        region = np.add.reduceat(mix64(nodes.view(np.uint64) + roles.astype(np.uint64)), first).view(np.int64)
     pick = (sizes > 1) & ((linked + single == 0) | ((linked > 0) & (single > 0)))
     _, one = np.unique(region, return_index=True)
     once = np.zeros(len(first), bool)
@@ -339,7 +346,7 @@ def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int =
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
 
 
-def links(texts: DataFrame, few: int = 16, rounds: int = 5, per_salt: int = 20_000, bucket_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, few: int = 36, rounds: int = 5, per_salt: int = 20_000, bucket_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes."""
     stats = materialize(texts.mapInArrow(_stats, _STATS), "stats")
     docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
@@ -402,7 +409,7 @@ def links(texts: DataFrame, few: int = 16, rounds: int = 5, per_salt: int = 20_0
         large = left.where(F.col("cost") > most).select("node", "pivot").distinct()
         if large.isEmpty():
             break
-        centred = _sent(texts, nodes, large).mapInArrow(_centred(key, order, buckets), "bucket long, keys binary, nodes binary, roles binary")
+        centred = _sent(texts, nodes, large).mapInArrow(_centred(key, order, buckets), "bucket long, keys binary, nodes binary")
         cells = centred.groupBy("bucket").applyInArrow(_cells, "region long, node long, role long").distinct()
         open_ = materialize(cells.join(scores, "node").select("region", "node", "n", "score", "role"), "cells")
     return docs.select("doc_id", "n", "node"), comps
