@@ -3,14 +3,15 @@
 Jaccard distance is a metric.  The space is first cut into regions in which
 linked documents must meet: each document goes to the regions of its rarest
 shingles, n - ceil(0.75 n) + 1 of them, which two sets of similarity 0.75 can't
-all differ in.  Regions with the same members are one.  In every region a pivot
-is chosen and its distance to the members is computed.  Members near the pivot
-are linked to it.  A region whose members are all connected is done, since no
-further link can change a component.  Otherwise the region is joined again with
-the member farthest from the pivot as the next pivot: by the triangle
-inequality only members whose distance to the old pivot differs by no more than
-the radius can link, so only that window is replicated into the new cell.
-Regions of few members compare the window pairwise.
+all differ in.  Regions with the same members are one.  The pivot of a region is
+the member that shares most of its rare shingles; members near it are linked to
+it.  A region whose members are all connected is done, since no further link can
+change a component.  Open regions of few members are compared pairwise, within
+the window that the triangle inequality leaves.  Larger ones are joined again
+by what their members differ in from the pivot (see `differences`): the cells
+hold members that don't link with the pivot among themselves, and such members
+near the boundary beside those that link.  What is left after the last round is
+compared pairwise.
 
 Sets are compared by 64-bit hashes of their shingles, nodes (distinct sets) by
 128-bit hashes.
