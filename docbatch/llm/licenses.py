@@ -1,17 +1,26 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment decides.
 
-The k-word grams of the templates are winnowed and put into an inverted index of
-hash to (template, place).  A document's winnowed grams look up the index; hits
-on one diagonal of a template make a candidate, whose words are aligned with the
-template inside a band around the diagonal.  The scan reports the matched share
-of the template and the words it spans.
+Templates are whole license texts, standard notices and lines.  A text is cut
+into its paragraphs; the k-word grams of the paragraphs are put into an inverted
+index of hash to (paragraph, place).  A document's winnowed grams look up the
+index; hits on one diagonal of a paragraph make a candidate, whose words are
+aligned with the paragraph inside a band around the diagonal.  Paragraphs of a
+text that follow each other in the document make one passage, so that a later
+part of a text is found too.  The scan reports the matched share of the template
+and the words it spans; of passages that overlap the one with the most matched
+words is kept, of equals the one that covers most of its template.
+
+Short templates have to be there word by word.
 
 With grams of 3 words and windows of 2 every common run of 4 words is found.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +30,26 @@ from pyspark.sql import functions as F
 from docbatch.llm.textio import slices, split_words, window_hashes, word_hashes
 
 GRAM, WINDOW = 3, 2
-_PUNCTUATION = ".,;:!?()[]{}\"'*#/-"
-
-# The wording of public licenses and notices.
-TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+_PUNCTUATION = ".,;:!?()[]{}\"'*#/-`“”‘’<>="
+SHORT, PART = 20, 8  # templates of fewer words must match whole; paragraphs of fewer words join another
+
+# The wording of public licenses and notices.  Whole texts are in license_texts.
+_FREE = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_HOPE = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+TEMPLATES = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))} | {
+    f"{name}-{version}.0-notice".replace("2.1.0", "2.1"): (_FREE + "\n\n" + _HOPE).format(what, kind, version)
+    for name, what, kind, versions in (("GPL", "program", "", "1 2 3"), ("LGPL", "library", "Lesser ", "2.1 3"), ("AGPL", "program", "Affero ", "3")) for version in versions.split()
+} | {
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Apache-2.0-notice-end": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    **{f"{name}-notice-end": _HOPE.format(what, kind) for name, what, kind in (("GPL", "program", ""), ("LGPL", "library", "Lesser "), ("AGPL", "program", "Affero "))},
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "MIT-line": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-}
+}
 
 
 def _normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,24 +74,49 @@ def _grams(words: np.ndarray) -> np.ndarray:
         return window_hashes(words, np.full(len(words), len(words)), GRAM)[: len(words) - GRAM + 1]
 
 
+def _parts(text: str) -> list[str]:
+    """Paragraphs; one of few words joins the longer of its neighbours."""
+    out: list[str] = []
+    paragraphs = re.split(r"\n\s*\n", text.strip())
+    ahead = ""
+    for p, after in zip(paragraphs, [*paragraphs[1:], ""], strict=True):
+        p, ahead = f"{ahead} {p}".strip(), ""
+        if len(p.split()) >= PART or not (out or after):
+            out.append(p)
+        elif out and len(out[-1].split()) > len(after.split()):
+            out[-1] += " " + p
+        else:
+            ahead = p
+    return out
+
+
 class Index:
     """Inverted index of the templates; its size depends on the templates alone."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = sorted(templates)
-        self.words = []
+        cut = [(t, part) for t, name in enumerate(self.names) for part in _parts(templates[name])]
+        self.of = [t for t, _ in cut]  # template of a part
+        self.words = [_normal(pa.array([part]))[0] for _, part in cut]
+        self.size, self.start = [0] * len(self.names), []  # words of a template, place of a part in it
+        for t, words in zip(self.of, self.words, strict=True):
+            self.start.append(self.size[t])
+            self.size[t] += len(words)
         hashes, places = [], []
-        for t, name in enumerate(self.names):
-            words, _ = _normal(pa.array([templates[name]]))
-            self.words.append(words)
+        for part, words in enumerate(self.words):
             grams = _grams(words)
-            hashes.append(grams)  # every gram of the few templates, winnowed ones of the documents
-            places.append(np.column_stack([np.full(len(grams), t), np.arange(len(grams))]))
+            hashes.append(grams)  # every gram of the templates, winnowed ones of the documents
+            places.append(np.column_stack([np.full(len(grams), part), np.arange(len(grams))]))
         hashes, places = np.concatenate(hashes), np.concatenate(places)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.places = hashes[order], places[order]
 
 
+@cache
+def _default() -> Index:
+    return Index(TEMPLATES)
+
+
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Matched words, first and last+1 word, of the best alignment near words[i] ~ template[i - diagonal].
 
@@ -106,8 +147,8 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return best[1], best[2] or 0, end
 
 
-def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, last+1 word), the best of those that overlap."""
+def _candidates(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
+    """(part, matched, first word, last+1 word) of the parts that are there."""
     grams = _grams(words)
     at = winnow(grams)
     if not len(at):
@@ -116,31 +157,63 @@ def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tup
     right = np.searchsorted(index.hashes, grams[at], side="right")
     tried, found = set(), []
     for i in np.flatnonzero(right > left):
-        for t, place in index.places[left[i] : right[i]].tolist():
-            band = max(3, len(index.words[t]) // 8)
+        for part, place in index.places[left[i] : right[i]].tolist():
+            own = index.words[part]
+            n, whole = len(own), index.size[index.of[part]] < SHORT
+            band = 0 if whole else max(3, n // 8)
             diagonal = int(at[i]) - place
-            if any((t, d) in tried for d in range(diagonal - band // 2, diagonal + band // 2 + 1)):
+            if any((part, d) in tried for d in range(diagonal - band // 2, diagonal + band // 2 + 1)):
+                continue
+            tried.add((part, diagonal))
+            if diagonal >= 0 and np.array_equal(words[diagonal : diagonal + n], own):
+                found.append((part, n, diagonal, diagonal + n))
+                continue
+            # No alignment matches a word that isn't in reach.
+            reach = words[max(diagonal - band, 0) : diagonal + n + band + 1]
+            if whole or np.isin(own, reach).sum() < min_coverage * n:
                 continue
-            tried.add((t, diagonal))
-            matched, first, last = align(index.words[t], words, diagonal, band)
-            if matched >= min_coverage * len(index.words[t]):
-                found.append((matched, t, first, last))
-    kept: list[tuple[int, int, int, int]] = []
-    for matched, t, first, last in sorted(found, key=lambda x: (-x[0], x[2], x[1])):
-        if all(last <= f or first >= e for _, _, f, e in kept):
-            kept.append((t, matched, first, last))
-    return sorted(kept, key=lambda x: x[2])
-
-
-def _scan(templates: dict[str, str], min_coverage: float):
+            matched, first, last = align(own, words, diagonal, band)
+            if matched >= min_coverage * n:
+                found.append((part, matched, first, last))
+    return found
+
+
+def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[str, float, int, int, int]]:
+    """(license, coverage, matched, first word, last+1 word), the best of those that overlap."""
+    parts: dict[int, list] = {}
+    for part, matched, first, last in sorted(_candidates(words, index, min_coverage), key=lambda x: (-x[1], x[2], x[0])):
+        own = parts.setdefault(index.of[part], [])
+        if all(last <= f or first >= e for _, _, f, e in own):
+            own.append((part, matched, first, last))
+    found = []
+    for t, own in parts.items():
+        passages: list[list] = []
+        for hit in sorted(own, key=lambda x: x[2]):
+            if passages:
+                before = passages[-1][-1]
+                missing = index.start[hit[0]] - index.start[before[0]] - len(index.words[before[0]])
+                if hit[0] > before[0] and hit[2] - before[3] <= 2 * missing + SHORT:
+                    passages[-1].append(hit)
+                    continue
+            passages.append([hit])
+        for p in passages:
+            matched, first, last = sum(x[1] for x in p), p[0][2], p[-1][3]
+            found.append((index.names[t], matched / index.size[t], matched, first, last))
+    kept: list[tuple[str, float, int, int, int]] = []
+    for hit in sorted(found, key=lambda x: (-x[2], -x[1], x[3], x[0])):
+        if all(hit[4] <= k[3] or hit[3] >= k[4] for k in kept):
+            kept.append(hit)
+    return sorted(kept, key=lambda x: x[3])
+
+
+def _scan(templates: dict[str, str] | None, min_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates)
+        index = Index(templates) if templates else _default()
         for b in slices(batches, "text"):
             words, offsets = _normal(b.column("text"))
             out = []
             for doc_id, a, e in zip(b.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                for t, matched, first, last in scan_words(words[a:e], index, min_coverage):
-                    out.append((doc_id, index.names[t], matched / len(index.words[t]), matched, first, last))
+                out += [(doc_id, *hit) for hit in scan_words(words[a:e], index, min_coverage)]
             if out:
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "license", "coverage", "matched", "first_word", "end_word"])
@@ -155,4 +228,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_c
     an empty table gives no rows.  Words count from 0 in the whole text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scan(templates or TEMPLATES, min_coverage), "doc_id long, license string, coverage double, matched int, first_word int, end_word int")
+    return rows.mapInArrow(_scan(templates, min_coverage), "doc_id long, license string, coverage double, matched int, first_word int, end_word int")

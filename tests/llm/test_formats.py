@@ -126,6 +126,36 @@ def test_license_query_finds_every_line(spark):
     assert want <= got and len(got) <= 1.05 * len(want) + 3
 
 
+def test_license_texts(spark):
+    """Passages in other hands' wording and layout, and later parts alone."""
+    fill = "nothing of interest is said in these words "
+    bsd = """* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+    third = "* Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    lead = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    given = {
+        "MIT": 'THE SOFTWARE IS PROVIDED \u201cAS IS\u201d, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "BSD-2-Clause": lead + bsd,
+        "BSD-3-Clause": lead + bsd + third,
+        "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "GPL-2.0-notice": "Frob is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0-notice": "Frob is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Apache-2.0": "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Unlicense": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    }
+    names = list(given)
+    out = rows(license_scan(spark.createDataFrame([(i, fill * 9 + given[k] + " " + fill * 9) for i, k in enumerate(names)], DOC)))
+    assert sorted((r["doc_id"], r["license"]) for r in out) == list(enumerate(names))
+    n = len((fill * 9).split())
+    assert all(abs(r["first_word"] - n) <= 1 and abs(r["end_word"] - n - len(given[r["license"]].split())) <= 1 for r in out)
+    whole = [k for k in TEMPLATES if not k.endswith("-line")]
+    out = rows(license_scan(spark.createDataFrame([(i, fill + TEMPLATES[k] + " " + fill) for i, k in enumerate(whole)], DOC)))
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in out) == [(i, k, 1.0) for i, k in enumerate(whole)]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.xxhash64(F.sha2("text", 256)), F.lit(3)) == 0
