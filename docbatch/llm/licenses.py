@@ -10,7 +10,9 @@ part of a text is found too.  The scan reports the matched share of the template
 and the words it spans; of passages that overlap the one with the most matched
 words is kept, of equals the one that covers most of its template.
 
-Short templates have to be there word by word.
+Short templates have to be there word by word, and a license that a line names
+after "under" is taken from the longest name that fits, so that another variant
+or version isn't taken for it.
 
 With grams of 3 words and windows of 2 every common run of 4 words is found.
 """
@@ -51,6 +53,52 @@ TEMPLATES = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "lic
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Words that have to be in a passage of the template, one run of them after another: version and variant.
+KEYS = {
+    "GPL-1.0-notice": ("gnu general public license", "version 1"), "GPL-2.0-notice": ("gnu general public license", "version 2"), "GPL-3.0-notice": ("gnu general public license", "version 3"),
+    "LGPL-2.1-notice": ("lesser general public license", "version 2.1"), "LGPL-3.0-notice": ("lesser general public license", "version 3"), "AGPL-3.0-notice": ("affero general public license", "version 3"),
+    "Apache-2.0-notice": ("apache license version 2.0",), "MPL-2.0-notice": ("mozilla public license v 2.0",), "EPL-2.0-notice": ("eclipse public license 2.0",),
+}
+
+
+def _names() -> dict[str, str]:
+    """Names that lines give licenses, to the license; a name without version gives its family."""
+    out = {}
+
+    def family(spdx: str, names: list[str], versions: str) -> None:
+        out.update({n: f"{spdx}-line" for n in names})
+        for v in versions.split():
+            license = f"{spdx}-{v}-line"
+            for w in {v, v.removesuffix(".0")}:
+                for n in names:
+                    out.update({f"{n} {form}": license for form in (f"version {w}", f"v{w}", f"v. {w}", w, f"License version {w}", f"License v{w}", f"License {w}")})
+                    out.update({f"version {w} of the {n}": license, f"{n}v{w}": license, f"{n}-{w}": license, f"{n}-v{w}": license})
+                    out.update({f"{n}{form}": license for form in (f"v{w}+", f"-{w}+", f"-{w}-only", f"-{w}-or-later")})
+
+    gnu = lambda kind, short: [f"{g}{kind}General Public License{s}" for g in ("GNU ", "") for s in ("", f" ({short})", f" (GNU {short})")] + [short, f"GNU {short}"]
+    family("GPL", gnu("", "GPL"), "1.0 2.0 3.0")
+    family("LGPL", gnu("Lesser ", "LGPL") + gnu("Library ", "LGPL"), "2.0 2.1 3.0")
+    family("AGPL", gnu("Affero ", "AGPL"), "1.0 3.0")
+    family("Apache", ["Apache", "Apache License", "Apache Software License"], "1.0 1.1 2.0")
+    family("MPL", ["MPL", "Mozilla Public License", "Mozilla Public License (MPL)"], "1.0 1.1 2.0")
+    family("EPL", ["EPL", "Eclipse Public License", "Eclipse Public License (EPL)"], "1.0 2.0")
+    family("BSL", ["Boost Software License", "BSL"], "1.0")
+    family("Artistic", ["Artistic License"], "1.0 2.0")
+    family("CC0", ["CC0", "Creative Commons Zero", "Creative Commons CC0"], "1.0")
+    whole = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        long = "-".join(whole[x] for x in kind.split("-"))
+        spelled = {long, long.replace("Non", "Non-").replace("Share", "Share-"), long.replace("Derivatives", "Derivs"), long.replace("-", " ")}
+        family(f"CC-{kind}", [f"CC {kind}", f"CC-{kind}", f"Creative Commons {kind}", *(f"Creative Commons {x}" for x in spelled)], "1.0 2.0 2.5 3.0 4.0")
+    for license, names in {
+        "MIT": "MIT|MIT/X11|X11/MIT|MIT (Expat)|MIT/Expat|Expat", "MIT-0": "MIT-0|MIT No Attribution", "ISC": "ISC", "Unlicense": "Unlicense", "Zlib": "zlib",
+        "BSD": "BSD|BSD-style", "BSD-2-Clause": "BSD 2-Clause|BSD-2-Clause|2-Clause BSD|Two-Clause BSD|BSD 2 Clause|Simplified BSD|FreeBSD|BSD 2-Clause \"Simplified\"",
+        "BSD-3-Clause": "BSD 3-Clause|BSD-3-Clause|3-Clause BSD|Three-Clause BSD|BSD 3 Clause|New BSD|Modified BSD|Revised BSD|BSD 3-Clause \"New\" or \"Revised\"", "BSD-4-Clause": "BSD 4-Clause|BSD-4-Clause|4-Clause BSD|Original BSD",
+        "0BSD": "0BSD|Zero-Clause BSD|BSD Zero Clause|BSD-0-Clause",
+    }.items():
+        out.update({n: f"{license}-line" for n in names.split("|")})
+    return out
+
 
 def _normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, lower-cased and without punctuation at its ends, and row offsets."""
@@ -93,7 +141,7 @@ def _parts(text: str) -> list[str]:
 class Index:
     """Inverted index of the templates; its size depends on the templates alone."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], keys: dict[str, tuple[str, ...]] | None = None) -> None:
         self.names = sorted(templates)
         cut = [(t, part) for t, name in enumerate(self.names) for part in _parts(templates[name])]
         self.of = [t for t, _ in cut]  # template of a part
@@ -102,6 +150,7 @@ class Index:
         for t, words in zip(self.of, self.words, strict=True):
             self.start.append(self.size[t])
             self.size[t] += len(words)
+        self.keys = [[_normal(pa.array([k]))[0] for k in (keys or {}).get(name, ())] for name in self.names]
         hashes, places = [], []
         for part, words in enumerate(self.words):
             grams = _grams(words)
@@ -112,9 +161,70 @@ class Index:
         self.hashes, self.places = hashes[order], places[order]
 
 
+class Lines:
+    """The names after "under", as a tree of word hashes."""
+
+    NOUNS = "work works project software program file library code document package content material text"
+    VERBS = "licensed released distributed available made provided published dual-licensed relicensed covered"
+    ARTICLES = ("the terms and conditions of the", "the terms of the", "terms of the", "the conditions of the", "the terms of", "a", "an", "the", "")
+
+    def __init__(self) -> None:
+        names = _names()
+        word = lambda text: [_normal(pa.array([w]))[0][0] for w in text.split()]
+        self.starts = np.array(word("under SPDX-License-Identifier"), np.uint64)
+        self.ends, self.joins, self.verbs, self.nouns, self.these, self.are = ({*map(int, word(x))} for x in ("license licence licenses", "or and and/or", self.VERBS, self.NOUNS, "this these the", "is are was were"))
+        self.articles = [[int(x) for x in word(a)] for a in self.ARTICLES]
+        self.tree: dict = {}
+        column = pa.array([*names])
+        words, offsets = _normal(column)
+        for license, a, b in zip(names.values(), offsets[:-1], offsets[1:], strict=True):
+            node = self.tree
+            for w in words[a:b].tolist():
+                node = node.setdefault(w, {})
+            node[None] = license
+
+    def name(self, words: list[int], at: int) -> tuple[str, int] | None:
+        """License of the longest name from word `at` on, and the place after it."""
+        node, found = self.tree, None
+        while at < len(words) and (node := node.get(words[at])) is not None:
+            at += 1
+            if None in node:
+                found = node[None], at
+        return found
+
+    def scan(self, all_words: np.ndarray) -> list[tuple[str, int, int]]:
+        """(license, first word, last+1 word)"""
+        out = []
+        for u in np.flatnonzero(np.isin(all_words, self.starts)).tolist():
+            low = max(u - 12, 0)
+            words = all_words[low : u + 40].tolist()
+            at, first = u - low + 1, u - low
+            sure = words[first] == int(self.starts[1])
+            if first and words[first - 1] in self.verbs:
+                first, sure = first - 1, True
+                if first and words[first - 1] in self.verbs:  # made available
+                    first -= 1
+            if first > 2 and words[first - 1] in self.are and words[first - 2] in self.nouns and words[first - 3] in self.these:
+                first -= 3
+            while True:
+                hits = [(h[1], h[0], at + len(a)) for a in self.articles if words[at : at + len(a)] == a and (h := self.name(words, at + len(a)))]
+                if not hits:
+                    break
+                end, license, begin = max(hits)
+                ended = end < len(words) and words[end] in self.ends
+                if not sure and end - begin < 2 and not ended:
+                    break  # one word alone can be something else
+                out.append((license, low + first, low + end + ended))
+                at = first = end + ended
+                if at >= len(words) or words[at] not in self.joins:
+                    break
+                at = first = at + 1
+        return out
+
+
 @cache
-def _default() -> Index:
-    return Index(TEMPLATES)
+def _default() -> tuple[Index, Lines]:
+    return Index(TEMPLATES, KEYS), Lines()
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -147,6 +257,10 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return best[1], best[2] or 0, end
 
 
+def _holds(words: np.ndarray, run: np.ndarray) -> bool:
+    return any(np.array_equal(words[i : i + len(run)], run) for i in np.flatnonzero(words == run[0]).tolist())
+
+
 def _candidates(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[int, int, int, int]]:
     """(part, matched, first word, last+1 word) of the parts that are there."""
     grams = _grams(words)
@@ -178,7 +292,7 @@ def _candidates(words: np.ndarray, index: Index, min_coverage: float) -> list[tu
     return found
 
 
-def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tuple[str, float, int, int, int]]:
+def scan_words(words: np.ndarray, index: Index, min_coverage: float, lines: Lines | None = None) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched, first word, last+1 word), the best of those that overlap."""
     parts: dict[int, list] = {}
     for part, matched, first, last in sorted(_candidates(words, index, min_coverage), key=lambda x: (-x[1], x[2], x[0])):
@@ -198,7 +312,10 @@ def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tup
             passages.append([hit])
         for p in passages:
             matched, first, last = sum(x[1] for x in p), p[0][2], p[-1][3]
-            found.append((index.names[t], matched / index.size[t], matched, first, last))
+            if all(_holds(words[first:last], k) for k in index.keys[t]):
+                found.append((index.names[t], matched / index.size[t], matched, first, last))
+    if lines:
+        found += [(name, 1.0, last - first, first, last) for name, first, last in lines.scan(words)]
     kept: list[tuple[str, float, int, int, int]] = []
     for hit in sorted(found, key=lambda x: (-x[2], -x[1], x[3], x[0])):
         if all(hit[4] <= k[3] or hit[3] >= k[4] for k in kept):
@@ -208,12 +325,12 @@ def scan_words(words: np.ndarray, index: Index, min_coverage: float) -> list[tup
 
 def _scan(templates: dict[str, str] | None, min_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(templates) if templates else _default()
+        index, lines = (Index(templates), None) if templates else _default()
         for b in slices(batches, "text"):
             words, offsets = _normal(b.column("text"))
             out = []
             for doc_id, a, e in zip(b.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                out += [(doc_id, *hit) for hit in scan_words(words[a:e], index, min_coverage)]
+                out += [(doc_id, *hit) for hit in scan_words(words[a:e], index, min_coverage, lines)]
             if out:
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "license", "coverage", "matched", "first_word", "end_word"])

@@ -156,6 +156,28 @@ def test_license_texts(spark):
     assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in out) == [(i, k, 1.0) for i, k in enumerate(whole)]
 
 
+def test_license_lines(spark):
+    """Lines of siblings aren't taken for each other, whatever stands around them."""
+    given = {
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-line"], "Licensed under CC BY 4.0.": ["CC-BY-4.0-line"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0-line"], "Licensed under CC BY-NC 3.0.": ["CC-BY-NC-3.0-line"],
+        "Released under the BSD License.": ["BSD-line"], "Distributed under the MIT license.": ["MIT-line"], "Released under the MIT No Attribution License.": ["MIT-0-line"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-line"], "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-line"], "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0-line"],
+        "Distributed under GPLv3.": ["GPL-3.0-line"], "Dual-licensed under MIT or Apache-2.0.": ["Apache-2.0-line", "MIT-line"], "We met under the MIT dome.": [], "Licensed under the Acme License, Version 2.0.": [],
+    }
+    docs, want = [], {}
+    for text, licenses in given.items():
+        for before in ("", "one ", "one two ", "one two three ", "a stitch in time ", "so it was. "):
+            for after in ("", " four", " five six", " seven eight nine"):
+                want[len(docs)] = licenses
+                docs.append((len(docs), before + text + after))
+    got: dict = {i: [] for i in want}
+    for r in rows(license_scan(spark.createDataFrame(docs, DOC))):
+        got[r["doc_id"]].append(r["license"])
+    assert {i: sorted(v) for i, v in got.items()} == want
+    other = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 4 of the License, or (at your option) any later version."
+    assert not [r for r in rows(license_scan(spark.createDataFrame([(1, other)], DOC))) if r["license"].endswith("-notice")]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.xxhash64(F.sha2("text", 256)), F.lit(3)) == 0
