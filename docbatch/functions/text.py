@@ -43,6 +43,26 @@ def heading_distance(text: Column) -> Column:
     return F.when(tail > 1, len(HEADING)).otherwise(infix_distance(text, HEADING, 3))
 
 
+def _near(text: Column, pattern: str, most: int, blocks: tuple[str, ...]) -> Column:
+    """infix_distance near the places of blocks alone: of most + 1 blocks of pattern an edited one has at least one as it is."""
+    width = len(pattern) + most
+    pieces = F.split(text, f"(?={'|'.join(blocks)})", -1)
+    starts = F.aggregate(pieces, F.array(F.lit(1)), lambda found, x: F.array_append(found, F.element_at(found, -1) + F.length(x)))
+    windows = F.transform(starts, lambda s: F.substring(text, F.greatest(s - width, F.lit(1)), F.lit(2 * width + len(pattern))))
+    return F.array_min(F.transform(windows, lambda w: infix_distance(w, pattern, most)))
+
+
+def heading_line_distance(text: Column) -> Column:
+    """Least heading_distance of the lines of a text of any length; lines without half of the last letters aren't looked at closer."""
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n", -1), heading_text), lambda t: t.rlike("REPO|RTNO"))
+
+    def distance(t: Column) -> Column:
+        tail = _near(t, HEADING[-8:], 1, ("REPO", "RTNO"))
+        return F.when(tail > 1, len(HEADING)).otherwise(_near(t, HEADING, 3, ("RECE", "IVIN", "GREP", "ORTNO")))
+
+    return F.coalesce(F.array_min(F.transform(lines, distance)), F.lit(len(HEADING)))
+
+
 def natural_key(name: Column) -> Column:
     """Orders B2 before B10: texts case-folded, numbers by value."""
     texts = F.split(F.lower(name), r"\d+", -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docbatch.functions.text import heading_distance, heading_text, natural_key, safe_filename
+from docbatch.functions.text import heading_distance, heading_line_distance, heading_text, natural_key, safe_filename
 from docbatch.jobs import archive
 from docbatch.operators import grouping, queue, verdict
 from docbatch.sources import fixtures
@@ -80,6 +80,12 @@ def heading_matches(spark, sf_dir):
     return rows.withColumn("confidence", F.round(F.when(F.col("distance") <= 3, 1 - F.col("distance") / 17).otherwise(0.0), 6))
 
 
+def heading_lines(spark, sf_dir):
+    """The heading in any line of the whole texts."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), heading_line_distance(F.col("text")).alias("distance"))
+    return rows.withColumn("confidence", F.round(F.when(F.col("distance") <= 3, 1 - F.col("distance") / 17).otherwise(0.0), 6))
+
+
 def page_filenames(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", safe_filename(F.col("url")).alias("name"))
 
@@ -94,7 +100,7 @@ def natural_ranks(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_verdicts, split_shared, split_sequential, split_decided, loose_pages, batch_summary, batch_problems, batch_pauses, read_votes, kept_stamps, job_statuses, file_fingerprints, unseen_files, heading_matches, page_filenames, natural_ranks)
+    for f in (page_verdicts, split_shared, split_sequential, split_decided, loose_pages, batch_summary, batch_problems, batch_pauses, read_votes, kept_stamps, job_statuses, file_fingerprints, unseen_files, heading_matches, heading_lines, page_filenames, natural_ranks)
 } | archive.QUERIES
 
 _DETECTIONS = """
