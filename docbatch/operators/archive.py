@@ -15,20 +15,28 @@ def list_pages(files: DataFrame, most: int = 5000) -> DataFrame:
 
 
 def saveable_prefix(pages: DataFrame) -> DataFrame:
-    """Per source how many of its pages can be saved.
+    """Per source how many of its pages can be saved; with workspace and source_ord, sources belong to workspaces in that order.
 
-    While some pages but not all are pending, the last run of covers before the
-    first pending page may still grow, so saving ends before it.
+    While some pages of a workspace but not all are pending (by state where
+    there is one, else effective_state), the last run of covers before the first
+    pending page in its source may still grow, so saving ends before it.
     """
-    w = Window.partitionBy("source").orderBy("idx")
+    keys = ["workspace", "source_ord", "source"] if "workspace" in pages.columns else ["source"]
+    raw = F.col("state") if "state" in pages.columns else F.col("effective_state")
+    w = Window.partitionBy(*keys).orderBy("idx")
+    whole = Window.partitionBy(*keys)
     state = F.col("effective_state")
-    first = F.min(F.when(state == "pending", F.col("idx"))).over(Window.partitionBy("source"))
+    first = F.min(F.when(raw == "pending", F.col("idx"))).over(whole)
     starts = (state == "cover") & ~F.lag(state).over(w).eqNullSafe("cover")
-    rows = pages.select("source", "idx", state, first.alias("_first"), starts.alias("_starts"))
-    cut = F.max(F.when(F.col("_starts") & (F.col("idx") < F.col("_first")), F.col("idx"))).over(Window.partitionBy("source"))
-    some = F.count_if(state != "pending").over(Window.partitionBy("source")) > 0
-    rows = rows.withColumn("_saved", F.when(F.col("_first").isNull() | ~some, True).otherwise(F.coalesce(F.col("idx") < cut, F.lit(False))))
-    return rows.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("_saved").alias("saveable"))
+    rows = pages.select(*keys, "idx", (raw == "pending").alias("_pending"), first.alias("_first"), starts.alias("_starts"))
+    cut = F.max(F.when(F.col("_starts") & (F.col("idx") < F.col("_first")), F.col("idx"))).over(whole)
+    rows = rows.withColumn("_before", F.coalesce(F.col("idx") < cut, F.lit(False)))
+    each = rows.groupBy(*keys).agg(F.count("*").alias("pages"), F.count_if("_pending").alias("_n"), F.count_if("_before").alias("_cut"))
+    if "workspace" not in pages.columns:
+        return each.select("source", "pages", F.when(F.col("_n").between(F.lit(1), F.col("pages") - 1), F.col("_cut")).otherwise(F.col("pages")).alias("saveable"))
+    all_ = each.groupBy("workspace").agg(F.min(F.when(F.col("_n") > 0, F.col("source_ord"))).alias("_at"), (F.sum("_n") < F.sum("pages")).alias("_some"))
+    saveable = F.when(F.col("_at").isNull() | ~F.col("_some") | (F.col("source_ord") < F.col("_at")), F.col("pages")).when(F.col("source_ord") == F.col("_at"), F.col("_cut")).otherwise(F.lit(0).cast("long"))
+    return each.join(all_, "workspace").select(*keys, "pages", saveable.alias("saveable"))
 
 
 def archive_gate(pages: DataFrame, grouping: str = "shared") -> DataFrame:

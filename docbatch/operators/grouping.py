@@ -56,13 +56,29 @@ def manifest(pages: DataFrame, grouping: str = "shared") -> DataFrame:
 
 
 def pause_points(pages: DataFrame) -> DataFrame:
-    """Per source the first page, not its last, that starts a new document or needs a decision, if any."""
-    w = Window.partitionBy("source").orderBy("idx")
-    last = F.max("idx").over(Window.partitionBy("source"))
+    """The first page, not the last, that starts a new document or needs a decision, if any.
+
+    Per source as pause_idx, or with workspace and source_ord per workspace as
+    pause_source and pause_idx.  Optional columns: pending, true for pages not
+    analysed before; when there are others too, only pages from the first of
+    them on can pause.  first_page_error: analysis ends there without a pause.
+    """
+    many = "workspace" in pages.columns
+    key = "workspace" if many else "source"
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in pages.columns else F.lit(False)
+    w = Window.partitionBy(*(["workspace", "source_ord"] if many else []), "source").orderBy("idx")
     state = F.col("effective_state")
     stops = ((state == "cover") & (F.lag(state).over(w) == "attachment")) | (state == "review") | ((state == "cover") & (F.col("number") == ""))
-    rows = pages.withColumn("_at", F.when(stops & (F.col("idx") < last), F.col("idx")))
-    return rows.groupBy("source").agg(F.min("_at").alias("pause_idx"))
+    at = F.struct((F.col("source_ord").cast("long") if many else F.lit(0).cast("long")).alias("ord"), F.col("idx").alias("idx"), F.col("source").alias("source"))
+    rows = pages.select(F.col(key).alias("_key"), at.alias("_at"), stops.alias("_stops"), flag("pending").alias("_pending"), flag("first_page_error").alias("_error"))
+    start = F.when(F.count_if("_pending") < F.count("*"), F.min(F.when(F.col("_pending"), F.col("_at"))))
+    ends = rows.groupBy("_key").agg(F.max("_at").alias("_last"), start.alias("_start"))
+    left = rows.join(ends, "_key").withColumn("_in", F.coalesce(F.col("_at") >= F.col("_start"), F.lit(True)))
+    first = lambda c: F.min(F.when(F.col("_in") & c, F.col("_at")))
+    out = left.groupBy("_key").agg(first(F.col("_stops") & (F.col("_at") < F.col("_last"))).alias("_stop"), first(F.col("_error")).alias("_end"))
+    pause = F.when(F.coalesce(F.col("_stop") < F.col("_end"), F.lit(True)), F.col("_stop"))
+    named = [F.col("_key").alias(key), *([pause["source"].alias("pause_source")] if many else []), pause["idx"].alias("pause_idx")]
+    return out.select(*named)
 
 
 def approval_problems(pages: DataFrame, grouping: str = "shared", listed: int = 8) -> DataFrame:

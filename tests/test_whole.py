@@ -5,6 +5,8 @@ import re
 
 from docbatch.functions.text import heading_line_distance
 from docbatch.jobs.catalog import QUERIES
+from docbatch.operators.archive import saveable_prefix
+from docbatch.operators.grouping import pause_points
 from pyspark.sql import functions as F
 
 
@@ -40,3 +42,53 @@ def test_heading_lines(spark):
     got = [r["d"] for r in df.orderBy("i").select(heading_line_distance(F.col("t")).alias("d")).collect()]
     assert got == [heading(t) for t in texts] and {0, 1, 2, 3, 4, 17} == set(got)
     assert QUERIES["heading_lines"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+NAMES = {"C": "cover", "A": "attachment", "R": "review", "P": "pending", "X": "cover"}
+
+
+def test_workspaces(spark):
+    """Against plain loops over the pages of workspaces of several sources."""
+    rnd = random.Random(5)
+    spaces = {"w": ["CACA", "CACCPP", "PPP"], "v": ["CA", "CA"], "u": ["PP", "P"], "t": ["CAC", "CAR", "AA"]}
+    for n in range(80):
+        seqs = ["".join(rnd.choices("CCAARX", k=rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 5))]
+        cut = rnd.randrange(sum(map(len, seqs)) + 1) if n % 3 else 99
+        for i, q in enumerate(seqs):
+            seqs[i], cut = q[: max(cut, 0)] + "P" * (len(q) - max(cut, 0)), cut - len(q)
+        spaces[f"r{n}"] = seqs
+    rows, want = [], {}
+    for s, seqs in spaces.items():
+        pages = [(o, i, k) for o, q in enumerate(seqs) for i, k in enumerate(q)]
+        rows += [(s, f"{s}-{9 - o}", o, i, "" if k == "X" else "N", NAMES[k]) for o, i, k in pages]
+        first = next((n for n, p in enumerate(pages) if p[2] == "P"), None)
+        cut = len(pages)
+        if first is not None and any(p[2] != "P" for p in pages):
+            cut = start = next(n for n, p in enumerate(pages) if p[0] == pages[first][0])
+            for n in range(start, first):
+                if pages[n][2] in "CX" and (n == start or pages[n - 1][2] not in "CX"):
+                    cut = n
+        for o in range(len(seqs)):
+            want[s, o] = sum(p[0] == o for p in pages[:cut])
+    df = spark.createDataFrame(rows, "workspace string, source string, source_ord int, idx int, number string, effective_state string")
+    assert {(r["workspace"], r["source_ord"]): r["saveable"] for r in saveable_prefix(df).collect()} == want
+    assert want["w", 2] == 0 and want["u", 0] == 2
+    pend = F.hash("workspace") % 3 == 0
+    df = df.withColumn("pending", pend & (F.col("source_ord") * 10 + F.col("idx") >= 3)).withColumn("first_page_error", (F.col("idx") == 0) & (F.col("source_ord") == 2) & (F.hash("workspace") % 2 == 0))
+    by: dict = {}
+    for r in df.orderBy("workspace", "source_ord", "idx").collect():
+        by.setdefault(r["workspace"], []).append(r)
+    stop = {}
+    for s, pages in by.items():
+        start = next((n for n, p in enumerate(pages) if p["pending"]), 0)
+        start = 0 if all(p["pending"] for p in pages) else start
+        stop[s] = (None, None)
+        for n in range(start, len(pages)):
+            p, before = pages[n], pages[n - 1] if n else None
+            if p["first_page_error"]:
+                break
+            new = before and before["source"] == p["source"] and before["effective_state"] == "attachment" and p["effective_state"] == "cover"
+            if n + 1 < len(pages) and (new or p["effective_state"] == "review" or (p["effective_state"] == "cover" and not p["number"])):
+                stop[s] = (p["source"], p["idx"])
+                break
+    assert {r["workspace"]: (r["pause_source"], r["pause_idx"]) for r in pause_points(df).collect()} == stop
