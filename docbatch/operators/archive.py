@@ -49,14 +49,41 @@ def archive_gate(pages: DataFrame, grouping: str = "shared") -> DataFrame:
 def claim_names(items: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     """items (folder, stem) with the first free of stem, stem_02, stem_03 and so on, by `order`.
 
-    taken: (folder, stem, number) of the names that exist.  A stem that is
-    itself another one's numbered name isn't told apart from it.
+    taken: (folder, stem, number) of the names that exist.  Stems that differ
+    only in numbers at their ends can meet in a name; where a folder has several
+    such, they are named one after another, all others by counting.
     """
+    root = F.regexp_replace("stem", r"(_\d{2,})+$", "")
+    both = items.select("folder", "stem").unionByName(taken.select("folder", "stem"))
+    met = both.groupBy("folder", root.alias("_root")).agg((F.min("stem") != F.max("stem")).alias("_met")).where("_met").select("folder", "_root")
+    rows = items.withColumn("_root", root)
+    alone = rows.join(met, ["folder", "_root"], "left_anti").select(*items.columns)
     used = taken.groupBy("folder", "stem").agg(F.array_sort(F.collect_set(F.col("number").cast("int"))).alias("_used"))
-    rows = items.withColumn("_k", F.row_number().over(Window.partitionBy("folder", "stem").orderBy(order))).join(used, ["folder", "stem"], "left")
+    alone = alone.withColumn("_k", F.row_number().over(Window.partitionBy("folder", "stem").orderBy(order))).join(used, ["folder", "stem"], "left")
     free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_k"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
     number = F.when(free < 10, F.concat(F.lit("0"), free.cast("string"))).otherwise(free.cast("string"))
-    return rows.withColumn("name", F.when(free == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), number))).drop("_k", "_used")
+    counted = alone.withColumn("name", F.when(free == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), number))).drop("_k", "_used")
+
+    columns = [*items.columns, "name"]
+
+    def fold(key, mine, there):
+        held = {s if n == 1 else f"{s}_{int(n):02d}" for s, n in zip(there["_s"], there["_n"], strict=True)}
+        mine = mine.sort_values([order, "stem"], kind="stable")
+        names, following = [], {}
+        for stem in mine["stem"]:
+            n = following.get(stem, 1)
+            while (name := stem if n == 1 else f"{stem}_{n:02d}") in held:
+                n += 1
+            held.add(name)
+            following[stem] = n + 1
+            names.append(name)
+        return mine.assign(name=names)[columns]
+
+    schema = items.withColumn("name", F.lit("")).schema
+    mine = rows.join(met, ["folder", "_root"], "left_semi")
+    there = taken.withColumn("_root", root).join(met, ["folder", "_root"], "left_semi").select(F.col("folder").alias("_f"), F.col("_root").alias("_r"), F.col("stem").alias("_s"), F.col("number").alias("_n"))
+    folded = mine.groupBy("folder", "_root").cogroup(there.groupBy("_f", "_r")).applyInPandas(fold, schema)
+    return counted.unionByName(folded)
 
 
 def committed(markers: DataFrame, listing: DataFrame) -> DataFrame:

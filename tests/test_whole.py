@@ -5,7 +5,7 @@ import re
 
 from docbatch.functions.text import heading_line_distance
 from docbatch.jobs.catalog import QUERIES
-from docbatch.operators.archive import saveable_prefix
+from docbatch.operators.archive import claim_names, saveable_prefix
 from docbatch.operators.grouping import pause_points
 from pyspark.sql import functions as F
 
@@ -92,3 +92,20 @@ def test_workspaces(spark):
                 stop[s] = (p["source"], p["idx"])
                 break
     assert {r["workspace"]: (r["pause_source"], r["pause_idx"]) for r in pause_points(df).collect()} == stop
+
+
+def test_clashing_names(spark):
+    rnd = random.Random(2)
+    rows = [("f", s, i) for i, s in enumerate(["A", "A", "A_02", "B", "B"])]
+    rows += [(f"g{rnd.randrange(8)}", rnd.choice(["A", "A_02", "A_03", "A_02_02", "A_2", "B", "B_10"]), i) for i in range(9, 200)]
+    taken = [("f", "B", 1), ("g1", "A", 2), ("g2", "A_02", 1), ("g3", "B", 1), ("g3", "B_10", 1)]
+    held = {(f, s if n == 1 else f"{s}_{n:02d}") for f, s, n in taken}
+    want = {}
+    for f, s, i in rows:
+        n = 1
+        while (name := s if n == 1 else f"{s}_{n:02d}") in {x for g, x in held if g == f}:
+            n += 1
+        held.add((f, name))
+        want[i] = name
+    got = claim_names(spark.createDataFrame(rows, "folder string, stem string, i long"), spark.createDataFrame(taken, "folder string, stem string, number int"), "i")
+    assert {r["i"]: r["name"] for r in got.collect()} == want and [want[i] for i in range(5)] == ["A", "A_02", "A_02_02", "B_02", "B_03"]
