@@ -40,10 +40,16 @@ def saveable_prefix(pages: DataFrame) -> DataFrame:
 
 
 def archive_gate(pages: DataFrame, grouping: str = "shared") -> DataFrame:
-    """Per source the status after analysis: exporting when there are documents and no page is loose, else review."""
+    """Per source the status after analysis: exporting when there are documents and no page is loose, else review.
+
+    Optional columns: a page with first_page_error, decided or not, and a source
+    without auto_save go to review.
+    """
+    has = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in pages.columns else F.lit(default)
     loose = (F.col("kind") == "B") | ((F.col("kind") == "A") & ~F.col("anchor").eqNullSafe("C"))
-    out = page_runs(pages, grouping).groupBy("source").agg(F.count_if(F.col("kind") == "C").alias("documents"), F.count_if(loose).alias("unassigned"))
-    return out.withColumn("status", F.when((F.col("documents") > 0) & (F.col("unassigned") == 0), "exporting").otherwise("review"))
+    kept = (~F.bool_or(has("first_page_error", False)) & F.bool_and(has("auto_save", True))).alias("_automatic")
+    out = page_runs(pages, grouping).groupBy("source").agg(F.count_if(F.col("kind") == "C").alias("documents"), F.count_if(loose).alias("unassigned"), kept)
+    return out.withColumn("status", F.when((F.col("documents") > 0) & (F.col("unassigned") == 0) & F.col("_automatic"), "exporting").otherwise("review")).drop("_automatic")
 
 
 def claim_names(items: DataFrame, taken: DataFrame, order: str) -> DataFrame:

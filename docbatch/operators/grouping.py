@@ -82,12 +82,23 @@ def pause_points(pages: DataFrame) -> DataFrame:
 
 
 def approval_problems(pages: DataFrame, grouping: str = "shared", listed: int = 8) -> DataFrame:
-    """Per source the first thing that blocks saving: problem ('' when none), n_pages and the first page numbers."""
+    """Per source the first thing that blocks saving: problem ('' when none), n_pages and the first page numbers.
+
+    Optional columns come before the pages' problems, in this order: job_status
+    other than review, as queued, analyzing, error, exporting or not_in_review;
+    first_page_error without a decision, as first_page.  They list no pages.
+    """
+    job = F.col("job_status") if "job_status" in pages.columns else F.lit("review")
+    decided = F.coalesce(F.col("decision"), F.lit("")) != "" if "decision" in pages.columns else F.lit(False)
+    error = F.coalesce(F.col("first_page_error"), F.lit(False)) & ~decided if "first_page_error" in pages.columns else F.lit(False)
     runs = page_runs(pages, grouping).withColumn("id", F.row_number().over(Window.partitionBy("source").orderBy("idx")))
     free = (F.col("kind") == "B") | ((F.col("kind") == "A") & ~F.col("anchor").eqNullSafe(F.lit("C")))
     which = F.when(free, F.when(F.col("effective_state") == "pending", 1).when(F.col("effective_state") == "review", 2).when(F.col("effective_state") == "cover", 3).otherwise(4))
+    status = F.when(job.isin("queued", "analyzing", "error", "exporting"), job).when(~job.eqNullSafe(F.lit("review")), "not_in_review")
+    runs = runs.withColumns({"_status": status, "_error": error})
     state = runs.withColumn("_p", which).withColumn("_first", F.min("_p").over(Window.partitionBy("source")))
-    out = state.groupBy("source").agg(F.min("_first").alias("p"), F.count_if(F.col("_p") == F.col("_first")).alias("n_pages"), F.count_if(F.col("kind") == "C").alias("_docs"), F.sort_array(F.collect_list(F.when(F.col("_p") == F.col("_first"), F.col("id")))).alias("_ids"))
+    out = state.groupBy("source").agg(F.min("_first").alias("p"), F.count_if(F.col("_p") == F.col("_first")).alias("n_pages"), F.count_if(F.col("kind") == "C").alias("_docs"), F.sort_array(F.collect_list(F.when(F.col("_p") == F.col("_first"), F.col("id")))).alias("_ids"), F.coalesce(F.max("_status"), F.when(F.bool_or("_error"), "first_page")).alias("_job"))
+    out = out.withColumns({"n_pages": F.when(F.col("_job").isNull(), F.col("n_pages")).otherwise(F.lit(0).cast("long")), "_ids": F.when(F.col("_job").isNull(), F.col("_ids")).otherwise(F.slice("_ids", 1, 0))})
     p = F.col("p")
     names = F.when(p == 1, "pending").when(p == 2, "review").when(p == 3, "cover_without_number").when(p == 4, "loose")
-    return out.select("source", F.coalesce(names, F.when(F.col("_docs") == 0, "no_documents"), F.lit("")).alias("problem"), "n_pages", F.array_join(F.slice("_ids", 1, listed), ",").alias("page_ids"), (F.size("_ids") > listed).alias("truncated"))
+    return out.select("source", F.coalesce("_job", names, F.when(F.col("_docs") == 0, "no_documents"), F.lit("")).alias("problem"), "n_pages", F.array_join(F.slice("_ids", 1, listed), ",").alias("page_ids"), (F.size("_ids") > listed).alias("truncated"))

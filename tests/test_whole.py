@@ -5,8 +5,8 @@ import re
 
 from docbatch.functions.text import heading_line_distance
 from docbatch.jobs.catalog import QUERIES
-from docbatch.operators.archive import claim_names, saveable_prefix
-from docbatch.operators.grouping import pause_points
+from docbatch.operators.archive import archive_gate, claim_names, saveable_prefix
+from docbatch.operators.grouping import approval_problems, pause_points
 from pyspark.sql import functions as F
 
 
@@ -109,3 +109,15 @@ def test_clashing_names(spark):
         want[i] = name
     got = claim_names(spark.createDataFrame(rows, "folder string, stem string, i long"), spark.createDataFrame(taken, "folder string, stem string, number int"), "i")
     assert {r["i"]: r["name"] for r in got.collect()} == want and [want[i] for i in range(5)] == ["A", "A_02", "A_02_02", "B_02", "B_03"]
+
+
+def test_gate_and_problems(spark):
+    rows = [
+        ("a", 0, "cover", "review", False, None, True, "exporting", ""), ("b", 0, "cover", "review", True, "cover", True, "review", ""), ("c", 0, "cover", "review", True, None, True, "review", "first_page"),
+        ("d", 0, "cover", "review", False, None, False, "review", ""), ("e", 0, "pending", "review", True, "", True, "review", "first_page"), ("f", 0, "pending", "analyzing", True, None, True, "review", "analyzing"),
+        ("g", 0, "cover", "done", False, None, True, "exporting", "not_in_review"), ("h", 0, "review", "error", False, None, True, "review", "error"), ("i", 0, "pending", "review", False, None, True, "review", "pending"),
+    ]
+    df = spark.createDataFrame([(r[0], r[1], "N", *r[2:7]) for r in rows], "source string, idx int, number string, effective_state string, job_status string, first_page_error boolean, decision string, auto_save boolean")
+    assert {r["source"]: r["status"] for r in archive_gate(df).collect()} == {r[0]: r[7] for r in rows}
+    got = {r["source"]: (r["problem"], r["n_pages"], r["page_ids"]) for r in approval_problems(df).collect()}
+    assert got == {r[0]: (r[8], *((1, "1") if r[8] == "pending" else (0, ""))) for r in rows}
