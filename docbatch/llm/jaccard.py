@@ -1,17 +1,22 @@
 """Exact Jaccard join of documents as a metric-space join with pivots.
 
-Jaccard distance is a metric.  The space is first cut into regions in which
-linked documents must meet: each document goes to the regions of its rarest
-shingles, n - ceil(0.75 n) + 1 of them, which two sets of similarity 0.75 can't
-all differ in.  Regions with the same members are one.  The pivot of a region is
-the member that shares most of its rare shingles; members near it are linked to
-it.  A region whose members are all connected is done, since no further link can
-change a component.  Open regions of few members are compared pairwise, within
-the window that the triangle inequality leaves.  Larger ones are joined again
-by what their members differ in from the pivot (see `differences`): the cells
-hold members that don't link with the pivot among themselves, and such members
-near the boundary beside those that link.  What is left after the last round is
-compared pairwise.
+Jaccard distance is a metric, and so is the size of the symmetric difference.
+Distances between unrelated texts are all 1, which no pivot can tell apart, so
+the space is cut first where linked documents must meet: each document lies in
+the regions of its rarest shingles, n - ceil(0.75 n) + 1 of them, which two sets
+of similarity 0.75 can't all differ in.  In each region a member has a window of
+sizes: from the empty set as pivot a linked set is no farther than the
+difference allows, less the rarer shingles that it can't share there (see
+`windows`).  A member in no other's window leaves the region.
+
+In a region the member with most rare shingles in common with others is the
+pivot; members near it are linked to it, and what is then connected needs no
+further pair.  Open regions of many members are cut into Voronoi cells: each
+member goes to the nearest of some pivots, and, at the boundary, to the cells of
+all pivots that are at most two radii farther; cells are joined again in the
+same way.  What is small, or doesn't get smaller, is joined pairwise within the
+windows of size and of distance to the pivot.  Sketches of the sets drop pairs
+that can't link before their texts are sent.
 
 Sets are compared by 64-bit hashes of their shingles, nodes (distinct sets) by
 128-bit hashes.
@@ -35,13 +40,18 @@ SHINGLE = 5
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 _RADIUS = 1 - PERCENT / 100
-_COUNTED = 8192  # documents whose shingles are counted together
+_COUNTED, _AT_ONCE = 8192, 1 << 22  # documents, and shingles, that are counted together
 _OFTEN = 4  # shingles this frequent among them are reported
 
 
-def _node(own: np.ndarray) -> tuple[int, int]:
+def _node(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits that name a set: its number, of so many bits, and the rest to tell apart sets that share one."""
     whole = xxhash.xxh3_128_intdigest(own.tobytes())
-    return (whole & 2**64 - 1) - 2**63, (whole >> 64) - 2**63
+    return (whole & 2**bits - 1) - 2**63, (whole >> 64) - 2**63
+
+
+def _numbers(sets: list[np.ndarray], bits: int, clashing: frozenset) -> list[int]:
+    return [second if first in clashing else first for first, second in (_node(s, bits) for s in sets)]
 
 
 _STATS = "doc_id long, n long, node long, check long, sketch binary, key long, times long"
@@ -69,10 +79,10 @@ def _gap(a: bytes, b: bytes) -> int:
     return int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0))[sure].sum())
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stats(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows of (key, times) for shingles that are frequent among neighbours."""
     held: list[np.ndarray] = []
-    docs = 0
+    docs = shingles = 0
 
     def frequent() -> pa.RecordBatch:
         keys, times = np.unique(np.concatenate(held), return_counts=True)
@@ -82,14 +92,14 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in slices(batches, "text"):
         sets = shingle_sets(b.column("text"), SHINGLE)
-        node, check = zip(*map(_node, sets), strict=True)
+        node, check = zip(*(_node(s, bits) for s in sets), strict=True)
         none = pa.nulls(len(sets), pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(map(_sketch, sets), pa.binary()), none, none], names=["doc_id", "n", "node", "check", "sketch", "key", "times"])
         held += sets
-        docs += len(sets)
-        if docs >= _COUNTED:
+        docs, shingles = docs + len(sets), shingles + sum(map(len, sets))
+        if docs >= _COUNTED or shingles >= _AT_ONCE:
             yield frequent()
-            held, docs = [], 0
+            held, docs, shingles = [], 0, 0
     if held:
         yield frequent()
 
@@ -108,20 +118,35 @@ def prefix(own: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarray
     return np.concatenate([rare, own[often][np.argsort(order[at[often]], kind="stable")][: size - len(rare)]])
 
 
-def _postings(common: np.ndarray, order: np.ndarray, shares: np.ndarray, buckets: int):
-    """Rows (bucket, salt, keys, nodes); a key that is too frequent for one task is dealt out by salt."""
+def quantised(n: np.ndarray) -> np.ndarray:
+    """Sizes from 1 on as 16 bits that keep their order: exponent and the upper bits of the fraction."""
+    return ((np.asarray(n, np.float32).view(np.uint32) - np.uint32(127 << 23)) >> np.uint32(13)).astype(np.uint16)
+
+
+def windows(n: int, places: int) -> np.ndarray:
+    """The largest set that a set of n shingles can link with when the first shingle they share is at each place of its order.
+
+    Sets x and y link when they share t / (1 + t) of both sizes together or
+    more; from place i on x has n - i shingles to share.
+    """
+    return ((100 + PERCENT) * (n - np.arange(places)) - PERCENT * n) // PERCENT
+
+
+def _postings(common: np.ndarray, order: np.ndarray, shares: np.ndarray, buckets: int, bits: int, clashing: frozenset):
+    """Rows (bucket, salt, keys, nodes, windows); a key that is too frequent for one task is dealt out by salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            own = {}
-            for s in shingle_sets(b.column("text"), SHINGLE):
-                if len(s):
-                    own.setdefault(_node(s)[0], s)
+            sets = [s for s in shingle_sets(b.column("text"), SHINGLE) if len(s)]
+            own = dict(zip(_numbers(sets, bits, clashing), sets, strict=True))
             if not own:
                 continue
             parts = [prefix(s, common, order) for s in own.values()]
+            places = [len(p) for p in parts]
             keys = np.concatenate(parts)
-            nodes = np.repeat(np.array(list(own), np.int64), [len(p) for p in parts])
+            nodes = np.repeat(np.array(list(own), np.int64), places)
+            caps = np.concatenate([windows(len(s), k) for s, k in zip(own.values(), places, strict=True)])
+            window = np.repeat(quantised(np.array([len(s) for s in own.values()])), places).astype(np.uint32) << np.uint32(16) | quantised(caps)
             with np.errstate(over="ignore"):
                 bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
                 salt = np.zeros(len(keys), np.int64)
@@ -129,43 +154,55 @@ def _postings(common: np.ndarray, order: np.ndarray, shares: np.ndarray, buckets
                     at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
                     many = (common[at] == keys) & (shares[at] > 1)
                     salt[many] = (mix64(nodes[many].view(np.uint64)) % shares[at[many]].astype(np.uint64)).astype(np.int64) + 1
-            sorted_ = np.lexsort((bucket, salt))
-            keys, nodes, bucket, salt = keys[sorted_], nodes[sorted_], bucket[sorted_], salt[sorted_]
+            by = np.lexsort((bucket, salt))
+            keys, nodes, bucket, salt, window = (keys[by] >> np.uint64(32)).astype(np.uint32), nodes[by], bucket[by], salt[by], window[by]
             first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])]))
-            offsets = pa.py_buffer((np.append(first, len(keys)) * 8).astype(np.int32))
-            blob = lambda x, k=len(first), o=offsets: pa.Array.from_buffers(pa.binary(), k, [None, o, pa.py_buffer(x)])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(salt[first]), blob(np.ascontiguousarray(keys)), blob(np.ascontiguousarray(nodes))], names=["bucket", "salt", "keys", "nodes"])
+            ends = np.append(first, len(keys))
+            blob = lambda x, k=len(first), e=ends: pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((e * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(salt[first]), blob(keys), blob(nodes), blob(window)], names=["bucket", "salt", "keys", "nodes", "windows"])
 
     return run
 
 
+def _others(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, best, none: int) -> np.ndarray:
+    """The best of the other values of each group."""
+    top = np.repeat(best.reduceat(values, first), sizes)
+    at_top = values == top
+    alone = np.repeat(np.add.reduceat(at_top.astype(np.int64), first), sizes) == 1
+    second = np.repeat(best.reduceat(np.where(at_top, none, values), first), sizes)
+    return np.where(at_top & alone, second, top)
+
+
 def _regions(table: pa.Table) -> pa.Table:
-    """The regions of a bucket that have several members: (region, node, pivot)."""
+    """The regions of a bucket with members in each other's windows: (region, node, size, cap).
+
+    Keys that share the 32 bits sent are one region, which loses nothing.
+    """
     whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    keys, nodes = whole("keys", np.uint64), whole("nodes", np.int64)
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, window = whole("keys", np.uint32), whole("nodes", np.int64), whole("windows", np.uint32)
+    order = np.lexsort((-window.astype(np.int64), nodes, keys))
+    keys, nodes, window = keys[order], nodes[order], window[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
-    salt = table.column("salt")[0].as_py()
+    keys, nodes, size, cap = keys[new], nodes[new], (window[new] >> np.uint32(16)).astype(np.int64), (window[new] & np.uint32(0xFFFF)).astype(np.int64)
+    bucket, salt = table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
     with np.errstate(over="ignore"):
-        # regions with equal members get one number; unequal ones that share it are joined together, which loses nothing
-        region = np.add.reduceat(mix64(nodes.view(np.uint64)), first).view(np.int64)
-        if salt:
-            region = mix64(keys[first]).view(np.int64)
-    several = (sizes > 1) | (salt > 0)
-    _, one = np.unique(region, return_index=True)
-    pick = np.zeros(len(first), bool)
-    pick[one] = True
-    if salt:
-        pick[:] = True
-    pick &= several
-    members = np.repeat(pick, sizes)
-    pivot = np.repeat(nodes[first], sizes)  # the smallest node number, as random as any
-    return pa.table({"region": pa.array(np.repeat(region, sizes)[members]), "node": pa.array(nodes[members]), "pivot": pa.array(pivot[members])})
+        if salt:  # part of its members only
+            region = mix64(keys.astype(np.uint64) | np.uint64(bucket << 32)).view(np.int64)
+        else:
+            for _ in range(3):
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                if not len(first):
+                    break
+                sizes = np.diff(np.append(first, len(keys)))
+                kept = (_others(size, first, sizes, np.minimum, 1 << 20) <= cap) & (_others(cap, first, sizes, np.maximum, -1) >= size)
+                keys, nodes, size, cap = keys[kept], nodes[kept], size[kept], cap[kept]
+            if not len(keys):
+                return pa.table({c: pa.array([], pa.int64()) for c in ("region", "node", "size", "cap")})
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            # regions with equal members get one number; unequal ones that share it are joined together, which loses nothing
+            region = np.repeat(np.add.reduceat(mix64(nodes.view(np.uint64)), first).view(np.int64), np.diff(np.append(first, len(keys))))
+    return pa.table({"region": pa.array(region), "node": pa.array(nodes), "size": pa.array(size), "cap": pa.array(cap)})
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +225,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, p, common, whole)], names=["node", "pivot", "common", "whole"])
 
 
-_FEW = 300_000  # rows of pairs that may be broadcast, some 15 MB
+_FEW = 100_000  # rows of pairs that may be broadcast, some 5 MB
 
 
 def _measure(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -221,120 +258,59 @@ def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("node", "pivot", "_a", "_b", "_sa", "_sb").mapInArrow(_close, "node long, pivot long")
 
 
-def _ranked(own: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Shingles in the global order: rare ones by hash, then common ones by how common they are."""
-    if not len(common):
-        return own
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    often = common[at] == own
-    return np.concatenate([own[~often], own[often][np.argsort(order[at[often]], kind="stable")]])
+_ROWS, _PAIRS = 1 << 16, 1 << 20
 
 
-def differences(own: np.ndarray, pivot: np.ndarray, common: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int, int, bool]:
-    """The difference of a set and its pivot in one order, how much of it to post, and whether the two link.
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (node, pivot) of a region's members in each other's windows that aren't connected.
 
-    Let D be the difference, s = (1 - t) / (1 + t).  Sets x and y link when
-    |x ^ y| <= s (|x| + |y|), and |Dx & Dy| = (|Dx| + |Dy| - |x ^ y|) / 2.  If y
-    doesn't link with the pivot p, |Dy| > s (|y| + |p|), so that
-    |Dx & Dy| > (|Dx| + s (|p| - |x|)) / 2: the least common element is in the
-    first `first` of Dx.  If y links with p, |Dy| >= |Dx| - |x ^ y| holds by the
-    triangle inequality, which gives `bound`.  Elements that x has beyond p come
-    first; of them at least t |x| - |x & p| are common.
-    """
-    near, whole = 100 - PERCENT, 100 + PERCENT
-    extra = np.setdiff1d(own, pivot, assume_unique=True)
-    missing = np.setdiff1d(pivot, own, assume_unique=True)
-    n, m, both = len(own), len(pivot), len(own) - len(extra)
-    d = len(extra) + len(missing)
-    linked = both * 100 >= (n + m - both) * PERCENT
-    beyond = (PERCENT * n + 99) // 100 - both
-    first = d - max(1, (whole * d + near * (m - n)) // (2 * whole) + 1) + 1
-    bound = d - max(1, d - near * (PERCENT * n + 100 * min(n, m)) // (whole * PERCENT)) + 1
-    if beyond >= 1:
-        first, bound = min(first, len(extra) - beyond + 1), min(bound, len(extra) - beyond + 1)
-    elements = np.concatenate([_ranked(extra, common, order), _ranked(missing, common, order)[::-1]])
-    # a member that links is at most the radius from the pivot, so its partners are at most two radii away
-    far = both * 100 < (n + m - both) * (2 * PERCENT - 100)
-    return elements, first, 0 if linked or far else bound, linked
-
-
-def _centred(common: np.ndarray, order: np.ndarray, buckets: int):
-    """Postings of differences from the pivot; rows sorted by (pivot, salt, member), as for _compare.
-
-    role 0: members that don't link with the pivot, among themselves; role 1
-    and 2: such members near the boundary, and those that link with the pivot.
+    Rows sorted by (region, low, high): the members of blocks low and high of a
+    region, which pair with each other, or among themselves where they are one.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
-        for b in slices(batches, "text"):
-            keys, nodes, low = [], [], []
-
-            def post(elements, node, role, at):
-                with np.errstate(over="ignore"):
-                    keys.append(mix64(elements ^ mix64(np.array([at], np.int64).view(np.uint64)) ^ np.uint64(role > 0)))
-                nodes.append(np.full(len(elements), node, np.int64))
-                low.append(np.full(len(elements), (0, 2, 3)[role], np.uint32))
-
-            for s, node, at, member in zip(shingle_sets(b.column("text"), SHINGLE), *(b.column(c).to_pylist() for c in ("node", "pivot", "member")), strict=True):
-                if not member:
-                    pivot, own = at, s
-                    continue
-                if at != pivot:
-                    raise ValueError("a pivot's text is missing")
-                elements, first, bound, linked = differences(s, own, common, order)
-                if linked:
-                    post(elements[:first], node, 2, at)
-                else:
-                    post(elements[:first], node, 0, at)
-                    if bound:
-                        post(elements[:bound], node, 1, at)
-            if keys:
-                keys, nodes, low = np.concatenate(keys), np.concatenate(nodes), np.concatenate(low)
-                yield _blobs((keys >> np.uint64(34)).astype(np.uint32) << np.uint32(2) | low, nodes, (mix64(keys) % np.uint64(buckets)).astype(np.int64))
-
-    return run
-
-
-def _blobs(keys: np.ndarray, nodes: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    by = np.argsort(bucket, kind="stable")
-    keys, nodes, bucket = keys[by], nodes[by], bucket[by]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.array([], np.int64)
-
-    def blob(x):
-        offsets = pa.py_buffer((np.append(first, len(keys)) * x.itemsize).astype(np.int32))
-        return pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))])
-
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), blob(keys), blob(nodes)], names=["bucket", "keys", "nodes"])
-
-
-def _cells(table: pa.Table) -> pa.Table:
-    """The cells of a bucket that can hold a pair: (region, node, role); cells of equal members get one number.
-
-    Cells whose 32-bit numbers are equal within a bucket are joined together, which loses nothing.
-    """
-    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    keys, nodes = whole("keys", np.uint32), whole("nodes", np.int64)
-    by = np.lexsort((nodes, keys))
-    keys, nodes = keys[by], nodes[by]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
-    roles, keys = np.array([0, 0, 1, 2])[keys & np.uint32(3)], keys >> np.uint32(1)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
-    linked, single = np.add.reduceat((roles == 2).astype(np.int64), first), np.add.reduceat((roles == 1).astype(np.int64), first)
-    with np.errstate(over="ignore"):
-        region = np.add.reduceat(mix64(nodes.view(np.uint64) + roles.astype(np.uint64)), first).view(np.int64)
-    pick = (sizes > 1) & ((linked + single == 0) | ((linked > 0) & (single > 0)))
-    _, one = np.unique(region, return_index=True)
-    once = np.zeros(len(first), bool)
-    once[one] = True
-    members = np.repeat(pick & once, sizes)
-    return pa.table({"region": pa.array(np.repeat(region, sizes)[members]), "node": pa.array(nodes[members]), "role": pa.array(roles[members])})
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        region, low, high, block, node, size, cap, comp = (t.column(c).to_numpy() for c in ("region", "low", "high", "block", "node", "size", "cap", "comp"))
+        far = t.column("far").fill_null(float("nan")).to_numpy()
+        new = np.concatenate([[True], (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        group = np.cumsum(new)
+        by = np.lexsort((size, group))
+        group, block, node, size, cap, comp, far, two = group[by], block[by], node[by], size[by], cap[by], comp[by], far[by], (low != high)[by]
+        place = group * (1 << 20) + size
+        ends = np.searchsorted(place, group * (1 << 20) + cap, side="right")
+        counts = np.maximum(ends - np.arange(len(ends)) - 1, 0)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        at = 0
+        while at < len(counts):
+            to = max(int(np.searchsorted(total, total[at] + _PAIRS, side="right")) - 1, at + 1)
+            x = np.repeat(np.arange(at, to), counts[at:to])
+            y = np.arange(len(x)) - np.repeat(total[at:to] - total[at], counts[at:to]) + x + 1
+            gap = np.abs(far[x] - far[y])
+            fits = (cap[y] >= size[x]) & (comp[x] != comp[y]) & (~two[x] | (block[x] != block[y])) & ~(gap > _RADIUS + 1e-9)
+            a, b = node[x[fits]], node[y[fits]]
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            if both.size:
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["node", "pivot"])
+            at = to
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) < _ROWS:
+            continue
+        t = pa.Table.from_batches(held)
+        last = [t.column(c)[-1] for c in ("region", "low", "high")]
+        same = np.ones(t.num_rows, bool)
+        for c, v in zip(("region", "low", "high"), last, strict=True):
+            same &= t.column(c).to_numpy() == v.as_py()
+        cut = int(np.argmax(same))  # a group isn't cut
+        if cut:
+            yield from pairs(t.slice(0, cut))
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
 
 
-def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int = 2000) -> DataFrame:
+def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int = 250) -> DataFrame:
     """The texts of pairs (node, pivot) beside their pivots' texts, each pivot's first; a pivot with many goes to several tasks."""
     pairs = materialize(pairs, "pairs")
     salts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")), "salts")
@@ -347,14 +323,20 @@ def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int =
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
 
 
-def links(texts: DataFrame, few: int = 36, rounds: int = 5, per_salt: int = 20_000, bucket_rows: int = 250_000) -> tuple[DataFrame, DataFrame]:
-    """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes."""
-    stats = materialize(texts.mapInArrow(_stats, _STATS), "stats")
+def links(texts: DataFrame, few: int = 64, rounds: int = 3, pivots: int = 4, block: int = 512, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes.
+
+    Regions of more than `few` members are cut into Voronoi cells, at most
+    `rounds` times; `bits` is the width of the numbers of sets.
+    """
+    stats = materialize(texts.mapInArrow(lambda batches: _stats(batches, bits), _STATS), "stats")
     docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
-    nodes = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("sketch").alias("sketch"))
+    # sets that share a number go by the rest of their hash; of 10^10 sets about three share one of 64 bits
+    clashing = frozenset(r["node"] for r in docs.where("n > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node").collect())
+    if clashing:
+        docs = materialize(docs.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("check")).otherwise(F.col("node"))), "renumbered")
+    nodes = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
-    if not nodes.where("low <> high").isEmpty():
-        raise ValueError("two different sets share a 64-bit number")
     total = docs.agg(F.sum("n")).first()[0] or 0
     # at most total / (total >> 19) = 2^19 shingles can be this common, whatever the corpus: 12 MB
     common = stats.where("key is not null").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= max(32, total >> 19)).toArrow()
@@ -364,55 +346,70 @@ def links(texts: DataFrame, few: int = 36, rounds: int = 5, per_salt: int = 20_0
     order = np.empty(len(key), np.int64)
     order[np.lexsort((key, times))] = np.arange(len(key))
     buckets = max(1024, total // 4 // bucket_rows)
-    posted = texts.mapInArrow(_postings(key, order, -(-times // per_salt), buckets), "bucket long, salt long, keys binary, nodes binary")
-    regions = posted.groupBy("bucket", "salt").applyInArrow(_regions, "region long, node long, pivot long")
-    regions = materialize(regions.select("region", "node").distinct(), "parts")
+    posted = texts.mapInArrow(_postings(key, order, -(-times // per_salt), buckets, bits, clashing), "bucket long, salt long, keys binary, nodes binary, windows binary")
+    regions = posted.groupBy("bucket", "salt").applyInArrow(_regions, "region long, node long, size long, cap long")
+    regions = materialize(regions.groupBy("region", "node").agg(F.min("size").alias("size"), F.max("cap").alias("cap")), "regions")
     # a text that others derive from shares all its rare shingles with them, so it lies in more regions than they do
-    size = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    scores = regions.groupBy("node").agg(F.count("*").alias("_r")).join(nodes.select("node", "n"), "node")
-    scores = materialize(scores.select("node", "n", (F.col("_r") * F.col("_r") / size).alias("score")), "scores")
-    open_ = materialize(regions.join(scores, "node").withColumn("role", F.lit(0).cast("long")), "regions")
+    scores = regions.groupBy("node").agg((2 * F.log2(F.count("*")) - F.min("size") / 1024).alias("score"))
+    open_ = materialize(regions.join(scores, "node"), "scored")
 
     comps = nodes.sparkSession.createDataFrame([], "node long, comp long")
 
-    def grow(pairs: DataFrame) -> DataFrame:
-        """Measures pairs; what links goes into the components."""
+    def grow(pairs: DataFrame, all_: bool = False) -> DataFrame:
+        """Measures pairs, all or those that can link; what links goes into the components."""
         nonlocal comps
-        measured = _measure(texts, nodes, _sized(pairs, nodes))
+        measured = _measure(texts, nodes, pairs if all_ else _sized(pairs, nodes))
         more = measured.where(_linked()).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         if not more.isEmpty():
             comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
         return measured
 
-    sizes = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-    for turn in range(rounds):
-        open_ = materialize(open_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "joined")
-        best = open_.groupBy("region").agg(F.max(F.struct("score", "node", "n", "comp", "role")).alias("_p"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b")
-        open_ = open_.join(best.select("region", "_p"), "region").withColumn("pivot", F.col("_p.node"))
-        open_ = materialize(open_, "open")
-        apart = (F.col("comp") != F.col("_p.comp")) & ((F.col("role") == 0) | (F.col("role") != F.col("_p.role")))
-        star = open_.where(apart & sizes("n", "_p.n")).select("node", "pivot").distinct()
-        measured = grow(star)
-        far = measured.select("node", "pivot", (1 - F.col("common") / F.col("whole")).alias("far"))
-        now = open_.where("node <> pivot").drop("comp", "_p").join(far, ["node", "pivot"], "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = materialize(now.select("region", "node", "n", "score", "role", "pivot", "far", "comp"), "labelled")
-        state = now.groupBy("region").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("m"), F.count_if(F.col("role") == 1).alias("_u"), F.count_if(F.col("role") == 2).alias("_l"))
-        cost = F.when(F.col("_l") > 0, F.col("_u") * F.col("_l")).otherwise(F.col("m") * (F.col("m") - 1) / 2)
-        state = materialize(state.where("_a <> _b").select("region", "m", cost.alias("cost")), "state")
-        left = materialize(now.join(state, "region"), "left")
-        most = few * few / 2 if turn < rounds - 1 else float("inf")
-        small = left.where(F.col("cost") <= most)
-        other = small.select("region", F.col("node").alias("_n"), F.col("n").alias("_s"), F.col("comp").alias("_c"), F.col("role").alias("_r"), F.col("far").alias("_f"))
-        near = (F.abs(F.col("far") - F.col("_f")) <= _RADIUS + 1e-9) | F.col("far").isNull() | F.col("_f").isNull()
-        apart = ((F.col("role") == 0) & (F.col("node") < F.col("_n"))) | ((F.col("role") == 1) & (F.col("_r") == 2))
-        within = small.join(other, "region").where(apart & (F.col("comp") != F.col("_c")) & near & sizes("n", "_s"))
-        grow(within.select(F.least("node", "_n").alias("node"), F.greatest("node", "_n").alias("pivot")).distinct())
-        large = left.where(F.col("cost") > most).select("node", "pivot").distinct()
-        if large.isEmpty():
+    def still_open(members: DataFrame) -> DataFrame:
+        """Members of the regions that aren't all connected, with comp and the count m of members."""
+        named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = materialize(named, "named")
+        several = named.groupBy("region").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("m")).where("_a <> _b").select("region", "m")
+        return materialize(named.join(several, "region"), "open")
+
+    distance = (1 - F.col("common") / F.col("whole")).alias("far")
+    best = open_.groupBy("region").agg(F.max(F.struct("score", "node", "size", "cap")).alias("_p"))
+    star = open_.join(best, "region").withColumn("pivot", F.col("_p.node")).where("node <> pivot")
+    star = materialize(star.withColumn("_fits", (F.col("size") <= F.col("_p.cap")) & (F.col("_p.size") <= F.col("cap"))).drop("_p"), "star")
+    measured = grow(star.where("_fits").select("node", "pivot").distinct()).select("node", "pivot", distance)
+    members = star.join(measured, ["node", "pivot"], "left").select("region", "node", "size", "cap", "far")
+
+    done = []
+    for turn in range(rounds + 1):
+        left = still_open(members)
+        large = left.where(F.col("m") > few)
+        done.append(left.where(F.col("m") <= few))
+        if turn == rounds or large.isEmpty():
+            done.append(large)
             break
-        centred = _sent(texts, nodes, large).mapInArrow(_centred(key, order, buckets), "bucket long, keys binary, nodes binary")
-        cells = centred.groupBy("bucket").applyInArrow(_cells, "region long, node long, role long").distinct()
-        open_ = materialize(cells.join(scores, "node").select("region", "node", "n", "score", "role"), "cells")
+        # the pivots of a region, as random as hashes; members and pivots as pairs, whatever their windows
+        chosen = [F.max(F.struct(F.xxhash64("node", F.lit(turn * pivots + j)), "node"))["node"] for j in range(pivots)]
+        cut = large.groupBy("region").agg(F.array_distinct(F.array(*chosen)).alias("_at"))
+        pairs = materialize(large.join(cut, "region").select("region", "node", "size", "cap", "m", F.explode("_at").alias("pivot")), "to-pivots")
+        away = grow(pairs.where("node <> pivot").select("node", "pivot").distinct(), all_=True).select("node", "pivot", distance)
+        placed = pairs.join(away, ["node", "pivot"], "left").withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
+        home = placed.groupBy("region", "node").agg(F.min("far").alias("_home"))
+        cells = placed.join(home, ["region", "node"]).where(F.col("far") <= F.col("_home") + 2 * _RADIUS + 1e-9)
+        cells = materialize(cells.select("region", F.xxhash64("region", "pivot").alias("cell"), "node", "size", "cap", "m", "far"), "cells")
+        # cells that leave as many pairs as before are of no use
+        worth = cells.groupBy("region", "cell").agg(F.count("*").alias("_k"), F.first("m").alias("m")).groupBy("region").agg((F.sum(F.col("_k") * F.col("_k")) * 10 < F.first("m") * F.first("m") * 9).alias("_worth")).where("_worth").select("region")
+        worth = materialize(worth, "worth")
+        done.append(large.join(worth, "region", "left_anti"))
+        members = cells.join(worth, "region", "left_semi").select(F.col("cell").alias("region"), "node", "size", "cap", "far")
+
+    leaves = done[0]
+    for more in done[1:]:
+        leaves = leaves.unionByName(more)
+    leaves = leaves.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    blocks = F.ceil(F.col("m") / block)
+    leaves = leaves.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    leaves = leaves.select("region", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "node", "size", "cap", "comp", "far")
+    leaves = leaves.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
+    grow(leaves.mapInArrow(_within, "node long, pivot long").distinct())
     return docs.select("doc_id", "n", "node"), comps
 
 

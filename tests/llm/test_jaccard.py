@@ -42,6 +42,45 @@ def test_links_equal_all_pairs(spark, seed, few, per_salt):
     assert {d: smallest[c] for d, c in got.items()} == components(data)
 
 
+def test_sets_that_share_a_number(spark):
+    """Numbers of 4 bits clash nearly always; the rest of the hash tells the sets apart."""
+    data = dict(enumerate(texts(11, 60)))
+    own, comps = links(spark.createDataFrame(list(data.items()), "doc_id long, text string"), bits=4)
+    comp = {r["node"]: r["comp"] for r in rows(comps)}
+    got = {r["doc_id"]: comp.get(r["node"], r["node"]) if r["n"] else ("none", r["doc_id"]) for r in rows(own)}
+    smallest = {c: min(d for d in got if got[d] == c) for c in set(got.values())}
+    assert {d: smallest[c] for d, c in got.items()} == components(data)
+
+
+def test_blocks_and_windows():
+    """All pairs of a region in each other's windows, and no others, however rows are batched."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docbatch.llm.jaccard import _within, quantised, windows
+
+    rng = np.random.default_rng(5)
+    found, want, rows_ = set(), set(), []
+    for region in range(30):
+        m = int(rng.integers(1, 40))
+        blocks = 1 + region % 3
+        members = [(int(rng.integers(1 << 40)), int(rng.integers(100, 140)), int(rng.integers(90, 150)), int(rng.integers(6))) for _ in range(m)]
+        for i, (a, s, c, k) in enumerate(members):
+            own = i % blocks
+            rows_ += [(region, min(own, j), max(own, j), own, a, s, c, k, None) for j in range(blocks)]
+            want |= {(min(a, b), max(a, b)) for b, t, d, o in members if t <= c and s <= d and k != o}
+    rows_.sort(key=lambda r: r[:3])
+    names = ["region", "low", "high", "block", "node", "size", "cap", "comp", "far"]
+    kinds = [pa.int64()] * 8 + [pa.float64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows_[at : at + 7]], kinds[k]) for k in range(9)], names=names) for at in range(0, len(rows_), 7)]
+    for out in _within(iter(batches)):
+        found |= set(zip(*(out.column(k).to_pylist() for k in range(2)), strict=True))
+    assert found == want
+    sizes = np.arange(1, 5000)
+    assert (np.diff(quantised(sizes).astype(int)) >= 0).all()
+    assert windows(4, 2).tolist() == [5, 3] and windows(1, 1).tolist() == [1]
+
+
 def test_near_duplicates(spark):
     data = [*enumerate(texts(7, 60)), (3, "zz yy"), (500, texts(7, 60)[5]), (None, "one two"), (None, None)]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in data], "doc_id long, text string, n long, node long")
