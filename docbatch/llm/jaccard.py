@@ -11,11 +11,10 @@ difference allows, less the rarer shingles that it can't share there (see
 
 In a region the member with most rare shingles in common with others is the
 pivot; members near it are linked to it, and what is then connected needs no
-further pair.  Open regions of many members are cut into Voronoi cells: each
+further pair.  Open regions with many pairs left are cut into Voronoi cells: each
 member goes to the nearest of some pivots, and, at the boundary, to the cells of
 all pivots that are at most two radii farther; cells are joined again in the
-same way.  What is small, or doesn't get smaller, is joined pairwise within the
-windows of size and of distance to the pivot.  Sketches of the sets drop pairs
+same way, within the windows of size and of distance to the pivot.  Sketches of the sets drop pairs
 that can't link before their texts are sent.
 
 Sets are compared by 64-bit hashes of their shingles, nodes (distinct sets) by
@@ -261,18 +260,20 @@ def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 _ROWS, _PAIRS = 1 << 16, 1 << 20
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (node, pivot) of a region's members in each other's windows that aren't connected.
+def _within(batches: Iterator[pa.RecordBatch], most: float = float("inf")) -> Iterator[pa.RecordBatch]:
+    """Pairs (region, node, pivot) of a region's members in each other's windows that aren't connected.
 
     Rows sorted by (region, low, high): the members of blocks low and high of a
     region, which pair with each other, or among themselves where they are one.
+    Where more than `most` of them are in each other's windows, a row without
+    node and pivot stands for them.
     """
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         region, low, high, block, node, size, cap, comp = (t.column(c).to_numpy() for c in ("region", "low", "high", "block", "node", "size", "cap", "comp"))
         far = t.column("far").fill_null(float("nan")).to_numpy()
         new = np.concatenate([[True], (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        group = np.cumsum(new)
+        group, where = np.cumsum(new) - 1, region[new]
         by = np.lexsort((size, group))
         group, block, node, size, cap, comp, far, two = group[by], block[by], node[by], size[by], cap[by], comp[by], far[by], (low != high)[by]
         place = group * (1 << 20) + size
@@ -286,10 +287,16 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = np.arange(len(x)) - np.repeat(total[at:to] - total[at], counts[at:to]) + x + 1
             gap = np.abs(far[x] - far[y])
             fits = (cap[y] >= size[x]) & (comp[x] != comp[y]) & (~two[x] | (block[x] != block[y])) & ~(gap > _RADIUS + 1e-9)
-            a, b = node[x[fits]], node[y[fits]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            if both.size:
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["node", "pivot"])
+            x, y = x[fits], y[fits]
+            many = np.bincount(group[x], minlength=group[-1] + 1) > most
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(where[many]), *[pa.nulls(int(many.sum()), pa.int64())] * 2], names=["region", "node", "pivot"])
+                few = ~many[group[x]]
+                x, y = x[few], y[few]
+            low_, high_ = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            one = np.unique(np.stack([low_, high_]), axis=1, return_index=True)[1]  # the same pair of several regions
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(where[group[x[one]]]), pa.array(low_[one]), pa.array(high_[one])], names=["region", "node", "pivot"])
             at = to
 
     held: list[pa.RecordBatch] = []
@@ -326,8 +333,8 @@ def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int =
 def links(texts: DataFrame, few: int = 64, rounds: int = 3, pivots: int = 4, block: int = 512, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes.
 
-    Regions of more than `few` members are cut into Voronoi cells, at most
-    `rounds` times; `bits` is the width of the numbers of sets.
+    Regions are cut into Voronoi cells, at most `rounds` times, where more pairs
+    are left than `few` members have; `bits` is the width of the numbers of sets.
     """
     stats = materialize(texts.mapInArrow(lambda batches: _stats(batches, bits), _STATS), "stats")
     docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
@@ -378,38 +385,33 @@ def links(texts: DataFrame, few: int = 64, rounds: int = 3, pivots: int = 4, blo
     measured = grow(star.where("_fits").select("node", "pivot").distinct()).select("node", "pivot", distance)
     members = star.join(measured, ["node", "pivot"], "left").select("region", "node", "size", "cap", "far")
 
-    done = []
+    within: list[DataFrame] = []
     for turn in range(rounds + 1):
         left = still_open(members)
-        large = left.where(F.col("m") > few)
-        done.append(left.where(F.col("m") <= few))
-        if turn == rounds or large.isEmpty():
-            done.append(large)
+        blocks = F.ceil(F.col("m") / block)
+        dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = dealt.select("region", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "node", "size", "cap", "comp", "far")
+        dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
+        most = few * few / 2 if turn < rounds else float("inf")
+        joined = materialize(dealt.mapInArrow(lambda batches, most=most: _within(batches, most), "region long, node long, pivot long"), "within")
+        within.append(joined.where("node is not null").select("node", "pivot"))
+        large = left.join(joined.where("node is null").select("region").distinct(), "region")
+        if large.isEmpty():
             break
-        # the pivots of a region, as random as hashes; members and pivots as pairs, whatever their windows
+        # the pivots of a region, as random as hashes
         chosen = [F.max(F.struct(F.xxhash64("node", F.lit(turn * pivots + j)), "node"))["node"] for j in range(pivots)]
         cut = large.groupBy("region").agg(F.array_distinct(F.array(*chosen)).alias("_at"))
-        pairs = materialize(large.join(cut, "region").select("region", "node", "size", "cap", "m", F.explode("_at").alias("pivot")), "to-pivots")
+        pairs = materialize(large.join(cut, "region").select("region", "node", "size", "cap", F.explode("_at").alias("pivot")), "to-pivots")
         away = grow(pairs.where("node <> pivot").select("node", "pivot").distinct(), all_=True).select("node", "pivot", distance)
         placed = pairs.join(away, ["node", "pivot"], "left").withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
         home = placed.groupBy("region", "node").agg(F.min("far").alias("_home"))
         cells = placed.join(home, ["region", "node"]).where(F.col("far") <= F.col("_home") + 2 * _RADIUS + 1e-9)
-        cells = materialize(cells.select("region", F.xxhash64("region", "pivot").alias("cell"), "node", "size", "cap", "m", "far"), "cells")
-        # cells that leave as many pairs as before are of no use
-        worth = cells.groupBy("region", "cell").agg(F.count("*").alias("_k"), F.first("m").alias("m")).groupBy("region").agg((F.sum(F.col("_k") * F.col("_k")) * 10 < F.first("m") * F.first("m") * 9).alias("_worth")).where("_worth").select("region")
-        worth = materialize(worth, "worth")
-        done.append(large.join(worth, "region", "left_anti"))
-        members = cells.join(worth, "region", "left_semi").select(F.col("cell").alias("region"), "node", "size", "cap", "far")
-
-    leaves = done[0]
-    for more in done[1:]:
-        leaves = leaves.unionByName(more)
-    leaves = leaves.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    blocks = F.ceil(F.col("m") / block)
-    leaves = leaves.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    leaves = leaves.select("region", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "node", "size", "cap", "comp", "far")
-    leaves = leaves.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
-    grow(leaves.mapInArrow(_within, "node long, pivot long").distinct())
+        members = cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "size", "cap", "far")
+
+    pairs = within[0]
+    for more in within[1:]:
+        pairs = pairs.unionByName(more)
+    grow(pairs.distinct())
     return docs.select("doc_id", "n", "node"), comps
 
 
