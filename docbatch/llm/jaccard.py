@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from docbatch.llm.graph import components
 from docbatch.llm.store import materialize
-from docbatch.llm.textio import mix64, shingle_sets, slices
+from docbatch.llm.textio import frugal, mix64, shingle_sets, slices
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 _RADIUS = 1 - PERCENT / 100
 _COUNTED, _AT_ONCE = 8192, 1 << 22  # documents, and shingles, that are counted together
-_OFTEN = 4  # shingles this frequent among them are reported
+_OFTEN = 2  # shingles this frequent among them are reported
 
 
 def _node(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
@@ -78,6 +78,7 @@ def _gap(a: bytes, b: bytes) -> int:
     return int(np.abs(x.reshape(-1, n).sum(axis=0) - y.reshape(-1, n).sum(axis=0))[sure].sum())
 
 
+@frugal
 def _stats(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows of (key, times) for shingles that are frequent among neighbours."""
     held: list[np.ndarray] = []
@@ -160,7 +161,7 @@ def _postings(common: np.ndarray, order: np.ndarray, shares: np.ndarray, buckets
             blob = lambda x, k=len(first), e=ends: pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((e * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(salt[first]), blob(keys), blob(nodes), blob(window)], names=["bucket", "salt", "keys", "nodes", "windows"])
 
-    return run
+    return frugal(run)
 
 
 def _others(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, best, none: int) -> np.ndarray:
@@ -204,6 +205,7 @@ def _regions(table: pa.Table) -> pa.Table:
     return pa.table({"region": pa.array(region), "node": pa.array(nodes), "size": pa.array(size), "cap": pa.array(cap)})
 
 
+@frugal
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (pivot, salt, member): each pivot's text comes before the texts to compare it with."""
     pivot, own = None, None
@@ -330,7 +332,7 @@ def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int =
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
 
 
-def links(texts: DataFrame, few: int = 64, rounds: int = 3, pivots: int = 4, block: int = 512, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, few: int = 256, rounds: int = 3, pivots: int = 4, block: int = 512, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes.
 
     Regions are cut into Voronoi cells, at most `rounds` times, where more pairs
@@ -345,8 +347,8 @@ def links(texts: DataFrame, few: int = 64, rounds: int = 3, pivots: int = 4, blo
     nodes = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     total = docs.agg(F.sum("n")).first()[0] or 0
-    # at most total / (total >> 19) = 2^19 shingles can be this common, whatever the corpus: 12 MB
-    common = stats.where("key is not null").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= max(32, total >> 19)).toArrow()
+    # shingles that private ones are to come before; at most total / (total >> 22) = 2^22 can be this common, whatever the corpus: 64 MB
+    common = stats.where("key is not null").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= max(16, total >> 22)).toArrow()
     key, times = common.column("key").to_numpy().view(np.uint64), common.column("times").to_numpy()
     by_key = np.argsort(key)
     key, times = key[by_key], times[by_key]

@@ -68,16 +68,42 @@ class LineRuns:
         return out
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits that tell the texts of one doc_id apart."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
+class _Salts:
+    """Deals the rows of lines that are in very many places to several tasks, on both sides of a join.
+
+    There are at most 2^12 such lines, as each has total / 2^12 places or more.
+    """
+
+    def __init__(self, counts: DataFrame, total: int, per_task: int = 1000) -> None:
+        often = counts.where(F.col("n") >= max(per_task, total >> 12))
+        self.hot = F.broadcast(materialize(often.select(*KEY, F.ceil(F.col("n") / per_task).alias("salts")), "often"))
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        salt = F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("salts", F.lit(1)))
+        return rows.join(self.hot, KEY, "left").withColumn("salt", salt).drop("salts")
+
+    def spread(self, keys: DataFrame) -> DataFrame:
+        salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+        return keys.join(self.hot, KEY, "left").withColumn("salt", F.explode(salts)).drop("salts")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """Rows (doc_id, h1, h2): hashes whose lines leave that document."""
-    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), line).select("doc_id", line_key(F.col("line")).alias("key"))
-    lines = materialize(keys.where(F.length("key") >= min_chars).select("doc_id", *line_hash(F.col("key"))), "lines")
-    # rows bound documents from above, so few hashes are left for the exact count
-    many = materialize(lines.groupBy(*KEY).count().where(F.col("count") >= min_docs).select(*KEY), "many")
-    held = materialize(lines.join(many, KEY, "left_semi").distinct(), "held")
-    common = materialize(held.groupBy(*KEY).count().where(F.col("count") >= min_docs).select(*KEY), "common")
-    held = materialize(held.join(common, KEY, "left_semi"), "common-lines")
+    """Rows (doc_id, t1, t2, places): of each text, the places of the lines that leave it, in order, from 0."""
+    text = F.coalesce("text", F.lit(""))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    keys = cut.select("doc_id", "t1", "t2", "pos", line_key(F.col("line")).alias("key"))
+    lines = materialize(keys.where(F.length("key") >= min_chars).select("doc_id", "t1", "t2", "pos", *line_hash(F.col("key"))), "lines")
+    # places bound documents from above, so few hashes are left for the exact count
+    many = materialize(lines.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "many")
+    salts = _Salts(many, many.agg(F.sum("n")).first()[0] or 0)
+    held = materialize(salts.deal(lines).join(salts.spread(many.select(*KEY)), [*KEY, "salt"], "left_semi"), "held")
+    common = held.select("doc_id", *KEY).distinct().groupBy(*KEY).count().where(F.col("count") >= min_docs).select(*KEY)
+    held = materialize(held.join(salts.spread(materialize(common, "common")), [*KEY, "salt"], "left_semi"), "common-lines")
 
     cuts = held.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("cuts")).first()["cuts"] or []
     bounds = [None, *sorted(set(cuts), reverse=True), None]
@@ -90,7 +116,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch
             inside = inside & (F.col("doc_id") > low)
         batch = held.where(inside).groupBy(*KEY).agg(F.max("doc_id").alias("keeper"))
         runs.add(runs.unseen(batch))
-    return held.join(runs.all(), KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", *KEY)
+    gone = held.join(salts.spread(runs.all()), [*KEY, "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return gone.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+
+
+def without(items: Column, places: Column) -> Column:
+    """The items of an array that aren't at the places, sorted, from 0: the runs between them, so the time is linear."""
+    after = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(places, j - 1) + 1)
+    until = lambda j: F.coalesce(F.get(places, j), F.size(items))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), lambda j: F.slice(items, after(j) + 1, until(j) - after(j))))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
@@ -100,23 +134,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     min_docs documents (rows with one doc_id are one document; null is the
     smallest doc_id) to be dropped everywhere but in the largest doc_id that
     holds it.  Null texts are empty ones: one empty line, kept.  An empty table
-    stays empty.  Columns named n_lines or n_dropped are replaced.
+    stays empty.  Columns named n_lines or n_dropped are replaced, all others
+    stay, whatever they are called.
     """
-    drops = dropped_lines(docs, min_chars, min_docs, batches, fanout).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_drops")).withColumnRenamed("doc_id", "_of")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return ~((F.length(key) >= min_chars) & F.array_contains("_drops", F.struct(*line_hash(key))))
-
+    drops = dropped_lines(docs, min_chars, min_docs, batches, fanout).withColumnsRenamed({"doc_id": "d", "t1": "u1", "t2": "u2"})
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(drops, docs["doc_id"].eqNullSafe(F.col("_of")), "left").drop("_of")
-    some = F.col("_drops").isNotNull()
-    kept = joined.withColumn("_lines", F.when(some, F.filter(lines, stays)))
-    n_lines = F.size(lines).cast("long")
-    return kept.select(
-        *[F.when(some, F.array_join("_lines", "\n")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in rest],
-        n_lines.alias("n_lines"),
-        F.when(some, n_lines - F.size("_lines")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(text))
+    joined = rows.join(drops, rows["doc_id"].eqNullSafe(F.col("d")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
+    text = F.coalesce("row.text", F.lit(""))
+    joined = joined.withColumn("lines", F.split(text, "\n", -1))
+    kept = F.when(F.col("places").isNotNull(), F.array_join(without(F.col("lines"), F.col("places")), "\n")).otherwise(text)
+    return joined.select(
+        *[kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in rest],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
     )

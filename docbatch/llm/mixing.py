@@ -113,13 +113,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     """The rows of docs, each as often as the mix takes it.
 
     Copies are found per (doc_id, source, size); of rows equal in all three each
-    takes the average, rounded by its place.
+    takes the average, rounded by its place.  Null texts stay once, an empty
+    table stays empty, and all columns stay, whatever they are called.
     """
-    own = mixed_copies(docs, weights, share, max_copies).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    own = own.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_sum", "_rows")
-    sized = docs.withColumn("_size", n_words())
-    on = sized["doc_id"].cast("long").eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    joined = sized.join(own, on)
-    twin = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64("text")))
-    times = F.floor(F.col("_sum") * twin / F.col("_rows")) - F.floor(F.col("_sum") * (twin - 1) / F.col("_rows"))
-    return joined.withColumn("_t", times.cast("int")).where("_t > 0").withColumn("_x", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*[f"`{c}`" for c in docs.columns])
+    own = mixed_copies(docs, weights, share, max_copies).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("sum"), F.count("*").alias("rows"))
+    own = own.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "sum", "rows")
+    # the rows of docs stay whole in one column, whatever theirs are called
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), n_words().alias("size"))
+    joined = sized.join(own, sized["doc_id"].eqNullSafe(F.col("d")) & sized["source"].eqNullSafe(F.col("s")) & (sized["size"] == F.col("z")))
+    twin = F.row_number().over(Window.partitionBy("d", "s", "z").orderBy(F.xxhash64("row.text")))
+    times = F.floor(F.col("sum") * twin / F.col("rows")) - F.floor(F.col("sum") * (twin - 1) / F.col("rows"))
+    taken = joined.withColumn("times", times.cast("int")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return taken.select("row.*")

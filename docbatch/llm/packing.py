@@ -17,14 +17,13 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docbatch.llm.store import materialize
-from docbatch.llm.textio import slices, tokenizer
+from docbatch.llm.textio import frugal, slices, tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, slot long, bin long, bin_offset long, bin_fill long"
 _WINDOW = 200_000
@@ -82,26 +81,32 @@ def _pack_pieces(path: str, spaced: bool, end_id: int, capacity: int, keep_ids:
         if held:
             yield packed()
 
-    return run
+    return frugal(run)
 
 
 _ITEM = "slot long, bin long, size long, members array<struct<bin:long,shift:long>>, open boolean"
 
 
 def _round(capacity: int, nearly: int, keep: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin", ignore_index=True)
-        own, offset, fill = best_fit(pdf["size"].to_numpy(np.int64), capacity)
-        members: list[list] = [[] for _ in fill]
-        for b, shift, old in zip(own, offset, pdf["members"], strict=True):
-            members[b] += [{"bin": int(m["bin"]), "shift": int(m["shift"] + shift)} for m in old]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin").combine_chunks()
+        size, first = (table.column(c).to_numpy() for c in ("size", "bin"))
+        own, offset, fill = best_fit(size, capacity)
+        # the members of a new bin are those of its items, each moved by its item's place
+        lists = table.column("members").combine_chunks()
+        inner, n = lists.flatten(), lists.value_lengths().to_numpy()
+        into, moved = np.repeat(own, n), inner.field("shift").to_numpy() + np.repeat(offset, n)
+        by = np.argsort(into, kind="stable")
+        members = pa.StructArray.from_arrays([inner.field("bin").take(pa.array(by)), pa.array(moved[by])], names=["bin", "shift"])
+        ends = np.searchsorted(into[by], np.arange(len(fill) + 1)).astype(np.int32)
         lead = np.full(len(fill), np.iinfo(np.int64).max)
-        np.minimum.at(lead, own, pdf["bin"].to_numpy(np.int64))
+        np.minimum.at(lead, own, first)
         up = fill < nearly
         room = np.sort(capacity - fill[up & (2 * fill > capacity)])[::-1]
         if len(room) > keep:
             up &= (2 * fill <= capacity) | (capacity - fill >= room[keep - 1])
-        return pd.DataFrame({"slot": pdf["slot"].iloc[0], "bin": lead, "size": fill, "members": members, "open": up})
+        slot = pa.array(np.full(len(fill), table.column("slot")[0].as_py(), np.int64))
+        return pa.table({"slot": slot, "bin": pa.array(lead), "size": pa.array(fill), "members": pa.ListArray.from_arrays(pa.array(ends), members), "open": pa.array(up)})
 
     return run
 
@@ -113,7 +118,7 @@ def merge_underfull(bins: DataFrame, capacity: int, nearly: int, fanin: int = 16
     done = []
     while True:
         # rows of one slot are one task's underfull bins; a group is fanin neighbours
-        packed = items.withColumn("slot", F.floor(F.col("slot") / fanin).cast("long")).groupBy("slot").applyInPandas(_round(capacity, nearly, keep), _ITEM)
+        packed = items.withColumn("slot", F.floor(F.col("slot") / fanin).cast("long")).groupBy("slot").applyInArrow(_round(capacity, nearly, keep), _ITEM)
         packed = materialize(packed, "round")
         slots = -(-slots // fanin)
         done.append(packed.where("not open") if slots > 1 else packed)

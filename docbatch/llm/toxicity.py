@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docbatch.llm.store import materialize
-from docbatch.llm.textio import slices, split_words
+from docbatch.llm.textio import frugal, slices, split_words
 
 PREFIXES = (4, 5, 6, 7, 8)
+_SLICE = 3 << 19  # bytes of text at once; the features of a word take some 50 bytes each
 _PUNCTUATION = ".,;:!?()[]{}\"'|*#$%&<>"
 
 
@@ -66,7 +67,7 @@ def occurrences(column: pa.Array, ids: dict[str, int] | None) -> tuple[np.ndarra
 
 def _count(categories: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE):
             row, feature, _, names = occurrences(b.column("text"), None)
             columns = [pa.array(names, pa.string()), pa.array(np.bincount(feature, minlength=len(names)), pa.int64())]
             for c in categories:
@@ -74,18 +75,18 @@ def _count(categories: list[str]):
                 columns.append(pa.array(np.bincount(feature, weights=label[row], minlength=len(names)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(columns, names=["feature", "n", *categories])
 
-    return run
+    return frugal(run)
 
 
 def _index(ids: dict[str, int], categories: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE):
             row, feature, value, _ = occurrences(b.column("text"), ids)
             offsets = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *lists, *[b.column(c) for c in categories]], names=["doc_id", "features", "values", *categories])
 
-    return run
+    return frugal(run)
 
 
 @dataclass
@@ -195,13 +196,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_row
 def _score(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = pickle.loads(packed)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _SLICE):
             row, feature, value, _ = occurrences(b.column("text"), chain.ids)
             p = chain.predict(row, feature, value, b.num_rows) if chain.models else np.zeros((b.num_rows, len(chain.categories)))
             columns = list(b.columns) + [pa.array(p[:, k]) for k in range(len(chain.categories))]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *[f"p_{c}" for c in chain.categories]])
 
-    return run
+    return frugal(run)
 
 
 def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
