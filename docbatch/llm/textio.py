@@ -146,8 +146,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok, self.spaced, self.max_words = Tokenizer.from_file(path), spaced, max_words
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        #: Strings that the tokenizers library reads as tokens of their own, wherever they stand.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -224,7 +225,22 @@ class WordTokenizer:
         return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, and the n+1 row offsets into them."""
+        """Ids of all rows, and the n+1 row offsets into them; rows with special strings are encoded whole."""
+        column = filled(column)
+        whole = np.zeros(len(column), bool)
+        for text in self.special:
+            whole |= pc.match_substring(column, text, ignore_case=not self.spaced).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode(column)
+        rows = np.flatnonzero(whole)
+        ids, offsets = self._encode(pc.if_else(pa.array(whole), "", column))
+        own = [e.ids for e in self.tok.encode_batch_fast(column.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]
+        sizes, lengths = np.diff(offsets), [len(x) for x in own]
+        ids = np.insert(ids, np.repeat(offsets[rows], lengths), np.array([i for x in own for i in x], np.uint32))
+        sizes[rows] = lengths
+        return ids, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, offsets = self._cut(column)
         coded = words.dictionary_encode()
         own = coded.dictionary.to_pylist()

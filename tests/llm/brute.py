@@ -20,7 +20,6 @@ def rows(df):
 
 def token_ids(path, text, end):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return [*tok.encode(text or "", add_special_tokens=False).ids, end]
 
 
