@@ -11,11 +11,11 @@ difference allows, less the rarer shingles that it can't share there (see
 
 In a region the member with most rare shingles in common with others is the
 pivot; members near it are linked to it, and what is then connected needs no
-further pair.  Open regions with many pairs left are cut into Voronoi cells: each
-member goes to the nearest of some pivots, and, at the boundary, to the cells of
-all pivots that are at most two radii farther; cells are joined again in the
-same way, within the windows of size and of distance to the pivot.  Sketches of the sets drop pairs
-that can't link before their texts are sent.
+further pair.  Regions with few pairs left are joined within the windows of size
+and of distance to the pivot; sketches of the sets drop pairs that can't link
+before their texts are sent.  Where many pairs are left, the regions with one
+pivot become one cell around it, a document at a boundary lying in several, and
+the cell is joined exactly, block by block of its members.
 
 Sets are compared by 64-bit hashes of their shingles, nodes (distinct sets) by
 128-bit hashes.
@@ -332,11 +332,69 @@ def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int =
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
 
 
-def links(texts: DataFrame, few: int = 256, rounds: int = 3, pivots: int = 4, block: int = 512, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect what is linked among the texts of each (cell, low, high), rows sorted by these.
+
+    Intersections come from products of membership matrices, some columns of
+    shingles at a time; a row per member at most is given out.
+    """
+
+    def linked(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes, n = np.array(list(sets), np.int64), np.array([len(x) for x in sets.values()])
+        _, at, times = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1  # shingles of one member alone meet nothing
+        row, at = np.repeat(np.arange(len(n)), n)[times[at] > 1], column[at[times[at] > 1]]
+        by = np.argsort(at, kind="stable")
+        row, at = row[by], at[by]
+        common = np.zeros((len(n), len(n)), np.float32)
+        for first in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            a, b = np.searchsorted(at, [first, first + 4096])
+            part = np.zeros((len(n), 4096), np.float32)
+            part[row[a:b], at[a:b] - first] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        near = common * 100 >= (n[:, None] + n[None, :] - common) * PERCENT
+        np.fill_diagonal(near, True)
+        label = np.arange(len(n))
+        while True:  # the smallest label of the neighbours, until nothing changes
+            new = np.where(near, label[None, :], len(n)).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        own = label != np.arange(len(n))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
+
+    key, held = None, {}
+    for b in slices(batches, "text"):
+        groups = zip(*(b.column(c).to_pylist() for c in ("cell", "low", "high")), strict=True)
+        for s, node, group in zip(shingle_sets(b.column("text"), SHINGLE), b.column("node").to_pylist(), groups, strict=True):
+            if group != key and held:
+                yield linked(held)
+                held = {}
+            key = group
+            held[node] = s
+    if held:
+        yield linked(held)
+
+
+def _cell_links(texts: DataFrame, nodes: DataFrame, cells: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in each cell (cell, node): blocks of its members meet in pairs."""
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    members = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    members = members.select("cell", "node", "block", other).select("cell", "node", F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).alias("at"))
+    wanted = materialize(members.groupBy("node").agg(F.collect_list(F.struct("cell", "at")).alias("at")).join(nodes.select("node", "doc_id"), "node"), "cell-members")
+    sent = texts.join(wanted, "doc_id").select("node", "text", F.explode("at").alias("at")).select("node", "at.cell", "at.at.*", "text")
+    sent = sent.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    return materialize(sent.mapInArrow(frugal(_joined), "a long, b long").distinct(), "cell-links")
+
+
+def links(texts: DataFrame, few: int = 64, block: int = 256, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes.
 
-    Regions are cut into Voronoi cells, at most `rounds` times, where more pairs
-    are left than `few` members have; `bits` is the width of the numbers of sets.
+    Regions with more pairs left than `few` members have are joined by the cells
+    of their pivots; a task holds 2 * `block` sets of a cell.  `bits` is the width
+    of the numbers of sets.
     """
     stats = materialize(texts.mapInArrow(lambda batches: _stats(batches, bits), _STATS), "stats")
     docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
@@ -364,11 +422,13 @@ def links(texts: DataFrame, few: int = 256, rounds: int = 3, pivots: int = 4, bl
 
     comps = nodes.sparkSession.createDataFrame([], "node long, comp long")
 
-    def grow(pairs: DataFrame, all_: bool = False) -> DataFrame:
-        """Measures pairs, all or those that can link; what links goes into the components."""
+    def grow(pairs: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+        """Measures pairs; those that link, and other links, go into the components."""
         nonlocal comps
-        measured = _measure(texts, nodes, pairs if all_ else _sized(pairs, nodes))
+        measured = _measure(texts, nodes, _sized(pairs, nodes))
         more = measured.where(_linked()).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        if linked is not None:
+            more = more.unionByName(linked)
         if not more.isEmpty():
             comps = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
         return measured
@@ -385,35 +445,14 @@ def links(texts: DataFrame, few: int = 256, rounds: int = 3, pivots: int = 4, bl
     star = open_.join(best, "region").withColumn("pivot", F.col("_p.node")).where("node <> pivot")
     star = materialize(star.withColumn("_fits", (F.col("size") <= F.col("_p.cap")) & (F.col("_p.size") <= F.col("cap"))).drop("_p"), "star")
     measured = grow(star.where("_fits").select("node", "pivot").distinct()).select("node", "pivot", distance)
-    members = star.join(measured, ["node", "pivot"], "left").select("region", "node", "size", "cap", "far")
-
-    within: list[DataFrame] = []
-    for turn in range(rounds + 1):
-        left = still_open(members)
-        blocks = F.ceil(F.col("m") / block)
-        dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        dealt = dealt.select("region", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "node", "size", "cap", "comp", "far")
-        dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
-        most = few * few / 2 if turn < rounds else float("inf")
-        joined = materialize(dealt.mapInArrow(lambda batches, most=most: _within(batches, most), "region long, node long, pivot long"), "within")
-        within.append(joined.where("node is not null").select("node", "pivot"))
-        large = left.join(joined.where("node is null").select("region").distinct(), "region")
-        if large.isEmpty():
-            break
-        # the pivots of a region, as random as hashes
-        chosen = [F.max(F.struct(F.xxhash64("node", F.lit(turn * pivots + j)), "node"))["node"] for j in range(pivots)]
-        cut = large.groupBy("region").agg(F.array_distinct(F.array(*chosen)).alias("_at"))
-        pairs = materialize(large.join(cut, "region").select("region", "node", "size", "cap", F.explode("_at").alias("pivot")), "to-pivots")
-        away = grow(pairs.where("node <> pivot").select("node", "pivot").distinct(), all_=True).select("node", "pivot", distance)
-        placed = pairs.join(away, ["node", "pivot"], "left").withColumn("far", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-        home = placed.groupBy("region", "node").agg(F.min("far").alias("_home"))
-        cells = placed.join(home, ["region", "node"]).where(F.col("far") <= F.col("_home") + 2 * _RADIUS + 1e-9)
-        members = cells.select(F.xxhash64("region", "pivot").alias("region"), "node", "size", "cap", "far")
-
-    pairs = within[0]
-    for more in within[1:]:
-        pairs = pairs.unionByName(more)
-    grow(pairs.distinct())
+    left = still_open(star.join(measured, ["node", "pivot"], "left").select("region", "pivot", "node", "size", "cap", "far"))
+    blocks = F.ceil(F.col("m") / block)
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("region", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "node", "size", "cap", "comp", "far")
+    dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
+    joined = materialize(dealt.mapInArrow(lambda batches: _within(batches, few * few / 2), "region long, node long, pivot long"), "within")
+    large = materialize(left.join(joined.where("node is null").select("region").distinct(), "region").select(F.col("pivot").alias("cell"), "node").distinct(), "cells")
+    grow(joined.where("node is not null").select("node", "pivot").distinct(), None if large.isEmpty() else _cell_links(texts, nodes, large, block))
     return docs.select("doc_id", "n", "node"), comps
 
 
