@@ -21,22 +21,14 @@ def code128_text(start: Column, values: Column) -> Column:
     first = F.when(start == START["A"], "A").when(start == START["B"], "B").when(start == START["C"], "C")
 
     def step(acc, v):
-        mode = F.when(acc["shift"], F.when(acc["mode"] == "A", "B").otherwise("A")).otherwise(acc["mode"])
-        letter = (
-            F.when((mode == "C") & (v < 100), F.lpad(v.cast("string"), 2, "0"))
-            .when((mode == "B") & (v < 96), F.char(v + 32))
-            .when((mode == "A") & (v < 64), F.char(v + 32))
-            .when((mode == "A") & (v < 96), F.char(v - 64))
-        )
-        turn = F.when((v == TO_C) & (acc["mode"] != "C"), "C").when((v == TO_B) & (acc["mode"] != "B"), "B").when((v == TO_A) & (acc["mode"] != "A"), "A")
-        shifts = (v == SHIFT) & (acc["mode"] != "C") & ~acc["shift"]
-        ok = acc["ok"] & (letter.isNotNull() | turn.isNotNull() | shifts | (v == FNC1))
-        silent = letter.isNull() & turn.isNull() & (v == FNC1)
-        return F.struct(
-            F.when(letter.isNull() & turn.isNotNull(), turn).otherwise(acc["mode"]).alias("mode"), (shifts & letter.isNull() | silent & acc["shift"]).alias("shift"),
-            F.concat(acc["text"], F.coalesce(letter, F.lit(""))).alias("text"), ok.alias("ok"),
-        )
-
-    start_state = F.struct(first.alias("mode"), F.lit(False).alias("shift"), F.lit("").alias("text"), first.isNotNull().alias("ok"))
-    text = F.aggregate(values, start_state, step, lambda a: F.when(a["ok"], F.trim(a["text"])))
+        now = F.when(acc["shift"] != "", acc["shift"]).otherwise(acc["mode"])
+        letter = F.when((now == "C") & (v <= 99), F.lpad(v.cast("string"), 2, "0")).when((now != "C") & (v <= 95) & ((now == "B") | (v < 64)), F.char(v + 32))
+        control = (now == "A") & v.between(64, 95)
+        turn = F.when(letter.isNotNull() | control, None).when(v == TO_C, "C").when((v == TO_B) & (acc["mode"] != "B"), "B").when((v == TO_A) & (acc["mode"] != "A"), "A")
+        shift = F.when((v == SHIFT) & letter.isNull(), F.when(acc["mode"] == "A", "B").when(acc["mode"] == "B", "A"))
+        ok = acc["ok"] & ~control & (letter.isNotNull() | turn.isNotNull() | shift.isNotNull() | (v == FNC1))
+        return F.struct(F.coalesce(turn, acc["mode"]).alias("mode"), F.coalesce(shift, F.lit("")).alias("shift"), F.concat(acc["text"], F.coalesce(letter, F.lit(""))).alias("text"), ok.alias("ok"))
+
+    start_state = F.struct(first.alias("mode"), F.lit("").alias("shift"), F.lit("").alias("text"), first.isNotNull().alias("ok"))
+    text = F.aggregate(values, start_state, step, lambda a: F.when(a["ok"], F.regexp_replace(a["text"], r"(?U)^\s+|\s+$", "")))
     return F.nullif(text, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docbatch.functions.text import heading_distance, heading_line_distance, heading_text, natural_key, safe_filename
-from docbatch.jobs import archive
+from docbatch.jobs import archive, review
 from docbatch.operators import grouping, queue, verdict
 from docbatch.sources import fixtures
 
@@ -101,7 +101,7 @@ def natural_ranks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (page_verdicts, split_shared, split_sequential, split_decided, loose_pages, batch_summary, batch_problems, batch_pauses, read_votes, kept_stamps, job_statuses, file_fingerprints, unseen_files, heading_matches, heading_lines, page_filenames, natural_ranks)
-} | archive.QUERIES
+} | archive.QUERIES | review.QUERIES
 
 _DETECTIONS = """
 d AS (SELECT 'scan-' || l_orderkey AS source, (l_linenumber - 1)::INT AS idx, l_partkey, l_suppkey, l_extendedprice,
@@ -175,3 +175,5 @@ SELECT *, CASE WHEN distance <= 3 THEN round(1 - distance / 17, 6) ELSE 0.0 END
 SELECT page_id, CASE WHEN t <> '' THEN CASE WHEN regexp_matches(upper(split_part(t, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END END AS name FROM n""",
     "natural_ranks": "SELECT p_brand, 'No' || p_partkey AS number, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part",
 } | archive.oracles(_CONV, _SHARED, _LOOSE, _FILES)
+
+ORACLES |= review.oracles(_DETECTIONS, _CONV, _SHARED, ORACLES["batch_problems"], ORACLES["read_votes"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Labels of earlier versions.
+OLD_LABELS = ("Canon", "Kodak")
 # The statuses from which a job may go to another.
 ALLOWED = {"analyzing": ["queued"], "review": ["analyzing"], "exporting": ["review", "analyzing"], "done": ["exporting"], "dismissed": ["queued", "analyzing", "review", "error"]}
 
@@ -32,3 +34,12 @@ def folder_labels(files: DataFrame, folders: list[str]) -> DataFrame:
     places = F.create_map(*[x for k, d in enumerate(folders) for x in (F.lit(d), F.lit(k + 1))])
     parent = F.regexp_replace("path", "/[^/]*$", "")
     return files.withColumn("label", F.concat(F.lit("Tarama_"), F.coalesce(places[parent], F.lit(len(folders))).cast("string")))
+
+
+def relabel_jobs(jobs: DataFrame, folders: list[str]) -> DataFrame:
+    """Pending jobs (path, status, label) with an old label take that of their folder, or 1 or 2 by the label where the folder is unknown."""
+    places = F.create_map(*[x for k, d in enumerate(folders) for x in (F.lit(d), F.lit(k + 1))])
+    old = F.when(F.col("label") == OLD_LABELS[0], 1).when(F.col("label") == OLD_LABELS[1], 2)
+    place = F.coalesce(places[F.regexp_replace("path", "/[^/]*$", "")], old)
+    pending = F.col("status").isin("queued", "analyzing", "review", "error", "exporting")
+    return jobs.withColumn("label", F.when(old.isNotNull() & pending, F.concat(F.lit("Tarama_"), place.cast("string"))).otherwise(F.col("label")))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from docbatch.functions.codes import code128_check, code128_text
+from docbatch.jobs import review
 from docbatch.jobs.archive import QUERIES, WITHOUT_SQL, stable_arrivals
 from docbatch.jobs.catalog import ORACLES
 from docbatch.operators.archive import committed, recover, saveable_prefix
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL | set(review.QUERIES) - review.WITHOUT_SQL))
 def test_sql(spark, name):
-    got = QUERIES[name](spark, SF)
+    got = (QUERIES | review.QUERIES)[name](spark, SF)
     db = duckdb.connect()
     for t in ("orders", "part", "lineitem", "events", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
