@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def test_sql(spark, name):
     got = (QUERIES | review.QUERIES)[name](spark, SF)
     db = duckdb.connect()
-    for t in ("orders", "part", "lineitem", "events", "conversations"):
+    for t in ("orders", "part", "lineitem", "events", "conversations", "documents"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and want
