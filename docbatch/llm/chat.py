@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docbatch.llm.textio import slices
+
 START, LINE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 _FORMATTED = "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
 
@@ -80,41 +82,40 @@ def assemble(table: pa.Table, loss_roles: tuple[str, ...]) -> pa.RecordBatch:
     )
 
 
-def _format(loss_roles: tuple[str, ...], max_rows: int):
+def _format(loss_roles: tuple[str, ...], max_rows: int, max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, max_rows):
-                b = batch.slice(at, max_rows)
-                ids = b.column("conv_id")
-                last = ids[-1].as_py()
-                own = pc.is_null(ids) if last is None else pc.fill_null(pc.equal(ids, last), False)
-                head = b.filter(pc.invert(own))
-                same = bool(held) and held[0].column("conv_id")[0].as_py() == last
-                if not same or head.num_rows:  # what is held ends before the last conversation of b
-                    whole = [*held, head] if held or head.num_rows else []
-                    if whole:
-                        yield assemble(pa.Table.from_batches(whole), loss_roles)
-                    held = []
-                held.append(b.filter(own))
+        for b in slices(batches, "text", max_bytes, max_rows):
+            ids = b.column("conv_id")
+            last = ids[-1].as_py()
+            own = pc.is_null(ids) if last is None else pc.fill_null(pc.equal(ids, last), False)
+            head = b.filter(pc.invert(own))
+            same = bool(held) and held[0].column("conv_id")[0].as_py() == last
+            if not same or head.num_rows:  # what is held ends before the last conversation of b
+                whole = [*held, head] if held or head.num_rows else []
+                if whole:
+                    yield assemble(pa.Table.from_batches(whole), loss_roles)
+                held = []
+            held.append(b.filter(own))
         if held:
             yield assemble(pa.Table.from_batches(held), loss_roles)
 
     return run
 
 
-def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), max_rows: int = 4096) -> DataFrame:
+def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), max_rows: int = 4096, max_bytes: int = 4 << 20) -> DataFrame:
     """turns (conv_id, turn, role, text) to rows (conv_id, n_turns, formatted, loss).
 
     loss holds the byte spans, in the UTF-8 form of formatted, of the texts to
     learn from.  Rows go by turn, ties by role and text, nulls first; null texts
     and roles are empty; null is a conv_id of its own; repeated rows are turns
-    like others; an empty table gives no rows.  A conversation is one row of the
-    result and so the work of one task; it is all that a task holds.
+    like others; other columns are not read; an empty table gives no rows.  A
+    conversation is one row of the result and so the work of one task, which holds
+    it and max_bytes of texts, or max_rows, beside it.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format(loss_roles, max_rows), _FORMATTED)
+    return rows.mapInArrow(_format(loss_roles, max_rows, max_bytes), _FORMATTED)
 
 
 def parse_chat(formatted: str) -> list[tuple[str, str]]:

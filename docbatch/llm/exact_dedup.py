@@ -115,6 +115,8 @@ def exact_classes(docs: DataFrame, block_bytes: int = 4096, batch_rows: int = 51
     one space; null counts as empty.  uid tells rows of one doc_id apart.  An
     empty table gives no rows; other columns of docs are not read.
     """
+    if not 1 <= batch_rows <= 4096:
+        raise ValueError("batch_rows must be from 1 to 4096: a document's number has 12 bits for its place in the batch")
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     state = _named(rows.mapInArrow(_cut(block_bytes, batch_rows), _MIXED), 0)

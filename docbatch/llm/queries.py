@@ -72,8 +72,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docbatch.llm.media import media_digests, to_media
+    from docbatch.llm.store import materialize
 
-    return media_digests(to_media(_table(spark, sf_dir, "documents")))
+    # what is read back from the shared folder is decoded; the streams are compressed already
+    return media_digests(materialize(to_media(_table(spark, sf_dir, "documents")), "media", "none"))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset, as in tests."""
+    """Folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset and all runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="docbatch-")}) or _OWN[app]
     return root.rstrip("/")
