@@ -206,7 +206,7 @@ def _score(packed: bytes):
 
 
 def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of docs with p_<category> of each category; columns of these names are replaced.
+    """The rows of docs with p_<category> of each category, from 0.0001 to 0.9999; columns of these names are replaced.
 
     Null and empty texts hold no word and get the probability of none; repeated
     rows are scored alike; an empty table stays empty.
