@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,10 +57,12 @@ def effective(pages: DataFrame) -> DataFrame:
 
 
 def read_vote(reads: DataFrame, least: int = 2) -> DataFrame:
-    """Per region the values read at least twice in the first attempt that has any: region, attempt, value, box and score."""
-    kept = reads.groupBy("region", "attempt", "value").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("score").alias("score")).where(F.col("n") >= least)
-    first = kept.groupBy("region").agg(F.min("attempt").alias("attempt"))
-    return kept.join(first, ["region", "attempt"])
+    """Per region the values read at least twice in the first attempt that has any: region, attempt, value, box and score.
+
+    Readings are dealt out by region once, which serves the counts and the window.
+    """
+    kept = reads.repartition("region").groupBy("region", "attempt", "value").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("score").alias("score")).where(F.col("n") >= least)
+    return kept.withColumn("_first", F.min("attempt").over(Window.partitionBy("region"))).where("attempt = _first").drop("_first")
 
 
 def distinct_stamps(stamps: DataFrame, share: float = 0.8) -> DataFrame:

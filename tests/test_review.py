@@ -113,3 +113,10 @@ def test_folders_number_on(spark):
     taken = spark.createDataFrame([("2024-01-05", "14-32-08_T", 4)], "archive_date string, stem string, number int")
     assert sorted(r["archive_dir"] for r in saving.archive_folders(jobs).collect()) == ["14-32-08_T_001", "14-32-08_T_002"]
     assert sorted(r["archive_dir"] for r in saving.archive_folders(jobs, taken).collect()) == ["14-32-08_T_005", "14-32-08_T_006"]
+
+
+def test_read_votes_shuffle_once(spark):
+    from docbatch.jobs.catalog import QUERIES
+
+    plan = QUERIES["read_votes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
