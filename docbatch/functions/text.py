@@ -52,15 +52,17 @@ def _near(text: Column, pattern: str, most: int, blocks: tuple[str, ...]) -> Col
     return F.array_min(F.transform(windows, lambda w: infix_distance(w, pattern, most)))
 
 
-def heading_line_distance(text: Column) -> Column:
-    """Least heading_distance of the lines of a text of any length; lines without half of the last letters aren't looked at closer."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n", -1), heading_text), lambda t: t.rlike("REPO|RTNO"))
+def strip_distance(text: Column) -> Column:
+    """heading_distance of one strip's heading_text, of any length: looked at closer only where half of the last letters are as they should be."""
+    tail = _near(text, HEADING[-8:], 1, ("REPO", "RTNO"))
+    found = F.when(tail > 1, len(HEADING)).otherwise(_near(text, HEADING, 3, ("RECE", "IVIN", "GREP", "ORTNO")))
+    return F.when(text.rlike("REPO|RTNO"), found).otherwise(len(HEADING))
 
-    def distance(t: Column) -> Column:
-        tail = _near(t, HEADING[-8:], 1, ("REPO", "RTNO"))
-        return F.when(tail > 1, len(HEADING)).otherwise(_near(t, HEADING, 3, ("RECE", "IVIN", "GREP", "ORTNO")))
 
-    return F.coalesce(F.array_min(F.transform(lines, distance)), F.lit(len(HEADING)))
+def heading_line_distance(text: Column) -> Column:
+    """Least heading_distance of the lines of a text of any length."""
+    lines = F.transform(F.split(text, r"\r\n|\r|\n", -1), heading_text)
+    return F.coalesce(F.array_min(F.transform(lines, strip_distance)), F.lit(len(HEADING)))
 
 
 def natural_key(name: Column) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docbatch.functions.text import heading_distance, heading_line_distance, heading_text, natural_key, safe_filename
+from docbatch.functions.text import heading_line_distance, heading_text, natural_key, safe_filename, strip_distance
 from docbatch.jobs import archive, review
 from docbatch.operators import grouping, queue, verdict
 from docbatch.sources import fixtures
 
 
 def _analysed(spark, sf_dir):
-    pages = verdict.stamp_rule(verdict.page_verdict(verdict.page_evidence(fixtures.detections(spark, sf_dir))))
+    """Detections dealt by source once: the roll-up by page and all that follows by source need no other shuffle."""
+    pages = verdict.stamp_rule(verdict.page_verdict(verdict.page_evidence(fixtures.detections(spark, sf_dir).repartition("source"))))
     return pages.withColumns({"number": F.col("barcode"), "effective_state": F.col("state")})
 
 
@@ -41,7 +42,9 @@ def loose_pages(spark, sf_dir):
 
 
 def batch_summary(spark, sf_dir):
-    return grouping.summary(_decided(spark, sf_dir))
+    """Sources of which some pages are not analysed yet."""
+    pending = F.col("idx") >= 3 + F.substring("source", 6, 20).cast("long") % 5
+    return grouping.summary(_decided(spark, sf_dir).withColumn("effective_state", F.when(pending, "pending").otherwise(F.col("effective_state"))))
 
 
 def batch_problems(spark, sf_dir):
@@ -76,7 +79,8 @@ def unseen_files(spark, sf_dir):
 
 
 def heading_matches(spark, sf_dir):
-    rows = fixtures.strips(spark, sf_dir).select("text_id", heading_text(F.col("raw")).alias("text")).withColumn("distance", heading_distance(F.col("text")))
+    """Strips with the least edits to the heading: every line of the whole texts, and one made of the heading per text."""
+    rows = fixtures.strips(spark, sf_dir).select("text_id", "strip", heading_text(F.col("raw")).alias("text")).withColumn("distance", strip_distance(F.col("text")))
     return rows.withColumn("confidence", F.round(F.when(F.col("distance") <= 3, 1 - F.col("distance") / 17).otherwise(0.0), 6))
 
 
@@ -120,6 +124,8 @@ _CONV = """
 p AS (SELECT 'conv-' || conv_id AS source, turn::INT AS idx, CASE WHEN length(text) % 13 = 0 THEN '' ELSE 'N' || length(text) END AS barcode,
   CASE WHEN role = 'system' OR turn = 0 OR length(text) % 5 = 0 THEN 'cover' WHEN length(text) % 11 = 0 THEN 'review' ELSE 'attachment' END AS state FROM conversations)"""
 
+_PENDING = _CONV.replace("p AS", "a AS", 1) + ", p AS (SELECT source, idx, barcode, CASE WHEN idx >= 3 + substring(source, 6)::BIGINT % 5 THEN 'pending' ELSE state END AS state FROM a)"
+
 _RUNS = """
 k AS (SELECT source, idx, barcode AS number, state, CASE WHEN state = 'cover' AND barcode <> '' THEN 'C' WHEN state = 'attachment' THEN 'A' ELSE 'B' END AS kind FROM p),
 b AS (SELECT *, {start} AS start FROM (SELECT *, lag(kind) OVER w AS before FROM k WINDOW w AS (PARTITION BY source ORDER BY idx))),
@@ -139,8 +145,11 @@ ORACLES = {
     "split_sequential": f"WITH {_DETECTIONS}, {_SEQUENTIAL}{_SIZES}",
     "split_decided": f"WITH {_CONV}, {_SHARED}{_SIZES}",
     "loose_pages": f"WITH {_CONV}, {_SHARED} SELECT source, idx, state AS effective_state, number FROM r WHERE {_LOOSE}",
-    "batch_summary": f"""WITH {_CONV}, {_SHARED} SELECT source, count(*) AS pages, count(*) FILTER (WHERE state = 'cover') AS covers, count(*) FILTER (WHERE state = 'review' OR state = 'cover' AND number = '') AS needs_review,
-  count(*) FILTER (WHERE kind = 'C') AS documents, count(*) FILTER (WHERE kind = 'A' AND anchor IS DISTINCT FROM 'C') AS loose FROM r GROUP BY source""",
+    "batch_summary": f"""WITH {_PENDING}, {_SHARED} SELECT source, count(*) AS pages, count(*) FILTER (WHERE state = 'cover') AS covers, count(*) FILTER (WHERE state = 'review' OR state = 'cover' AND number = '') AS needs_review,
+  count(*) FILTER (WHERE kind = 'C') AS documents, count(*) FILTER (WHERE kind = 'A' AND anchor IS DISTINCT FROM 'C') AS loose,
+  count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state <> 'pending') AS analysed, count(*) FILTER (WHERE f IS NULL OR seen = 0 OR idx < cut) AS ready FROM
+  (SELECT *, max(idx) FILTER (WHERE state = 'cover' AND prior IS DISTINCT FROM 'cover' AND idx < f) OVER (PARTITION BY source) AS cut FROM
+  (SELECT *, lag(state) OVER (PARTITION BY source ORDER BY idx) AS prior, min(idx) FILTER (WHERE state = 'pending') OVER (PARTITION BY source) AS f, count(*) FILTER (WHERE state <> 'pending') OVER (PARTITION BY source) AS seen FROM r)) GROUP BY source""",
     "batch_problems": f"""WITH {_CONV}, {_SHARED},
 i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY idx) AS id, CASE WHEN {_LOOSE} THEN CASE state WHEN 'pending' THEN 1 WHEN 'review' THEN 2 WHEN 'cover' THEN 3 ELSE 4 END END AS w FROM r),
 g AS (SELECT *, min(w) OVER (PARTITION BY source) AS f FROM i),
@@ -163,13 +172,15 @@ SELECT page, n AS n_candidates, len(kept) AS n_kept, round(total, 2) AS kept_sco
 o AS (SELECT job, target, row_number() OVER (PARTITION BY job ORDER BY ts, event_id, target) AS i, count(*) OVER (PARTITION BY job) AS n FROM e),
 g AS (SELECT DISTINCT job, 0::BIGINT AS i, n, 'queued' AS status, 0::BIGINT AS applied FROM o
   UNION ALL SELECT job, i, n, CASE WHEN ok THEN target ELSE status END, applied + ok::BIGINT FROM (SELECT o.job, o.i, o.n, o.target, g.status, g.applied,
-    CASE o.target WHEN 'analyzing' THEN g.status = 'queued' WHEN 'review' THEN g.status = 'analyzing' WHEN 'exporting' THEN g.status IN ('review', 'analyzing') WHEN 'done' THEN g.status = 'exporting'
+    CASE o.target WHEN 'analyzing' THEN g.status = 'queued' WHEN 'review' THEN g.status IN ('analyzing', 'exporting') WHEN 'exporting' THEN g.status IN ('review', 'analyzing') WHEN 'done' THEN g.status = 'exporting'
       WHEN 'dismissed' THEN g.status IN ('queued', 'analyzing', 'review', 'error') ELSE false END AS ok FROM g JOIN o ON o.job = g.job AND o.i = g.i + 1))
 SELECT job, status, applied, n AS requested FROM g WHERE i = n""",
-    "heading_matches": """WITH t AS (SELECT doc_id AS text_id, translate(regexp_replace(upper(substring(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 12) || ' ' || substring('RECEIVING REPORT NO', (1 + doc_id % 6)::INT)), '[^A-Z0-9|!]', '', 'g'), '01L|!58', 'OIIIISB') AS text FROM documents),
-q AS (SELECT *, list_min(flatten([[levenshtein(substring(text, a, n), 'REPORTNO') FOR a IN range(1, greatest(length(text), 1) + 1)] FOR n IN [7, 8, 9]])) AS tail,
-  list_min(flatten([[levenshtein(substring(text, a, n), 'RECEIVINGREPORTNO') FOR a IN range(1, greatest(length(text), 1) + 1)] FOR n IN range(14, 21)])) AS whole FROM t),
-z AS (SELECT text_id, text, CASE WHEN tail > 1 THEN 17 ELSE least(whole, 4) END AS distance FROM q)
+    "heading_matches": """WITH l AS (SELECT doc_id AS text_id, string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n') AS lines, substring('RECEIVING REPORT NO', (1 + doc_id % 6)::INT) AS made FROM documents),
+x AS (SELECT text_id, unnest(range(1, len(lines) + 2))::INT AS strip, unnest(list_append(lines, made)) AS raw FROM l),
+t AS (SELECT text_id, strip, translate(regexp_replace(upper(regexp_replace(raw, '[^ -~]', '', 'g')), '[^A-Z0-9|!]', '', 'g'), '01L|!58', 'OIIIISB') AS text FROM x),
+q AS (SELECT *, list_min(flatten([[levenshtein(substring(text, a, n), 'REPORTNO') FOR a IN range(1, length(text) + 1)] FOR n IN [7, 8, 9]])) AS tail,
+  list_min(flatten([[levenshtein(substring(text, a, n), 'RECEIVINGREPORTNO') FOR a IN range(1, length(text) + 1)] FOR n IN range(14, 21)])) AS whole FROM t WHERE regexp_matches(text, 'REPO|RTNO')),
+z AS (SELECT text_id, strip, text, CASE WHEN tail > 1 THEN 17 ELSE least(whole, 4) END AS distance FROM q UNION ALL SELECT text_id, strip, text, 17 FROM t WHERE NOT regexp_matches(text, 'REPO|RTNO'))
 SELECT *, CASE WHEN distance <= 3 THEN round(1 - distance / 17, 6) ELSE 0.0 END AS confidence FROM z""",
     "page_filenames": r"""WITH n AS (SELECT page_id, substring(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), 1, 100) AS t FROM pages)
 SELECT page_id, CASE WHEN t <> '' THEN CASE WHEN regexp_matches(upper(split_part(t, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END END AS name FROM n""",

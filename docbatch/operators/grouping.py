@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,18 +20,31 @@ def page_runs(pages: DataFrame, grouping: str = "shared") -> DataFrame:
     return rows.withColumns({"run": F.sum("_start").over(w), "anchor": F.last(F.when(F.col("kind") != "A", F.col("kind")), ignorenulls=True).over(w)}).drop("_start")
 
 
+def _documents(pages: DataFrame, grouping: str, *following: Column) -> DataFrame:
+    """Rows (source, cover_idx, number) with aggregates over the following pages of the cover's run.
+
+    A run's covers are gathered and dealt out again, which needs no join: with
+    the pages already dealt by source there is no further shuffle.  A run lies
+    within one source, so both are bounded.
+    """
+    cover = F.when(F.col("kind") == "C", F.struct(F.col("idx").alias("cover_idx"), "number"))
+    runs = page_runs(pages, grouping).where("kind = 'C' or (kind = 'A' and anchor = 'C')")
+    gathered = runs.groupBy("source", "run").agg(F.collect_list(cover).alias("_covers"), *following)
+    names = [c for c in gathered.columns if c not in ("source", "run", "_covers")]
+    return gathered.select("source", F.explode("_covers").alias("_c"), *names).select("source", "_c.cover_idx", "_c.number", *names)
+
+
 def membership(pages: DataFrame, grouping: str = "shared") -> DataFrame:
     """Rows (source, cover_idx, number, page_idx): a cover is in its own document, a following page in all of its run."""
-    runs = page_runs(pages, grouping).select("source", "idx", "number", "kind", "run", "anchor")
-    covers = runs.where("kind = 'C'").select("source", "run", F.col("idx").alias("cover_idx"), "number")
-    following = runs.where("kind = 'A' and anchor = 'C'").select("source", "run", F.col("idx").alias("page_idx"))
-    own = covers.select("source", "cover_idx", "number", F.col("cover_idx").alias("page_idx"))
-    return own.unionByName(covers.join(following, ["source", "run"]).select("source", "cover_idx", "number", "page_idx"))
+    found = _documents(pages, grouping, F.collect_list(F.when(F.col("kind") == "A", F.col("idx"))).alias("_following"))
+    return found.select("source", "cover_idx", "number", F.explode(F.concat(F.array("cover_idx"), "_following")).alias("page_idx"))
 
 
 def document_sizes(pages: DataFrame, grouping: str = "shared") -> DataFrame:
     """Rows (source, cover_idx, number, n_pages, first_page, last_page)."""
-    return membership(pages, grouping).groupBy("source", "cover_idx", "number").agg(F.count("*").alias("n_pages"), F.min("page_idx").alias("first_page"), F.max("page_idx").alias("last_page"))
+    page = F.when(F.col("kind") == "A", F.col("idx"))
+    found = _documents(pages, grouping, F.count(page).alias("_n"), F.min(page).alias("_from"), F.max(page).alias("_to"))
+    return found.select("source", "cover_idx", "number", (F.col("_n") + 1).alias("n_pages"), F.least("cover_idx", "_from").alias("first_page"), F.greatest("cover_idx", "_to").alias("last_page"))
 
 
 def unassigned(pages: DataFrame, grouping: str = "shared") -> DataFrame:
@@ -40,11 +53,24 @@ def unassigned(pages: DataFrame, grouping: str = "shared") -> DataFrame:
 
 
 def summary(pages: DataFrame, grouping: str = "shared") -> DataFrame:
-    """Per source: pages, covers, pages that need review, documents, unassigned following pages."""
+    """Per source: pages, covers, pages that need review, documents, unassigned following pages; pages not analysed, analysed and ready.
+
+    ready: pages that saving would take, as saveable_prefix counts them.
+    """
     runs = page_runs(pages, grouping)
     loose = (F.col("kind") == "A") & ~F.col("anchor").eqNullSafe(F.lit("C"))
     review = (F.col("effective_state") == "review") | ((F.col("effective_state") == "cover") & (F.col("number") == ""))
-    return runs.groupBy("source").agg(F.count("*").alias("pages"), F.count_if(F.col("effective_state") == "cover").alias("covers"), F.count_if(review).alias("needs_review"), F.count_if(F.col("kind") == "C").alias("documents"), F.count_if(loose).alias("loose"))
+    raw = F.col("state") if "state" in pages.columns else F.col("effective_state")
+    w, whole = Window.partitionBy("source").orderBy("idx"), Window.partitionBy("source")
+    starts = (F.col("effective_state") == "cover") & ~F.lag("effective_state").over(w).eqNullSafe(F.lit("cover"))
+    runs = runs.withColumns({"_starts": starts, "_first": F.min(F.when(raw == "pending", F.col("idx"))).over(whole)})
+    runs = runs.withColumn("_cut", F.max(F.when(F.col("_starts") & (F.col("idx") < F.col("_first")), F.col("idx"))).over(whole))
+    out = runs.groupBy("source").agg(
+        F.count("*").alias("pages"), F.count_if(F.col("effective_state") == "cover").alias("covers"), F.count_if(review).alias("needs_review"), F.count_if(F.col("kind") == "C").alias("documents"), F.count_if(loose).alias("loose"),
+        F.count_if(F.col("effective_state") == "pending").alias("pending"), F.count_if(raw != "pending").alias("analysed"), F.count_if(F.col("idx") < F.col("_cut")).alias("_before"),
+    )
+    some = (F.col("analysed") > 0) & (F.col("analysed") < F.col("pages"))
+    return out.withColumn("ready", F.when(some, F.col("_before")).otherwise(F.col("pages"))).drop("_before")
 
 
 def manifest(pages: DataFrame, grouping: str = "shared") -> DataFrame:

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 # Labels of earlier versions.
 OLD_LABELS = ("Canon", "Kodak")
 # The statuses from which a job may go to another.
-ALLOWED = {"analyzing": ["queued"], "review": ["analyzing"], "exporting": ["review", "analyzing"], "done": ["exporting"], "dismissed": ["queued", "analyzing", "review", "error"]}
+ALLOWED = {"queued": ["analyzing"], "analyzing": ["queued"], "review": ["analyzing", "exporting"], "exporting": ["review", "analyzing"], "done": ["exporting"], "error": ["analyzing"], "dismissed": ["queued", "analyzing", "review", "error"]}
 
 
 def transitions(events: DataFrame, start: str = "queued") -> DataFrame:
-    """Per job the status after all requests in time order; a request from a status that doesn't allow it is ignored."""
+    """Per job the status after all requests in time order; a request from a status that doesn't allow it is ignored.
+
+    Optional column expected (array of statuses): what a request allows, in place of the fixed rules.
+    """
     allowed = F.create_map(*[x for k, v in ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "target")))
-    step = lambda acc, e: F.when(F.array_contains(allowed[e["target"]], acc["status"]), F.struct(e["target"].alias("status"), (acc["applied"] + 1).alias("applied"))).otherwise(acc)
+    expected = F.col("expected") if "expected" in events.columns else allowed[F.col("target")]
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "target", expected.alias("expected"))))
+    step = lambda acc, e: F.when(F.array_contains(e["expected"], acc["status"]), F.struct(e["target"].alias("status"), (acc["applied"] + 1).alias("applied"))).otherwise(acc)
     folded = F.aggregate("_e", F.struct(F.lit(start).alias("status"), F.lit(0).cast("long").alias("applied")), step)
     return events.groupBy("job").agg(ordered.alias("_e")).select("job", folded.alias("_f"), F.size("_e").cast("long").alias("requested")).select("job", "_f.status", "_f.applied", "requested")
 

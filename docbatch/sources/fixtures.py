@@ -52,11 +52,12 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text recognised beside a region: text_id, raw."""
+    """Text recognised beside a region: text_id, strip, raw; each line of a text, and the heading with letters missing."""
     d = _read(spark, sf_dir, "documents")
-    head = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""), 1, 12)
-    tail = F.expr("substring('RECEIVING REPORT NO', cast(1 + doc_id % 6 as int))")
-    return d.select(F.col("doc_id").alias("text_id"), F.concat(head, F.lit(" "), tail).alias("raw"))
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1)
+    made = F.expr("substring('RECEIVING REPORT NO', cast(1 + doc_id % 6 as int))")
+    rows = d.select(F.col("doc_id").alias("text_id"), F.posexplode(F.concat(lines, F.array(made))).alias("strip", "raw"))
+    return rows.select("text_id", (F.col("strip") + 1).alias("strip"), F.regexp_replace("raw", "[^ -~]", "").alias("raw"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 from docbatch.functions.text import heading_line_distance
 from docbatch.jobs.catalog import QUERIES
 from docbatch.operators.archive import archive_gate, claim_names, saveable_prefix
-from docbatch.operators.grouping import approval_problems, pause_points
+from docbatch.operators.grouping import approval_problems, pause_points, summary
+from docbatch.operators.queue import transitions
 from pyspark.sql import functions as F
 
 
@@ -121,3 +122,28 @@ def test_gate_and_problems(spark):
     assert {r["source"]: r["status"] for r in archive_gate(df).collect()} == {r[0]: r[7] for r in rows}
     got = {r["source"]: (r["problem"], r["n_pages"], r["page_ids"]) for r in approval_problems(df).collect()}
     assert got == {r[0]: (r[8], *((1, "1") if r[8] == "pending" else (0, ""))) for r in rows}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_one_exchange(spark):
+    """Splitting deals the detections out once, by source."""
+    for name in ("split_shared", "split_sequential", "page_verdicts", "split_decided", "batch_summary"):
+        assert exchanges(QUERIES[name](spark, "/root/testdata/sf0.001")) == 1, name
+
+
+def test_summary(spark):
+    rows = [(s, i, "" if k == "X" else "N", NAMES[k]) for s, q in {"a": "CACCPP", "b": "PP", "c": "ACRX", "d": "CAP"}.items() for i, k in enumerate(q)]
+    got = {r["source"]: tuple(r)[1:] for r in summary(spark.createDataFrame(rows, "source string, idx int, number string, effective_state string")).collect()}
+    # pages, covers, needs_review, documents, loose, pending, analysed, ready
+    assert got == {"a": (6, 3, 0, 3, 0, 2, 4, 2), "b": (2, 0, 0, 0, 0, 2, 0, 2), "c": (4, 2, 2, 1, 1, 0, 4, 4), "d": (3, 1, 0, 1, 0, 1, 2, 0)}
+
+
+def test_expected_statuses(spark):
+    rows = [("j", 1, 1, "analyzing", ["queued"]), ("j", 2, 2, "error", ["analyzing"]), ("j", 3, 3, "review", ["analyzing"]), ("k", 1, 4, "analyzing", ["review"]), ("k", 2, 5, "done", None)]
+    got = transitions(spark.createDataFrame(rows, "job string, ts long, event_id long, target string, expected array<string>"))
+    assert {r["job"]: (r["status"], r["applied"]) for r in got.collect()} == {"j": ("error", 2), "k": ("queued", 0)}
+    got = transitions(spark.createDataFrame([("a", i, i, t) for i, t in enumerate(["analyzing", "exporting", "review", "error", "dismissed"])], "job string, ts long, event_id long, target string"))
+    assert tuple(got.first()) == ("a", "dismissed", 4, 5)
