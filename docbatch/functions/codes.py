@@ -1,7 +1,9 @@
-"""Symbol values of Code 128 labels: checksum and text."""
+"""Code 128 and Code 39 labels: widths of bars and gaps to symbols, checksum and text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,120 @@ from pyspark.sql import functions as F
 START = {"A": 103, "B": 104, "C": 105}
 TO_C, TO_B, TO_A, SHIFT, FNC1 = 99, 100, 101, 98, 102
 
+# Widths of bars and gaps of the symbols 0 to 105 and of the stop symbol, in modules.
+WIDTHS = """
+212222 222122 222221 121223 121322 131222 122213 122312 132212 221213 221312 231212 112232 122132 122231 113222 123122 123221 223211 221132
+221231 213212 223112 312131 311222 321122 321221 312212 322112 322211 212123 212321 232121 111323 131123 131321 112313 132113 132311 211313
+231113 231311 112133 112331 132131 113123 113321 133121 313121 211331 231131 213113 213311 213131 311123 311321 331121 312113 312311 332111
+314111 221411 431111 111224 111422 121124 121421 141122 141221 112214 112412 122114 122411 142112 142211 241211 221114 413111 241112 134111
+111242 121142 121241 114212 124112 124211 411212 421112 421211 212141 214121 412121 111143 111341 131141 114113 114311 411113 411311 113141
+114131 311141 411131 211412 211214 211232
+""".split()
+STOP = "2331112"
+# Bars and gaps of Code 39 letters, n narrow and w wide.
+LETTERS = {
+    "0": "nnnwwnwnn", "1": "wnnwnnnnw", "2": "nnwwnnnnw", "3": "wnwwnnnnn", "4": "nnnwwnnnw", "5": "wnnwwnnnn", "6": "nnwwwnnnn", "7": "nnnwnnwnw",
+    "8": "wnnwnnwnn", "9": "nnwwnnwnn", "A": "wnnnnwnnw", "B": "nnwnnwnnw", "C": "wnwnnwnnn", "D": "nnnnwwnnw", "E": "wnnnwwnnn", "F": "nnwnwwnnn",
+    "G": "nnnnnwwnw", "H": "wnnnnwwnn", "I": "nnwnnwwnn", "J": "nnnnwwwnn", "K": "wnnnnnnww", "L": "nnwnnnnww", "M": "wnwnnnnwn", "N": "nnnnwnnww",
+    "O": "wnnnwnnwn", "P": "nnwnwnnwn", "Q": "nnnnnnwww", "R": "wnnnnnwwn", "S": "nnwnnnwwn", "T": "nnnnwnwwn", "U": "wwnnnnnnw", "V": "nwwnnnnnw",
+    "W": "wwwnnnnnn", "X": "nwnnwnnnw", "Y": "wwnnwnnnn", "Z": "nwwnwnnnn", "-": "nwnnnnwnw", ".": "wwnnnnwnn", " ": "nwwnnnwnn", "*": "nwnnwnwnn",
+    "$": "nwnwnwnnn", "/": "nwnwnnnwn", "+": "nwnnnwnwn", "%": "nnnwnwnwn",
+}
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, not once per place in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(widths: Column) -> Column:
+    return F.aggregate(widths, F.lit(0.0), lambda a, w: a + w)
+
+
+def _modules(widths: Column, size: int) -> Column:
+    """Widths scaled so that they come to size modules."""
+    return _bound(_total(widths), lambda total: F.transform(widths, lambda w: w * size / total))
+
+
+def _error(modules: Column, symbol: Column, count: int) -> Column:
+    """Mean squared difference from a symbol's modules."""
+    off = [F.get(modules, F.lit(i)) - F.get(symbol, F.lit(i)) for i in range(count)]
+    return sum((d * d for d in off[1:]), off[0] * off[0]) / count
+
+
+def code128_symbol(widths: Column, start: bool = False) -> Column:
+    """struct(error, value) of the nearest symbol to six widths; null when none is near, or they aren't six.
+
+    start: among the three start symbols only.  Of equally near ones the first.
+    """
+    first = 103 if start else 0
+    table = F.array(*[F.struct(F.lit(first + i).alias("value"), F.array(*[F.lit(float(c)) for c in w]).alias("modules")) for i, w in enumerate(WIDTHS[first:])])
+    nearest = lambda m: F.array_min(F.transform(table, lambda t: F.struct(_error(m, t["modules"], 6).alias("error"), t["value"].alias("value"))))
+    best = _bound(_modules(widths, 11), nearest)
+    return F.when((F.size(widths) == 6) & (_total(widths) >= 8), _bound(best, lambda x: F.when(x["error"] <= 0.22, x)))
+
+
+def code128_label(symbols: Column) -> Column:
+    """Text of the widths of a whole label, start symbol to stop symbol; null where a rule of the code is broken.
+
+    symbols: an array of six widths each, the last of seven.  Every symbol is
+    near one of the table, none after the first is a start symbol, its modules
+    stay within 0.6 to 1.5 of the first one's, and the checksum holds.
+    """
+    stop = F.array(*[F.lit(float(c)) for c in STOP])
+
+    def text(values: Column, start: Column) -> Column:
+        data = F.slice(values, 1, F.size(values) - 1)
+        sound = F.forall(values, lambda v: v.isNotNull() & (v < 103)) & (code128_check(start, data) == F.element_at(values, -1))
+        return F.when(sound, code128_text(start, data))
+
+    def label(found: Column) -> Column:
+        head, last = F.get(found, F.lit(0)), F.element_at(found, -1)
+
+        def read(module: Column) -> Column:
+            near = lambda w: _bound(_total(w) / 11 / module, lambda x: (x > 0.6) & (x < 1.5))
+            return F.transform(F.slice(found, 2, F.size(found) - 2), lambda w: F.when(near(w), code128_symbol(w)["value"]))
+
+        ends = (F.size(last) == 7) & (_bound(_modules(last, 13), lambda m: _error(m, stop, 7)) < 0.2)
+        start = code128_symbol(head, True)["value"]
+        return F.when(ends, _bound(start, lambda s: _bound(_bound(_total(head) / 11, read), lambda v: text(v, s))))
+
+    return F.when(F.size(symbols).between(4, 161), _bound(symbols, label))
+
+
+def code39_letter(widths: Column) -> Column:
+    """struct(letter, score) of nine widths, six narrow and three wide; null when they aren't such or no letter has them."""
+    letters = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (v, k)])
+
+    def read(sizes: Column) -> Column:
+        narrow, wide = sizes["narrow"], sizes["wide"]
+        is_wide = lambda w: w > (narrow + wide) / 2
+        letter = F.try_element_at(letters, F.array_join(F.transform(widths, lambda w: F.when(is_wide(w), "w").otherwise("n")), ""))
+        off = F.array_max(F.transform(widths, lambda w: F.abs(w - F.when(is_wide(w), wide).otherwise(narrow)))) / narrow
+        found = F.struct(letter.alias("letter"), off.alias("off"), (wide / narrow).between(1.45, 3.5).alias("ratio"))
+        return _bound(found, lambda x: F.when(x["ratio"] & x["letter"].isNotNull() & (x["off"] <= 0.65), F.struct(x["letter"].alias("letter"), (1 - x["off"] / 2).alias("score"))))
+
+    means = lambda w: F.struct((_total(F.slice(w, 1, 6)) / 6).alias("narrow"), (_total(F.slice(w, 7, 3)) / 3).alias("wide"))
+    return F.when((F.size(widths) == 9) & (F.array_min(widths) > 0), _bound(_bound(F.array_sort(widths), means), read))
+
+
+def code39_label(symbols: Column) -> Column:
+    """struct(text, score) of an array of nine widths each, from star to star; the least score; null where a rule is broken.
+
+    There are 1 to 98 letters, stars only at the ends.
+    """
+
+    def label(read: Column) -> Column:
+        return _bound(F.transform(read, lambda x: x["letter"]), lambda letters: _text(read, letters))
+
+    def _text(read: Column, letters: Column) -> Column:
+        inner = F.slice(letters, 2, F.size(letters) - 2)
+        ends = (F.get(letters, F.lit(0)) == "*") & (F.element_at(letters, -1) == "*")
+        sound = F.forall(letters, lambda x: x.isNotNull()) & ends & ~F.array_contains(inner, "*")
+        return F.when(sound, F.struct(F.array_join(inner, "").alias("text"), F.array_min(F.transform(read, lambda x: x["score"])).alias("score")))
+
+    return F.when(F.size(symbols).between(3, 100), _bound(F.transform(symbols, code39_letter), label))
+
 
 def code128_check(start: Column, values: Column) -> Column:
     """Checksum of a start symbol and the values that follow."""

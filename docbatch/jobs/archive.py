@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docbatch.functions.codes import START, code128_check, code128_text
-from docbatch.operators import archive
+from docbatch.functions.codes import LETTERS, START, STOP, WIDTHS, code39_label, code128_check, code128_label, code128_text
+from docbatch.operators import archive, queue
 from docbatch.sources import fixtures
 from docbatch.streaming.watch import stable_files
 
@@ -18,9 +18,12 @@ def _decided(spark, sf_dir):
     return fixtures.conversation_pages(spark, sf_dir).withColumnsRenamed({"barcode": "number", "state": "effective_state"})
 
 
+def _files(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.when(F.col("o_custkey") % 3 == 0, ".PDF").when(F.col("o_custkey") % 3 == 1, ".pdf").otherwise(".txt")).alias("path"), (F.col("o_orderkey") % 5).alias("n_pages"))
+
+
 def listed_pages(spark, sf_dir):
-    files = _read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.when(F.col("o_custkey") % 3 == 0, ".PDF").when(F.col("o_custkey") % 3 == 1, ".pdf").otherwise(".txt")).alias("path"), (F.col("o_orderkey") % 5).alias("n_pages"))
-    return archive.list_pages(files)
+    return archive.list_pages(_files(spark, sf_dir))
 
 
 def saveable_pages(spark, sf_dir):
@@ -69,18 +72,50 @@ def label_texts(spark, sf_dir):
     return rows.select("p_partkey", code128_check(F.lit(START["B"]), F.col("_v")).alias("check_value"), code128_text(F.lit(START["B"]), F.col("_v")).alias("label"))
 
 
+def _scanned(symbols, table):
+    """Widths of symbols as a scan gives them: some pixels a module, every third bar or gap a little off."""
+    pixels = 2 + F.col("p_partkey") % 4
+    known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(float(c)) for c in v]))])
+    return F.transform(symbols, lambda s: F.transform(known[s], lambda m, i: m * pixels + F.when(i % 3 == 0, 0.2).otherwise(0.0)))
+
+
+def scanned_labels(spark, sf_dir):
+    """Brands as Code 128 in set B and parts' numbers as Code 39, read from widths; every seventh checksum is wrong."""
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    letters = F.transform(F.filter(F.split("p_brand", ""), lambda c: c != ""), lambda c: F.ascii(c) - 32)
+    check = (code128_check(F.lit(START["B"]), letters) + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)) % 103
+    inner = F.concat(F.array(F.lit(START["B"])), letters, F.array(check))
+    stop = F.transform(F.array(F.lit(0)), lambda _: F.array(*[F.lit(float(c)) * 2 for c in STOP]))
+    code128 = F.concat(_scanned(inner, dict(enumerate(WIDTHS))), stop)
+    digits = F.filter(F.split(F.concat(F.lit("*"), F.col("p_partkey").cast("string"), F.lit("*")), ""), lambda c: c != "")
+    code39 = _scanned(digits, {k: v.replace("n", "1").replace("w", "3") for k, v in LETTERS.items()})
+    scans = part.select("p_partkey", code128.alias("code128"), code39.alias("code39"))
+    return scans.select("p_partkey", code128_label(F.col("code128")).alias("brand"), code39_label(F.col("code39"))["text"].alias("number"))
+
+
+def rejected_files(spark, sf_dir):
+    return archive.list_rejects(_files(spark, sf_dir))
+
+
+def restarted_jobs(spark, sf_dir):
+    """The jobs as their requests leave them, after a restart; what is committed as for their numbers' orders."""
+    jobs = queue.transitions(fixtures.job_events(spark, sf_dir)).select("job", "status")
+    done = jobs.select("job", (F.length("job") % 2 == 0).alias("committed")).where("job like '1%'")
+    return archive.recover(jobs, done)
+
+
 def stable_arrivals(spark, sf_dir):
     return stable_files(fixtures.file_observations(spark, sf_dir).withColumn("mtime_ns", F.lit(0).cast("long")), 1)
 
 
-QUERIES = {f.__name__: f for f in (listed_pages, saveable_pages, archive_statuses, claimed_names, committed_jobs, drifted_sources, free_stamps, job_progress, label_texts, stable_arrivals)}
+QUERIES = {f.__name__: f for f in (listed_pages, saveable_pages, archive_statuses, claimed_names, committed_jobs, drifted_sources, free_stamps, job_progress, label_texts, scanned_labels, rejected_files, restarted_jobs, stable_arrivals)}
 
 #: stable_arrivals has state per path; tests/test_archive.py holds it against a plain loop.  heading_lines: see tests/test_whole.py.
 WITHOUT_SQL = {"stable_arrivals", "heading_lines"}
 
 
-def oracles(conv: str, shared: str, loose: str, files: str) -> dict[str, str]:
-    """conv, shared, loose and files: the common parts of the catalog's SQL."""
+def oracles(conv: str, shared: str, loose: str, files: str, statuses: str) -> dict[str, str]:
+    """conv, shared, loose and files: the common parts of the catalog's SQL; statuses: the SQL of job_statuses."""
     return {
         "listed_pages": "WITH f AS (SELECT 'o' || o_orderkey || CASE o_custkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '.txt' END AS source, (o_orderkey % 5)::BIGINT AS n FROM orders) SELECT source, unnest(range(n))::INT AS idx FROM f WHERE lower(source) LIKE '%.pdf' AND n > 0",
         "saveable_pages": f"""WITH {conv}, q AS (SELECT source, idx, CASE WHEN idx >= 3 + substring(source, 6)::BIGINT % 5 THEN 'pending' ELSE state END AS state FROM p),
@@ -99,6 +134,9 @@ AND s.l_partkey % 400 BETWEEN b.l_suppkey % 200 AND b.l_suppkey % 200 + 150) GRO
         "job_progress": """WITH e AS (SELECT user_id || '-' || floor(datediff('day', DATE '2024-01-01', ts::DATE) / 3)::BIGINT AS job, ts, event_id,
 CASE event_type WHEN 'view' THEN 'analyzing' WHEN 'click' THEN 'review' WHEN 'purchase' THEN 'exporting' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'dismissed' END AS target FROM events)
 SELECT job, arg_max(target, (ts, event_id)) AS last, count(*) AS reports FROM e GROUP BY job""",
+        "scanned_labels": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS brand, p_partkey::VARCHAR AS number FROM part",
+        "rejected_files": "SELECT 'o' || o_orderkey || CASE o_custkey % 3 WHEN 0 THEN '.PDF' ELSE '.pdf' END AS path, 0::BIGINT AS n_pages, 'no_pages' AS reason FROM orders WHERE o_custkey % 3 < 2 AND o_orderkey % 5 = 0",
+        "restarted_jobs": f"SELECT job, CASE WHEN status = 'analyzing' THEN 'queued' WHEN status = 'exporting' THEN CASE WHEN job LIKE '1%' AND length(job) % 2 = 0 THEN 'done' ELSE 'review' END ELSE status END AS status FROM ({statuses})",
         "label_texts": """WITH d AS (SELECT p_partkey, p_brand, lpad(p_partkey::VARCHAR, 8, '0') AS d, length(p_brand) AS n FROM part),
 s AS (SELECT *, 104 + list_sum([(ascii(p_brand[i::INT]) - 32) * i FOR i IN range(1, n + 1)]) + 99 * (n + 1) + list_sum([substring(d, i * 2 + 1, 2)::BIGINT * (n + 2 + i) FOR i IN range(0, 4)]) AS t FROM d)
 SELECT p_partkey, (t % 103)::INT AS check_value, p_brand || d AS label FROM s""",

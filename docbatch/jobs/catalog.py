@@ -185,6 +185,7 @@ SELECT *, CASE WHEN distance <= 3 THEN round(1 - distance / 17, 6) ELSE 0.0 END
     "page_filenames": r"""WITH n AS (SELECT page_id, substring(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), 1, 100) AS t FROM pages)
 SELECT page_id, CASE WHEN t <> '' THEN CASE WHEN regexp_matches(upper(split_part(t, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END END AS name FROM n""",
     "natural_ranks": "SELECT p_brand, 'No' || p_partkey AS number, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part",
-} | archive.oracles(_CONV, _SHARED, _LOOSE, _FILES)
+}
 
+ORACLES |= archive.oracles(_CONV, _SHARED, _LOOSE, _FILES, ORACLES["job_statuses"])
 ORACLES |= review.oracles(_DETECTIONS, _CONV, _SHARED, ORACLES["batch_problems"], ORACLES["read_votes"])

@@ -9,9 +9,19 @@ from docbatch.operators.grouping import page_runs
 
 
 def list_pages(files: DataFrame, most: int = 5000) -> DataFrame:
-    """files (path, n_pages) to one row per page (source, idx); other suffixes and files of too many pages give none."""
+    """files (path, n_pages) to one row per page (source, idx); other suffixes give none, and list_rejects has the rest.
+
+    Where files have size and mtime_ns, pages have them as source_signature.
+    """
     kept = files.where(F.lower("path").endswith(".pdf") & F.col("n_pages").between(1, most))
-    return kept.select(F.col("path").alias("source"), F.explode(F.sequence(F.lit(0), (F.col("n_pages") - 1).cast("int"))).alias("idx"))
+    signed = [F.struct("size", "mtime_ns").alias("source_signature")] if {"size", "mtime_ns"} <= set(files.columns) else []
+    return kept.select(F.col("path").alias("source"), F.explode(F.sequence(F.lit(0), (F.col("n_pages") - 1).cast("int"))).alias("idx"), *signed)
+
+
+def list_rejects(files: DataFrame, most: int = 5000) -> DataFrame:
+    """The files of the suffix that list_pages gives no page of: path, n_pages, reason (no_pages also for an unknown number)."""
+    reason = F.when(F.coalesce("n_pages", F.lit(0)) < 1, "no_pages").when(F.col("n_pages") > most, "too_many_pages")
+    return files.where(F.lower("path").endswith(".pdf")).select("path", "n_pages", reason.alias("reason")).where("reason is not null")
 
 
 def saveable_prefix(pages: DataFrame) -> DataFrame:

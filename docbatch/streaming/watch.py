@@ -5,42 +5,58 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docbatch.operators.queue import ALLOWED, fingerprint, new_files
+
 OUT = "path string, poll long, size long, mtime_ns long"
 STATE = "poll long, size long, mtime_ns long, since long, known array<string>"
+FIELDS = ["poll", "size", "mtime_ns", "watching", "enqueue_ok"]
 
 
 def watch(rows: Iterable[tuple], state: tuple | None, stable: int) -> tuple[list[tuple], tuple | None]:
-    """Rows (poll, size, mtime_ns) of one path by poll; what became stable, and the state after it.
+    """Rows (poll, size, mtime_ns, watching, enqueue_ok) of one path by poll; what became stable, and the state after it.
 
     A new signature starts the clock, and so does a file that a poll missed.  A
     signature is given out once, when it held for `stable` polls and the file
-    isn't empty; one given out before leaves the clock alone.  A poll that isn't
-    after the last one is ignored.
+    isn't empty; one given out before leaves the clock alone.  Where a job can't
+    be queued the clock starts again; a poll without watching forgets the file.
+    A poll that isn't after the last one is ignored.
     """
     last, held, since, known = state or (None, None, None, [])
     out = []
-    for poll, size, mtime in rows:
+    for poll, size, mtime, watching, queued in rows:
         if last is not None and poll <= last:
             continue
-        if last is not None and poll > last + 1:
+        if not watching or (last is not None and poll > last + 1):
             held = None
         last = poll
         name = f"{size},{mtime}"
-        if name in known:
+        if not watching or name in known:
             continue
         if held != (size, mtime):
             held, since = (size, mtime), poll
         elif poll - since >= stable and size:
-            out.append((poll, size, mtime))
-            known = [*known, name]
+            if queued:
+                out.append((poll, size, mtime))
+                known = [*known, name]
+            else:
+                since = poll
     return out, (last, held, since, known)
 
 
+def _rows(observations: DataFrame) -> DataFrame:
+    """Observations with every field; watching and enqueue_ok are true where the columns are missing or null."""
+    rows = observations.where("path is not null and size is not null and mtime_ns is not null and poll is not null")
+    flags = [f"coalesce({c}, true) {c}" if c in observations.columns else f"true {c}" for c in ("watching", "enqueue_ok")]
+    return rows.selectExpr("path", "cast(poll as long) poll", "cast(size as long) size", "cast(mtime_ns as long) mtime_ns", *flags)
+
+
 def _ordered(pdf: pd.DataFrame) -> list[tuple]:
-    return list(pdf.sort_values(["poll", "size", "mtime_ns"])[["poll", "size", "mtime_ns"]].itertuples(index=False, name=None))
+    return list(pdf.sort_values(["poll", "size", "mtime_ns"])[FIELDS].itertuples(index=False, name=None))
 
 
 def stable_files(observations: DataFrame, stable: int = 3) -> DataFrame:
@@ -50,22 +66,72 @@ def stable_files(observations: DataFrame, stable: int = 3) -> DataFrame:
         out, _ = watch(_ordered(pdf), None, stable)
         return pd.DataFrame([(pdf["path"].iloc[0], *o) for o in out], columns=["path", "poll", "size", "mtime_ns"])
 
-    rows = observations.where("path is not null and size is not null and mtime_ns is not null and poll is not null")
-    return rows.selectExpr("path", "cast(poll as long) poll", "cast(size as long) size", "cast(mtime_ns as long) mtime_ns").groupBy("path").applyInPandas(one, OUT)
+    return _rows(observations).groupBy("path").applyInPandas(one, OUT)
 
 
-def stable_file_stream(observations: DataFrame, stable: int = 3) -> DataFrame:
-    """The same over a stream; a path's state is its last signature and the ones given out."""
+def stable_file_stream(observations: DataFrame, stable: int = 3, forget_ms: int | None = None) -> DataFrame:
+    """The same over a stream; a path's state is its last signature and the ones given out.
+
+    With forget_ms the state of a path without observations for that long goes.
+    If the file comes back it can be given out again; enqueue then finds its
+    fingerprint.  Such a stream always has a next batch, so it needs a trigger
+    that doesn't end, as processingTime.
+    """
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = None
         if state.exists:
             last, size, mtime, since, known = state.get
             old = (last, None if size is None else (size, mtime), since, list(known))
         out, (last, held, since, known) = watch(_ordered(pd.concat(list(batches))), old, stable)
         state.update((last, *(held or (None, None)), since, known))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame([(key[0], *o) for o in out], columns=["path", "poll", "size", "mtime_ns"])
 
-    rows = observations.where("path is not null and size is not null and mtime_ns is not null and poll is not null")
-    rows = rows.selectExpr("path", "cast(poll as long) poll", "cast(size as long) size", "cast(mtime_ns as long) mtime_ns")
-    return rows.groupBy("path").applyInPandasWithState(one, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return _rows(observations).groupBy("path").applyInPandasWithState(one, OUT, STATE, "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def enqueue(files: DataFrame, queue: str) -> None:
+    """Appends a queued job per file (path, size, mtime_ns) whose fingerprint no job in the Parquet folder `queue` has.
+
+    Run again over the same files it adds nothing, so a batch of a stream may be
+    repeated after a failure.
+    """
+    spark = files.sparkSession
+    rows = files.select("path", "size", "mtime_ns", fingerprint().alias("fingerprint")).withColumns({"status": F.lit("queued"), "created": F.current_timestamp()})
+    known = spark.read.schema("fingerprint string").parquet(queue) if _exists(spark, queue) else spark.createDataFrame([], "fingerprint string")
+    new_files(rows, known).select("fingerprint", "path", "size", "mtime_ns", "status", "created").write.mode("append").parquet(queue)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def enqueue_stream(files: DataFrame, queue: str, checkpoint: str) -> DataStreamWriter:
+    """Writer of a stream of stable files into the queue; one writer at a time to a queue."""
+    return files.writeStream.foreachBatch(lambda batch, _: enqueue(batch, queue)).option("checkpointLocation", checkpoint)
+
+
+def status_stream(events: DataFrame, start: str = "queued") -> DataFrame:
+    """transitions over a stream: a row (job, ts, event_id, status) per request that applied.
+
+    Requests of a job in one batch are taken by ts and event_id; one that comes
+    in a later batch than its successors is judged by the status they left.
+    """
+
+    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, out = state.get[0] if state.exists else start, []
+        for ts, event_id, target in pd.concat(list(batches)).sort_values(["ts", "event_id", "target"])[["ts", "event_id", "target"]].itertuples(index=False, name=None):
+            if status in ALLOWED.get(target, []):
+                status = target
+                out.append((key[0], ts, event_id, status))
+        state.update((status,))
+        yield pd.DataFrame(out, columns=["job", "ts", "event_id", "status"])
+
+    rows = events.where("job is not null").select("job", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), "target")
+    return rows.groupBy("job").applyInPandasWithState(one, "job string, ts timestamp, event_id long, status string", "status string", "append", GroupStateTimeout.NoTimeout)
