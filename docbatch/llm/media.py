@@ -390,33 +390,50 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
+BLOCKS = "array<struct<sample_offset long, n_samples int, pcm binary>>"
+
+
 def _pcm(samples_per_block: int):
+    kind = pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", 2 << 20):
-            for doc_id, payload in zip(b.column("doc_id").to_pylist(), decode_streams(b.column("media").to_pylist()), strict=True):
-                at = list(range(0, len(payload), samples_per_block))
-                blocks = [payload[a : a + samples_per_block] for a in at]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array(range(len(at)), pa.int32()), pa.array(at, pa.int64()), pa.array(map(len, blocks), pa.int32()), pa.array(blocks, pa.binary())], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+            media = b.column("media").to_pylist()
+            starts, at, blocks = [0], [], []
+            for payload in decode_streams(media):
+                own = range(0, len(payload), samples_per_block)
+                at += own
+                blocks += [payload[a : a + samples_per_block] for a in own]
+                starts.append(len(at))
+            cut = pa.StructArray.from_arrays([pa.array(at, pa.int64()), pa.array(map(len, blocks), pa.int32()), pa.array(blocks, pa.binary())], fields=list(kind))
+            columns = [b.column("doc_id"), b.column("n_bytes"), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), cut)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
     return run
 
 
+def decoded(media: DataFrame, samples_per_block: int = 4096) -> DataFrame:
+    """Rows (doc_id, n_bytes, media_bytes, media_sha256, blocks): each stream decoded, as PCM blocks in order of their sample offsets."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_pcm(samples_per_block), f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
+
+
 def pcm_blocks(media: DataFrame, samples_per_block: int = 4096) -> DataFrame:
     """Rows (doc_id, block, sample_offset, n_samples, pcm): unsigned 8-bit samples, any place found by its offset."""
-    return media.select("doc_id", "media").mapInArrow(_pcm(samples_per_block), "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
+    rows = decoded(media, samples_per_block).select("doc_id", F.posexplode("blocks").alias("block", "_b"))
+    return rows.select("doc_id", "block", "_b.sample_offset", "_b.n_samples", "_b.pcm")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zlib
 
-    for b in slices(batches, "media", 2 << 20):
-        media = b.column("media").to_pylist()
-        payloads = decode_streams(media)
-        sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-        columns = [pa.array(map(len, payloads), pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array(map(len, media), pa.int64()), sha(media), pa.array(map(features, payloads), pa.string())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            payloads = [b"".join(x["pcm"] for x in blocks) for blocks in b.column("blocks").to_pylist()]
+            columns = [pa.array(map(len, payloads), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), b.column("media_bytes"), b.column("media_sha256"), pa.array(map(features, payloads), pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Digests and features of what decoding a media column gives."""
-    return media.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Digests and features of the PCM blocks that decoding a media column gives."""
+    return decoded(media).mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
