@@ -74,8 +74,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docbatch.llm.media import media_digests, to_media
     from docbatch.llm.store import materialize
 
-    # what is read back from the shared folder is decoded; the streams are compressed already
-    return media_digests(materialize(to_media(_table(spark, sf_dir, "documents")), "media", "none"))
+    # what is read back from the shared folder is decoded; streams of equal passages still shrink to three quarters
+    return media_digests(materialize(to_media(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
