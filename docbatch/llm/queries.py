@@ -85,6 +85,16 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docbatch.llm.quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -96,6 +106,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 _SPACE = "[\\x20\\x09-\\x0D]"
