@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +89,25 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def _planted(ids: pa.Array, offsets: np.ndarray) -> np.ndarray:
+    """Places of the words of op12's texts: from a word on, every tenth text or so repeats its next words."""
+    places = np.arange(offsets[-1])
+    for i, start, end in zip(ids.to_pylist(), offsets[:-1], offsets[1:], strict=True):
+        h = 1 if i is None else zlib.crc32(str(i).encode())
+        if h % 10 == 0 and end > start:
+            g, n = h // 10, int(end - start)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            places[start + a : end] = start + a + np.arange(n - a) % p
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docbatch.llm.runs import find_runs, run_digests
+
+    return run_digests(find_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), prepare=_planted))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docbatch.llm.quality import fit_quality, score_quality
 
@@ -106,6 +129,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_quality_classifier": op13_quality_classifier,
 }
 
