@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docbatch.functions.codes import LETTERS, START, STOP, WIDTHS, code39_label, code128_check, code128_label, code128_text
-from docbatch.operators import archive, queue
+from docbatch.operators import archive, labels, queue
 from docbatch.sources import fixtures
 from docbatch.streaming.watch import stable_files
 
@@ -93,6 +93,40 @@ def scanned_labels(spark, sf_dir):
     return scans.select("p_partkey", code128_label(F.col("code128")).alias("brand"), code39_label(F.col("code39"))["text"].alias("number"))
 
 
+def _label_rows(spark, sf_dir):
+    """Rows across the labels of parts, five to each of two scales, upright and turned: brands as Code 128, numbers as Code 39 by p_size.
+
+    Every fifth label is upside down, every seventh Code 128 checksum is wrong, every eleventh
+    label is whole in only one row of the first scale; a strip of bars without a label stands before each.
+    """
+    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 2 == 0).alias("_code39"))
+    letters = F.transform(F.filter(F.split("p_brand", ""), lambda c: c != ""), lambda c: F.ascii(c) - 32)
+    check = (code128_check(F.lit(START["B"]), letters) + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)) % 103
+    pixels = 2 + F.col("p_partkey") % 4
+    wide = lambda table: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(int(c)) for c in v]))])
+    symbols = F.concat(F.array(F.lit(START["B"])), letters, F.array(check))
+    code128 = F.concat(F.flatten(F.transform(symbols, lambda s: wide(dict(enumerate(WIDTHS)))[s])), F.array(*[F.lit(int(c)) for c in STOP]))
+    digits = F.filter(F.split(F.concat(F.lit("*"), F.col("p_partkey").cast("string"), F.lit("*")), ""), lambda c: c != "")
+    spaced = F.flatten(F.transform(digits, lambda s: F.concat(wide({k: v.replace("n", "1").replace("w", "3") for k, v in LETTERS.items()})[s], F.array(F.lit(1)))))
+    code39 = F.slice(spaced, 1, F.size(spaced) - 1)
+    own = F.transform(F.when(F.col("_code39"), code39).otherwise(code128), lambda w: w * pixels)
+    strip = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.lit(7) + i % 2)
+    upright = F.concat(F.array(F.lit(0)), strip, F.array(F.lit(60)), own, F.array(F.lit(50)))
+    seen = F.when(F.col("p_partkey") % 5 == 0, F.reverse(upright)).otherwise(upright)
+    rows = part.select("p_partkey", seen.alias("_seen")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    flipped, factor = F.col("attempt") % 2 == 1, F.when(F.col("attempt") < 2, 2).otherwise(3)
+    blurred = (F.col("p_partkey") % 11 == 0) & (F.col("attempt") < 2) & (F.col("line") > 0)
+    turned = F.when(flipped, F.reverse("_seen")).otherwise(F.col("_seen"))
+    runs = F.transform(F.when(blurred, F.slice(turned, 1, F.size(turned) - 14)).otherwise(turned), lambda w: (w * factor).cast("double"))
+    width = F.aggregate("_seen", F.lit(0).cast("long"), lambda a, w: a + w) * factor
+    return rows.select(F.col("p_partkey").alias("region"), "attempt", "line", flipped.alias("flipped"), width.alias("width"), factor.alias("factor"), (F.col("p_partkey") % 100).alias("left"), runs.alias("runs"), F.lit(False).alias("dark"))
+
+
+def region_votes(spark, sf_dir):
+    """What the rows across a label agree on, with its box on the page."""
+    return labels.region_labels(labels.read_rows(_label_rows(spark, sf_dir))).select("region", "attempt", "value", "kind", "rows", "x0", "x1", "reversed")
+
+
 def rejected_files(spark, sf_dir):
     return archive.list_rejects(_files(spark, sf_dir))
 
@@ -108,7 +142,7 @@ def stable_arrivals(spark, sf_dir):
     return stable_files(fixtures.file_observations(spark, sf_dir).withColumn("mtime_ns", F.lit(0).cast("long")), 1)
 
 
-QUERIES = {f.__name__: f for f in (listed_pages, saveable_pages, archive_statuses, claimed_names, committed_jobs, drifted_sources, free_stamps, job_progress, label_texts, scanned_labels, rejected_files, restarted_jobs, stable_arrivals)}
+QUERIES = {f.__name__: f for f in (listed_pages, saveable_pages, archive_statuses, claimed_names, committed_jobs, drifted_sources, free_stamps, job_progress, label_texts, scanned_labels, region_votes, rejected_files, restarted_jobs, stable_arrivals)}
 
 #: stable_arrivals has state per path; tests/test_archive.py holds it against a plain loop.  heading_lines: see tests/test_whole.py.
 WITHOUT_SQL = {"stable_arrivals", "heading_lines"}
@@ -135,6 +169,10 @@ AND s.l_partkey % 400 BETWEEN b.l_suppkey % 200 AND b.l_suppkey % 200 + 150) GRO
 CASE event_type WHEN 'view' THEN 'analyzing' WHEN 'click' THEN 'review' WHEN 'purchase' THEN 'exporting' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'dismissed' END AS target FROM events)
 SELECT job, arg_max(target, (ts, event_id)) AS last, count(*) AS reports FROM e GROUP BY job""",
         "scanned_labels": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS brand, p_partkey::VARCHAR AS number FROM part",
+        "region_votes": """WITH l AS (SELECT p_partkey AS region, p_size % 2 = 0 AS c39, p_partkey % 5 = 0 AS reversed, p_partkey % 11 = 0 AS dim, 2 + p_partkey % 4 AS px, p_brand, p_partkey::VARCHAR AS d FROM part WHERE p_size % 2 = 0 OR p_partkey % 7 <> 0),
+w AS (SELECT *, px * CASE WHEN c39 THEN 16 * (length(d) + 2) - 1 ELSE 11 * (length(p_brand) + 2) + 13 END AS size FROM l)
+SELECT region, ((CASE WHEN dim THEN 2 ELSE 0 END) + reversed::INT)::INT AS attempt, CASE WHEN c39 THEN d ELSE p_brand END AS value, CASE WHEN c39 THEN 'Code 39' ELSE 'Code 128' END AS kind, 5::BIGINT AS rows,
+region % 100 + CASE WHEN reversed THEN 50 ELSE 128 END AS x0, region % 100 + CASE WHEN reversed THEN 50 ELSE 128 END + size AS x1, reversed FROM w""",
         "rejected_files": "SELECT 'o' || o_orderkey || CASE o_custkey % 3 WHEN 0 THEN '.PDF' ELSE '.pdf' END AS path, 0::BIGINT AS n_pages, 'no_pages' AS reason FROM orders WHERE o_custkey % 3 < 2 AND o_orderkey % 5 = 0",
         "restarted_jobs": f"SELECT job, CASE WHEN status = 'analyzing' THEN 'queued' WHEN status = 'exporting' THEN CASE WHEN job LIKE '1%' AND length(job) % 2 = 0 THEN 'done' ELSE 'review' END ELSE status END AS status FROM ({statuses})",
         "label_texts": """WITH d AS (SELECT p_partkey, p_brand, lpad(p_partkey::VARCHAR, 8, '0') AS d, length(p_brand) AS n FROM part),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.operators.grouping import page_runs
@@ -62,6 +62,11 @@ def archive_gate(pages: DataFrame, grouping: str = "shared") -> DataFrame:
     return out.withColumn("status", F.when((F.col("documents") > 0) & (F.col("unassigned") == 0) & F.col("_automatic"), "exporting").otherwise("review")).drop("_automatic")
 
 
+def kth_free(k: Column, used: Column) -> Column:
+    """The k-th number from 1 on that isn't in the sorted array used; null is an empty one."""
+    return F.aggregate(F.coalesce(used, F.array().cast("array<int>")), k, lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+
+
 def claim_names(items: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     """items (folder, stem) with the first free of stem, stem_02, stem_03 and so on, by `order`.
 
@@ -76,7 +81,7 @@ def claim_names(items: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     alone = rows.join(met, ["folder", "_root"], "left_anti").select(*items.columns)
     used = taken.groupBy("folder", "stem").agg(F.array_sort(F.collect_set(F.col("number").cast("int"))).alias("_used"))
     alone = alone.withColumn("_k", F.row_number().over(Window.partitionBy("folder", "stem").orderBy(order))).join(used, ["folder", "stem"], "left")
-    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_k"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    free = kth_free(F.col("_k"), F.col("_used"))
     number = F.when(free < 10, F.concat(F.lit("0"), free.cast("string"))).otherwise(free.cast("string"))
     counted = alone.withColumn("name", F.when(free == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), number))).drop("_k", "_used")
 
