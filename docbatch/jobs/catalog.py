@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docbatch.functions.text import heading_line_distance, heading_text, natural_key, safe_filename, strip_distance
-from docbatch.jobs import archive, review
+from docbatch.jobs import archive, batches, review
 from docbatch.operators import grouping, queue, verdict
 from docbatch.sources import fixtures
 
@@ -105,7 +105,7 @@ def natural_ranks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (page_verdicts, split_shared, split_sequential, split_decided, loose_pages, batch_summary, batch_problems, batch_pauses, read_votes, kept_stamps, job_statuses, file_fingerprints, unseen_files, heading_matches, heading_lines, page_filenames, natural_ranks)
-} | archive.QUERIES | review.QUERIES
+} | archive.QUERIES | review.QUERIES | batches.QUERIES
 
 _DETECTIONS = """
 d AS (SELECT 'scan-' || l_orderkey AS source, (l_linenumber - 1)::INT AS idx, l_partkey, l_suppkey, l_extendedprice,
@@ -189,3 +189,4 @@ SELECT page_id, CASE WHEN t <> '' THEN CASE WHEN regexp_matches(upper(split_part
 
 ORACLES |= archive.oracles(_CONV, _SHARED, _LOOSE, _FILES, ORACLES["job_statuses"])
 ORACLES |= review.oracles(_DETECTIONS, _CONV, _SHARED, ORACLES["batch_problems"], ORACLES["read_votes"])
+ORACLES |= batches.oracles(_CONV, _SHARED, ORACLES["batch_problems"])

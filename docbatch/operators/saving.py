@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docbatch.functions.text import safe_filename
+from docbatch.operators.archive import kth_free
 from docbatch.operators.grouping import membership
 
 PAGE = "idx int, barcode string, state string"
@@ -37,17 +39,20 @@ def manifests(pages: DataFrame, grouping: str = "shared") -> DataFrame:
 
 
 def archive_folders(jobs: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """jobs (id, created, label) with archive_date and archive_dir: HH-mm-ss_label_NNN, numbered on from the folders there are.
+    """jobs (id, created, label) with archive_date and archive_dir: HH-mm-ss_label_NNN, the first free numbers by id.
 
-    taken: (archive_date, stem, number) of folders that exist.
+    taken: (archive_date, stem, number) of folders that exist; gaps between them
+    are filled first.  The label is made safe for a file name; one that has
+    nothing left raises an error.
     """
-    rows = jobs.withColumns({"archive_date": F.date_format("created", "yyyy-MM-dd"), "_stem": F.concat(F.date_format("created", "HH-mm-ss"), F.lit("_"), F.col("label"))})
+    label = F.coalesce(safe_filename(F.col("label")), F.raise_error(F.lit("no folder name in a label")).cast("string"))
+    rows = jobs.withColumns({"archive_date": F.date_format("created", "yyyy-MM-dd"), "_stem": F.concat(F.date_format("created", "HH-mm-ss"), F.lit("_"), label)})
     number = F.row_number().over(Window.partitionBy("archive_date", "_stem").orderBy("id"))
     if taken is not None:
-        last = taken.groupBy("archive_date", F.col("stem").alias("_stem")).agg(F.max("number").alias("_last"))
-        rows = rows.join(last, ["archive_date", "_stem"], "left")
-        number = number + F.coalesce("_last", F.lit(0))
-    return rows.withColumn("archive_dir", F.concat("_stem", F.lit("_"), F.lpad(number.cast("string"), 3, "0"))).drop("_stem", "_last")
+        used = taken.groupBy("archive_date", F.col("stem").alias("_stem")).agg(F.array_sort(F.collect_set(F.col("number").cast("int"))).alias("_used"))
+        rows = rows.withColumn("_k", number).join(used, ["archive_date", "_stem"], "left")
+        number = kth_free(F.col("_k"), F.col("_used"))
+    return rows.withColumn("archive_dir", F.concat("_stem", F.lit("_"), F.when(number < 100, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))).drop("_stem", "_k", "_used")
 
 
 def export_pages(members: DataFrame, payload: DataFrame, path: str) -> DataFrame:

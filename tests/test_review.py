@@ -108,11 +108,13 @@ def test_end_mark(spark):
     assert [r["ok"] for r in df.select(saving.complete_pdf(F.col("c")).alias("ok")).collect()] == [True, True, False, False, None]
 
 
-def test_folders_number_on(spark):
+def test_folders_take_the_first_free_number(spark):
     jobs = spark.createDataFrame([(1, "2024-01-05 14:32:08", "T"), (2, "2024-01-05 14:32:08", "T")], "id int, created string, label string").withColumn("created", F.to_timestamp("created"))
-    taken = spark.createDataFrame([("2024-01-05", "14-32-08_T", 4)], "archive_date string, stem string, number int")
+    taken = spark.createDataFrame([("2024-01-05", "14-32-08_T", 4), ("2024-01-05", "14-32-08_T", 2)], "archive_date string, stem string, number int")
     assert sorted(r["archive_dir"] for r in saving.archive_folders(jobs).collect()) == ["14-32-08_T_001", "14-32-08_T_002"]
-    assert sorted(r["archive_dir"] for r in saving.archive_folders(jobs, taken).collect()) == ["14-32-08_T_005", "14-32-08_T_006"]
+    assert sorted(r["archive_dir"] for r in saving.archive_folders(jobs, taken).collect()) == ["14-32-08_T_001", "14-32-08_T_003"]
+    odd = jobs.withColumn("label", F.when(F.col("id") == 1, "a/b").otherwise("CON"))
+    assert sorted(r["archive_dir"] for r in saving.archive_folders(odd).collect()) == ["14-32-08__CON_001", "14-32-08_a_b_001"]
 
 
 def test_read_votes_shuffle_once(spark):
