@@ -60,7 +60,8 @@ def free_stamps(spark, sf_dir):
 
 
 def job_progress(spark, sf_dir):
-    return archive.progress(fixtures.job_events(spark, sf_dir))
+    """The last reported pages of each job, of all it has."""
+    return archive.progress(fixtures.job_events(spark, sf_dir).withColumns({"done": F.col("event_id") % 9, "total": F.lit(9) + F.col("event_id") % 4}))
 
 
 def label_texts(spark, sf_dir):
@@ -167,7 +168,7 @@ SELECT a.path AS source, a.s IS NOT NULL AND a.s IS DISTINCT FROM b.s AS drifted
 AND s.l_partkey % 400 BETWEEN b.l_suppkey % 200 AND b.l_suppkey % 200 + 150) GROUP BY l_orderkey""",
         "job_progress": """WITH e AS (SELECT user_id || '-' || floor(datediff('day', DATE '2024-01-01', ts::DATE) / 3)::BIGINT AS job, ts, event_id,
 CASE event_type WHEN 'view' THEN 'analyzing' WHEN 'click' THEN 'review' WHEN 'purchase' THEN 'exporting' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'dismissed' END AS target FROM events)
-SELECT job, arg_max(target, (ts, event_id)) AS last, count(*) AS reports FROM e GROUP BY job""",
+SELECT job, arg_max(event_id, (ts, event_id)) % 9 AS done, 9 + arg_max(event_id, (ts, event_id)) % 4 AS total, count(*) AS reports FROM e GROUP BY job""",
         "scanned_labels": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS brand, p_partkey::VARCHAR AS number FROM part",
         "region_votes": """WITH l AS (SELECT p_partkey AS region, p_size % 2 = 0 AS c39, p_partkey % 5 = 0 AS reversed, p_partkey % 11 = 0 AS dim, 2 + p_partkey % 4 AS px, p_brand, p_partkey::VARCHAR AS d FROM part WHERE p_size % 2 = 0 OR p_partkey % 7 <> 0),
 w AS (SELECT *, px * CASE WHEN c39 THEN 16 * (length(d) + 2) - 1 ELSE 11 * (length(p_brand) + 2) + 13 END AS size FROM l)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docbatch.functions.text import heading_line_distance, heading_text, natural_key, safe_filename, strip_distance
 from docbatch.jobs import archive, batches, review
 from docbatch.operators import grouping, queue, verdict
+from docbatch.operators.order import places
 from docbatch.sources import fixtures
 
 
@@ -69,7 +70,7 @@ def job_statuses(spark, sf_dir):
 
 def file_fingerprints(spark, sf_dir):
     files = fixtures.file_observations(spark, sf_dir).withColumn("mtime_ns", F.col("poll").cast("long"))
-    return queue.folder_labels(files, ["/in/1", "/in/2"]).select("poll", "path", "label", queue.fingerprint().alias("fingerprint"))
+    return queue.folder_labels(files, ["/in/9", "/in/1", "/in/3"]).select("poll", "path", "label", queue.fingerprint().alias("fingerprint"))
 
 
 def unseen_files(spark, sf_dir):
@@ -95,11 +96,9 @@ def page_filenames(spark, sf_dir):
 
 
 def natural_ranks(spark, sf_dir):
-    """Number of a supplier's parts that come before each in natural order, per brand."""
-    from pyspark.sql import Window
-
+    """The place of every part's number among all, in natural order."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.concat(F.lit("No"), F.col("p_partkey").cast("string")).alias("number"))
-    return part.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(natural_key(F.col("number"))))).select("p_brand", "number", F.col("place").cast("long").alias("place"))
+    return places(part, natural_key(F.col("number")))
 
 
 QUERIES = {
@@ -165,7 +164,7 @@ g AS (SELECT page, 1 AS i, n, [{'x': cx::DOUBLE, 'y': cy::DOUBLE, 'r': r::DOUBLE
   UNION ALL SELECT g.page, c.i, g.n, CASE WHEN near THEN kept ELSE list_append(kept, {'x': c.cx::DOUBLE, 'y': c.cy::DOUBLE, 'r': c.r::DOUBLE}) END, CASE WHEN near THEN total ELSE total + c.score END
   FROM (SELECT g.*, c.cx, c.cy, c.r, c.score, c.i AS ci, len(list_filter(kept, lambda k: sqrt((k.x - c.cx) * (k.x - c.cx) + (k.y - c.cy) * (k.y - c.cy)) < 0.8 * greatest(k.r, c.r))) > 0 AS near FROM g JOIN c ON c.page = g.page AND c.i = g.i + 1) AS x(page, i, n, kept, total, cx, cy, r, score, ci, near), LATERAL (SELECT x.page, x.n) AS g(page, n), LATERAL (SELECT x.ci AS i, x.cx, x.cy, x.r, x.score) AS c)
 SELECT page, n AS n_candidates, len(kept) AS n_kept, round(total, 2) AS kept_score FROM g WHERE i = n""",
-    "file_fingerprints": f"WITH {_FILES} SELECT poll, path, 'Tarama_' || CASE user_id % 3 WHEN 0 THEN 1 ELSE 2 END AS label, sha256(path || '|(' || size || ', ' || poll || ')') AS fingerprint FROM o",
+    "file_fingerprints": f"WITH {_FILES} SELECT poll, path, 'Tarama_' || CASE user_id % 3 WHEN 2 THEN 3 ELSE 2 END AS label, sha256(path || '|(' || size || ', ' || poll || ')') AS fingerprint FROM o",
     "unseen_files": f"WITH {_FILES} SELECT DISTINCT path, size, sha256(path || '|(' || size || ', 0)') AS fingerprint FROM o WHERE poll >= 5 AND (path, size) NOT IN (SELECT (path, size) FROM o WHERE poll < 5)",
     "job_statuses": """WITH RECURSIVE e AS (SELECT user_id || '-' || floor(datediff('day', DATE '2024-01-01', ts::DATE) / 3)::BIGINT AS job,
   CASE event_type WHEN 'view' THEN 'analyzing' WHEN 'click' THEN 'review' WHEN 'purchase' THEN 'exporting' WHEN 'signup' THEN 'done' WHEN 'error' THEN 'dismissed' END AS target, ts, event_id FROM events),
@@ -184,9 +183,9 @@ z AS (SELECT text_id, strip, text, CASE WHEN tail > 1 THEN 17 ELSE least(whole,
 SELECT *, CASE WHEN distance <= 3 THEN round(1 - distance / 17, 6) ELSE 0.0 END AS confidence FROM z""",
     "page_filenames": r"""WITH n AS (SELECT page_id, substring(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' .'), 1, 100) AS t FROM pages)
 SELECT page_id, CASE WHEN t <> '' THEN CASE WHEN regexp_matches(upper(split_part(t, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END END AS name FROM n""",
-    "natural_ranks": "SELECT p_brand, 'No' || p_partkey AS number, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part",
+    "natural_ranks": "SELECT p_brand, 'No' || p_partkey AS number, row_number() OVER (ORDER BY p_partkey) AS place FROM part",
 }
 
 ORACLES |= archive.oracles(_CONV, _SHARED, _LOOSE, _FILES, ORACLES["job_statuses"])
 ORACLES |= review.oracles(_DETECTIONS, _CONV, _SHARED, ORACLES["batch_problems"], ORACLES["read_votes"])
-ORACLES |= batches.oracles(_CONV, _SHARED, ORACLES["batch_problems"])
+ORACLES |= batches.oracles(_CONV, _SHARED, _LOOSE, ORACLES["batch_problems"])

@@ -48,7 +48,7 @@ def heading_hits(spark, sf_dir):
 def kept_regions(spark, sf_dir):
     line = _line(spark, sf_dir)
     parts = line.select("row", (F.col("q") * 4).alias("w"), (F.col("l_suppkey") % 120 + 5).alias("h"), (100 + F.col("l_partkey") % 100).alias("dpi"), ((F.col("l_partkey") % 50 + 50) / 100).alias("regularity"), ((F.col("l_suppkey") % 100) / 100).alias("bar_share"), (F.col("l_linenumber") % 2 == 0).alias("read"))
-    return evidence.region_filter(parts).groupBy("region").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum("h").alias("h"))
+    return evidence.region_filter(parts).select("row", "w", "h", "region")
 
 
 def stamp_blobs(spark, sf_dir):
@@ -82,16 +82,17 @@ def classified_reads(spark, sf_dir):
 
 
 def stacked_headings(spark, sf_dir):
-    """Codes that take over the heading of the one above, by page."""
+    """Codes that take over the heading of the one above, by page and rotation."""
     line = _line(spark, sf_dir)
     y0 = F.col("l_linenumber").cast("long") * 30 + F.col("l_suppkey") % 8
-    regions = line.select("page", F.struct("l_linenumber", "l_partkey", "l_suppkey", "q").alias("ord"), (F.col("l_partkey") % 40).alias("x0"), y0.alias("y0"), (F.col("l_partkey") % 40 + 50).alias("x1"), (y0 + 25).alias("y1"), (F.col("l_suppkey") % 5 > 0).alias("read"), (F.col("page") % 2 == 0).alias("reversed"), F.when(F.col("l_partkey") % 3 == 0, 0.9).otherwise(0.0).alias("confidence"))
-    return evidence.stacked_labels(regions).groupBy("page").agg(F.count("*").alias("regions"), F.count_if(F.col("confidence") > 0).alias("headed"))
+    regions = line.select("page", F.struct("l_linenumber", "l_partkey", "l_suppkey", "q").alias("ord"), (F.col("l_partkey") % 40).alias("x0"), y0.alias("y0"), (F.col("l_partkey") % 40 + 50).alias("x1"), (y0 + 25).alias("y1"), (F.col("l_suppkey") % 5 > 0).alias("read"), (F.col("page") % 2 == 0).alias("reversed"), (F.col("l_linestatus") == "F").alias("rotated"), F.when(F.col("l_partkey") % 3 == 0, 0.9).otherwise(0.0).alias("confidence"))
+    return evidence.stacked_labels(regions).select("page", "rotated", F.concat_ws("-", *[F.col(f"ord.{c}").cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "q")]).alias("ord"), "read", "confidence")
 
 
 def merged_symbols(spark, sf_dir):
     line = _line(spark, sf_dir)
-    reads = line.select((F.col("page") % 500).alias("page"), F.concat(F.lit("V"), (F.col("l_suppkey") % 3).cast("string")).alias("value"), (F.col("l_partkey") % 400).alias("y"), (F.col("l_suppkey") % 20).alias("x0"), (F.col("l_suppkey") % 20 + F.col("q")).alias("x1"), (1 - (F.col("l_discount") + 0.0)).alias("score")).distinct()
+    y = F.col("l_linenumber").cast("long") * 6 + F.col("l_partkey") % 3
+    reads = line.select("page", F.concat(F.lit("V"), (F.col("l_suppkey") % 3).cast("string")).alias("value"), y.alias("y"), (F.col("l_suppkey") % 12).alias("x0"), (F.col("l_suppkey") % 12 + F.col("q") % 16).alias("x1"), (1 - (F.col("l_discount") + 0.0)).alias("score")).distinct()
     return evidence.merge_scanlines(reads).withColumn("score", F.round("score", 6))
 
 
@@ -131,7 +132,7 @@ def imported_pages(spark, sf_dir):
 
 
 def _analysed(spark, sf_dir):
-    return verdict.stamp_rule(verdict.page_verdict(verdict.page_evidence(fixtures.detections(spark, sf_dir))))
+    return verdict.stamp_rule(verdict.page_verdict(verdict.page_evidence(fixtures.detections(spark, sf_dir).repartition("source"))))
 
 
 def stopped_pages(spark, sf_dir):
@@ -152,7 +153,8 @@ def _jobs(spark, sf_dir):
 
 
 def queued_jobs(spark, sf_dir):
-    return review.queue_order(_jobs(spark, sf_dir)).select("folder", "id", "place", "next")
+    """Every job's place in the whole queue, and which is next."""
+    return review.queue_order(_jobs(spark, sf_dir)).select("id", "place", "next")
 
 
 def queue_counts(spark, sf_dir):
@@ -160,7 +162,7 @@ def queue_counts(spark, sf_dir):
 
 
 def queue_lines(spark, sf_dir):
-    rows = _jobs(spark, sf_dir).select("id", F.concat(F.lit("/in/"), "folder", F.lit("/scan"), F.col("id").cast("string"), F.lit(".pdf")).alias("path"), "status", (F.col("id") % 9).alias("done"), (F.col("id") % 9 + F.col("id") % 4).alias("total"), "created", F.lit("2024-01-05").cast("date").alias("today"))
+    rows = _jobs(spark, sf_dir).select("id", F.concat(F.lit("/in/"), "folder", F.lit("/scan"), F.col("id").cast("string"), F.lit(".pdf")).alias("path"), "status", (F.col("id") % 9).alias("done"), (F.col("id") % 9 + F.col("id") % 4).alias("total"), "created", F.lit("2024-01-05").cast("date").alias("today"), F.concat(F.lit("Tarama_"), (F.col("id") % 3 + 1).cast("string")).alias("label"), F.when((F.col("id") % 2 == 0) & (F.col("status") == "review"), "").otherwise(F.col("status")).alias("problem"))
     return review.queue_view(rows)
 
 
@@ -178,8 +180,31 @@ def complete_files(spark, sf_dir):
 
 def pages_json(spark, sf_dir):
     """Pages of a source as JSON, and how many are read back."""
-    jobs = saving.encode_pages(fixtures.conversation_pages(spark, sf_dir))
-    return jobs.join(saving.decode_pages(jobs).groupBy("source").agg(F.count("*").alias("n_pages")), "source")
+    jobs = saving.encode_pages(fixtures.conversation_pages(spark, sf_dir).drop("text"))
+    return jobs.join(saving.decode_pages(jobs)[0].groupBy("source").agg(F.count("*").alias("n_pages")), "source")
+
+
+def whole_pages(spark, sf_dir):
+    """Every field of pages, evidence and signature with it, after a way through JSON; of every seventh source the text is damaged."""
+    pages = fixtures.conversation_pages(spark, sf_dir)
+    n, x = F.length("text"), F.col("idx").cast("double")
+    box = F.struct(x.alias("x0"), (x + 1).alias("y0"), (x + 2).alias("x1"), n.cast("double").alias("y1"))
+    found = F.struct(F.when(n % 2 == 0, "stamp").otherwise("barcode").alias("kind"), box.alias("box"), F.lit(0.5).alias("confidence"), F.concat(F.lit('"\\é '), F.col("barcode")).alias("detail"))
+    rows = pages.select(
+        "source", "idx", "barcode", (n % 3 == 0).alias("target_found"), F.when(n % 3 == 0, "blue").otherwise("none").alias("stamp"), "state", F.concat(F.lit("r"), n.cast("string")).alias("reason"), F.when(n % 4 > 0, F.array(found, found)).otherwise(F.array().cast(f"array<{found_type(found, pages)}>")).alias("evidence"),
+        F.when(n % 5 == 0, "cover").otherwise("").alias("decision"), F.when(n % 5 == 0, "M 1").otherwise("").alias("manual_barcode"), F.when(n % 2 == 0, F.array(F.lit("a"), F.col("barcode"))).otherwise(F.array().cast("array<string>")).alias("other_barcodes"),
+        F.when(n % 6 > 0, F.struct(n.cast("long").alias("size"), F.col("idx").cast("long").alias("mtime_ns"))).alias("source_signature"), (F.col("idx") == 0).alias("first_page_error"),
+    )
+    jobs = saving.encode_pages(rows)
+    damaged = F.substring("source", 6, 20).cast("long") % 7 == 0
+    kept, broken = saving.decode_pages(jobs.withColumn("pages", F.when(damaged, F.expr("substring(pages, 1, length(pages) - 1)")).otherwise(F.col("pages"))))
+    one = F.get("evidence", F.lit(1))
+    seen = kept.select("source", "idx", "barcode", "target_found", "stamp", "state", "reason", F.size("evidence").alias("n_evidence"), one["kind"].alias("kind"), one["box"]["y0"].alias("y0"), one["box"]["y1"].alias("y1"), one["confidence"].alias("confidence"), one["detail"].alias("detail"), "decision", "manual_barcode", F.array_join("other_barcodes", ",").alias("others"), F.col("source_signature.size").alias("size"), F.col("source_signature.mtime_ns").alias("mtime_ns"), "first_page_error")
+    return seen.unionByName(broken.select("source", F.lit(-1).alias("idx"), F.col("problem").alias("reason")), allowMissingColumns=True)
+
+
+def found_type(found, pages):
+    return pages.select(found.alias("f")).schema["f"].dataType.simpleString()
 
 
 def _numbered(spark, sf_dir):
@@ -209,7 +234,7 @@ def exported_documents(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_scales, heading_hits, kept_regions, stamp_blobs, stamp_readings, classified_reads, stacked_headings, merged_symbols, decided_pages, merged_results, imported_pages, stopped_pages, sorted_pages, queued_jobs, queue_counts, queue_lines, approved_batches, complete_files, pages_json, document_manifests, archive_folders, exported_documents)
+    for f in (page_scales, heading_hits, kept_regions, stamp_blobs, stamp_readings, classified_reads, stacked_headings, merged_symbols, decided_pages, merged_results, imported_pages, stopped_pages, sorted_pages, queued_jobs, queue_counts, queue_lines, approved_batches, complete_files, pages_json, whole_pages, document_manifests, archive_folders, exported_documents)
 }
 
 #: Ordered folds; tests/test_review.py holds them against plain loops.
@@ -235,9 +260,9 @@ s AS (SELECT r.*, ord, below, depth FROM r JOIN (VALUES (0, false, 0.65::DOUBLE)
 b AS (SELECT *, greatest(y1 - y0, 30) AS t, CASE WHEN (k * 7 + ord * 3) % 4 = 0 THEN round(0.9 - ord * 0.1, 6)::DOUBLE ELSE 0.0::DOUBLE END AS c FROM s),
 h AS (SELECT row, rotated, arg_min({{'c': c, 'l': greatest(0, trunc(x0 - (x1 - x0) * 0.05::DOUBLE)::BIGINT), 't': CASE WHEN below THEN y1 - 2 ELSE greatest(0, trunc(y0 - t * depth)::BIGINT) END, 'r': least(700, trunc(x1 + (x1 - x0) * 0.05::DOUBLE)::BIGINT), 'b': CASE WHEN below THEN least(750, trunc(y1 + t * depth)::BIGINT) ELSE y0 + 2 END}}, ord) FILTER (WHERE c > 0) AS x FROM b GROUP BY row, rotated)
 SELECT row, coalesce(x.c, 0) AS confidence, CASE WHEN rotated THEN x.t ELSE x.l END AS x0, CASE WHEN rotated THEN 749 - x.r ELSE x.t END AS y0, CASE WHEN rotated THEN x.b ELSE x.r END AS x1, CASE WHEN rotated THEN 749 - x.l ELSE x.b END AS y1 FROM h""",
-        "kept_regions": """WITH c AS (SELECT l_quantity::BIGINT * 4 AS w, l_suppkey % 120 + 5 AS h, 100 + l_partkey % 100 AS dpi, (l_partkey % 50 + 50) / 100::DOUBLE AS g, (l_suppkey % 100) / 100::DOUBLE AS s, l_linenumber % 2 = 0 AS read FROM lineitem),
+        "kept_regions": f"""WITH c AS (SELECT {_ROW} AS row, l_quantity::BIGINT * 4 AS w, l_suppkey % 120 + 5 AS h, 100 + l_partkey % 100 AS dpi, (l_partkey % 50 + 50) / 100::DOUBLE AS g, (l_suppkey % 100) / 100::DOUBLE AS s, l_linenumber % 2 = 0 AS read FROM lineitem),
 r AS (SELECT *, CASE WHEN w < dpi * 0.5::DOUBLE OR h < greatest(8, trunc(dpi * 0.12::DOUBLE)) THEN 'drop' WHEN w / h::DOUBLE < 1.5 OR h > dpi * 1.5 THEN 'split' WHEN g >= 0.62::DOUBLE AND s > 0.2::DOUBLE AND s < 0.8::DOUBLE AND (read OR g >= 0.75) THEN 'keep' ELSE 'drop' END AS region FROM c)
-SELECT region, count(*) AS n, sum(w)::BIGINT AS w, sum(h)::BIGINT AS h FROM r GROUP BY region""",
+SELECT row, w, h, region FROM r""",
         "stamp_blobs": f"""WITH b AS (SELECT {_ROW} AS row, l_partkey % 600 AS x, l_suppkey % 800 AS y, l_quantity::BIGINT * 3 AS w, l_partkey % 97 + 10 AS h FROM lineitem)
 SELECT row, x + w / 2.0::DOUBLE AS cx, y + h / 2.0::DOUBLE AS cy, greatest(w, h) / 2.0::DOUBLE AS r FROM b WHERE greatest(w, h) / 2.0 BETWEEN 14 AND 60 AND w / h::DOUBLE BETWEEN 0.6::DOUBLE AND 1.6::DOUBLE""",
         "stamp_readings": f"""WITH b AS (SELECT DISTINCT {_ROW} AS row, l_partkey, l_suppkey, l_quantity::BIGINT AS q, mask, l_partkey + mask * 37 AS n FROM lineitem, (VALUES (0), (1), (2)) m(mask)),
@@ -264,15 +289,21 @@ SELECT * FROM k UNION ALL SELECT * FROM m WHERE source NOT IN (SELECT source FRO
         "stopped_pages": f"""WITH {detections}, pw AS (SELECT (substring(source, 6)::BIGINT // 20) AS workspace, substring(source, 6)::BIGINT AS o, idx, first_page_error FROM p),
 ps AS (SELECT workspace, min(o * 10000 + idx) AS stop FROM pw WHERE first_page_error GROUP BY workspace)
 SELECT workspace, count(*) AS pages, count(*) FILTER (WHERE o * 10000 + idx > stop) AS pending FROM pw LEFT JOIN ps USING (workspace) GROUP BY workspace""",
-        "sorted_pages": f"WITH {conv} SELECT source, idx, state AS effective_state, row_number() OVER (PARTITION BY source ORDER BY CASE state WHEN 'attachment' THEN 1 WHEN 'review' THEN 2 ELSE 3 END DESC, idx)::INT AS place FROM p",
-        "queued_jobs": f"WITH {_JOBS} SELECT folder, id, row_number() OVER (PARTITION BY folder ORDER BY created, id)::INT AS place, coalesce((created, id) = min((created, id)) FILTER (WHERE status = 'queued') OVER (PARTITION BY folder), false) AS next FROM j",
+        "sorted_pages": f"WITH {conv} SELECT source, idx, state AS effective_state, row_number() OVER (PARTITION BY source ORDER BY CASE state WHEN 'attachment' THEN 1 WHEN 'review' THEN 2 ELSE 3 END DESC, idx) AS place FROM p",
+        "queued_jobs": f"WITH {_JOBS} SELECT id, row_number() OVER (ORDER BY created, id) AS place, coalesce((created, id) = (SELECT min((created, id)) FROM j WHERE status = 'queued'), false) AS next FROM j",
         "queue_counts": f"WITH {_JOBS} SELECT status, count(*) AS jobs FROM j WHERE status <> 'done' GROUP BY ROLLUP (status)",
         "queue_lines": f"""WITH {_JOBS}, s AS (SELECT *, id % 9 AS done, id % 9 + id % 4 AS total FROM j), h AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE done / total::DOUBLE END AS share FROM s), r AS (SELECT *, round_even(share * 10, 0)::INT AS n FROM h)
-SELECT id, 'scan' || id || '.pdf' AS name, status, repeat('#', n) || repeat('.', 10 - n) AS bar, round_even(share * 100, 0)::INT AS percent, CASE WHEN created::DATE = DATE '2024-01-05' THEN strftime(created, '%H:%M') ELSE strftime(created, '%d.%m %H:%M') END AS added FROM r""",
+SELECT id, 'Tarama_' || (id % 3 + 1) AS label, 'scan' || id || '.pdf' AS name, status, CASE status WHEN 'queued' THEN 'in line' WHEN 'review' THEN 'waits for approval' WHEN 'error' THEN 'needs a look' END AS status_text,
+  CASE WHEN status = 'review' AND id % 2 = 0 THEN 'can be saved' WHEN status IN ('review', 'error') THEN 'review first' ELSE 'after analysis' END AS saveable, repeat('#', n) || repeat('.', 10 - n) AS bar, round_even(share * 100, 0)::INT AS percent, CASE WHEN created::DATE = DATE '2024-01-05' THEN strftime(created, '%H:%M') ELSE strftime(created, '%d.%m %H:%M') END AS added FROM r""",
         "approved_batches": f"""WITH bp AS ({problems}), {conv}, {shared}, dn AS (SELECT source, count(DISTINCT cover_idx) AS n FROM m GROUP BY source)
 SELECT CASE WHEN problem = '' THEN 'ready' ELSE 'skipped' END AS outcome, problem AS reason, count(*) AS jobs, sum(CASE WHEN problem = '' THEN coalesce(n, 0) ELSE 0 END)::BIGINT AS documents FROM bp LEFT JOIN dn USING (source) GROUP BY 1, 2""",
         "complete_files": "SELECT doc_id, contains(right(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '%%EOF' ELSE '' END || repeat('x', (doc_id * 37 % 8000)::BIGINT), 4096), '%%EOF') AS complete FROM documents",
         "pages_json": f"WITH {conv} SELECT source, to_json(list({{'idx': idx, 'barcode': barcode, 'state': state}} ORDER BY idx))::VARCHAR AS pages, count(*) AS n_pages FROM p GROUP BY source",
+        "whole_pages": f"""WITH {conv}, t AS (SELECT p.*, length(text) AS n, substring(p.source, 6)::BIGINT % 7 = 0 AS bad FROM p JOIN conversations ON p.source = 'conv-' || conv_id AND idx = turn)
+SELECT source, idx, barcode, n % 3 = 0 AS target_found, CASE WHEN n % 3 = 0 THEN 'blue' ELSE 'none' END AS stamp, state, 'r' || n AS reason, CASE WHEN n % 4 > 0 THEN 2 ELSE 0 END::INT AS n_evidence, CASE WHEN n % 4 > 0 THEN CASE WHEN n % 2 = 0 THEN 'stamp' ELSE 'barcode' END END AS kind,
+  CASE WHEN n % 4 > 0 THEN idx + 1 END::DOUBLE AS y0, CASE WHEN n % 4 > 0 THEN n END::DOUBLE AS y1, CASE WHEN n % 4 > 0 THEN 0.5 END::DOUBLE AS confidence, CASE WHEN n % 4 > 0 THEN '"\\é ' || barcode END AS detail, CASE WHEN n % 5 = 0 THEN 'cover' ELSE '' END AS decision, CASE WHEN n % 5 = 0 THEN 'M 1' ELSE '' END AS manual_barcode,
+  CASE WHEN n % 2 = 0 THEN 'a,' || barcode ELSE '' END AS others, CASE WHEN n % 6 > 0 THEN n END AS size, CASE WHEN n % 6 > 0 THEN idx END::BIGINT AS mtime_ns, idx = 0 AS first_page_error FROM t WHERE NOT bad
+UNION ALL SELECT DISTINCT source, -1, NULL, NULL, NULL, NULL, 'not_an_array', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM t WHERE bad""",
         "document_manifests": f"""WITH {conv}, {shared} SELECT m.source, cover_idx, m.number, to_json(list({{'source': m.source, 'page': page_idx + 1, 'state': CASE WHEN page_idx = 0 THEN 'cover' ELSE state END, 'manual': page_idx = 0, 'stamp': 'blue'}} ORDER BY page_idx))::VARCHAR AS pages
 FROM m JOIN p ON p.source = m.source AND p.idx = page_idx GROUP BY m.source, cover_idx, m.number""",
         "archive_folders": f"""WITH {_JOBS}, h AS (SELECT id, date_trunc('hour', created) AS created, 'Tarama_' || (id % 3 + 1) AS label FROM j), s AS (SELECT *, strftime(created, '%Y-%m-%d') AS archive_date, strftime(created, '%H-%M-%S') || '_' || label AS stem FROM h)

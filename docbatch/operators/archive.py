@@ -53,13 +53,15 @@ def archive_gate(pages: DataFrame, grouping: str = "shared") -> DataFrame:
     """Per source the status after analysis: exporting when there are documents and no page is loose, else review.
 
     Optional columns: a page with first_page_error, decided or not, and a source
-    without auto_save go to review.
+    without auto_save go to review; a page with an error that isn't null makes its
+    source an error.
     """
     has = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in pages.columns else F.lit(default)
     loose = (F.col("kind") == "B") | ((F.col("kind") == "A") & ~F.col("anchor").eqNullSafe("C"))
     kept = (~F.bool_or(has("first_page_error", False)) & F.bool_and(has("auto_save", True))).alias("_automatic")
-    out = page_runs(pages, grouping).groupBy("source").agg(F.count_if(F.col("kind") == "C").alias("documents"), F.count_if(loose).alias("unassigned"), kept)
-    return out.withColumn("status", F.when((F.col("documents") > 0) & (F.col("unassigned") == 0) & F.col("_automatic"), "exporting").otherwise("review")).drop("_automatic")
+    failed = F.bool_or(F.col("error").isNotNull()) if "error" in pages.columns else F.bool_or(F.lit(False))
+    out = page_runs(pages, grouping).groupBy("source").agg(F.count_if(F.col("kind") == "C").alias("documents"), F.count_if(loose).alias("unassigned"), kept, failed.alias("_failed"))
+    return out.withColumn("status", F.when(F.col("_failed"), "error").when((F.col("documents") > 0) & (F.col("unassigned") == 0) & F.col("_automatic"), "exporting").otherwise("review")).drop("_automatic", "_failed")
 
 
 def kth_free(k: Column, used: Column) -> Column:
@@ -134,5 +136,6 @@ def exclude_stamps(stamps: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Per job its last report by time."""
-    return events.groupBy("job").agg(F.max_by("target", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("reports"))
+    """events (job, ts, event_id, done, total) to the last report of each job by time: done, total, and how many there were."""
+    last = F.max_by(F.struct("done", "total"), F.struct("ts", "event_id"))
+    return events.groupBy("job").agg(last.alias("_last"), F.count("*").alias("reports")).select("job", "_last.done", "_last.total", "reports")

@@ -40,6 +40,11 @@ def page_box(box: dict[str, Column], rotated: Column, height: Column) -> list[Co
     return [F.when(rotated, t).otherwise(b).alias(c) for (c, b), t in zip(box.items(), turned, strict=True)]
 
 
+def in_points(box: dict[str, Column], dpi: Column) -> list[Column]:
+    """A box in points (72 to the inch) from one in the pixels of a page drawn at dpi."""
+    return [(c / (dpi / 72)).alias(name) for name, c in box.items()]
+
+
 def heading_strips(regions: DataFrame) -> DataFrame:
     """regions (…, x0, y0, x1, y1, read, reversed, width, height) with the bands beside them: ord, below, left, top, right, bottom.
 
@@ -134,20 +139,25 @@ def classify_reads(regions: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def build_evidence(stamps: DataFrame, headings: DataFrame, reports: DataFrame) -> DataFrame:
-    """Stamps (page, detail, strength, default), headings and reports (page, detail, confidence) as one list: page, ord, kind, detail, confidence."""
-    part = lambda rows, ord_, kind, confidence: rows.select("page", F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), "detail", confidence.alias("confidence"))
+    """Stamps (page, detail, strength, default), headings and reports (page, detail, confidence) as one list: page, ord, kind, box, detail, confidence.
+
+    box is a struct (x0, y0, x1, y1), null where a table has none.
+    """
+    kind_of_box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    box = lambda rows: (F.col("box") if "box" in rows.columns else F.lit(None)).cast(kind_of_box).alias("box")
+    part = lambda rows, ord_, kind, confidence: rows.select("page", F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), box(rows), "detail", confidence.alias("confidence"))
     found = part(stamps, 0, "stamp", F.least(F.lit(0.99), F.col("strength") * F.col("default")))
     return found.unionByName(part(headings, 1, "heading", F.col("confidence"))).unionByName(part(reports, 2, "barcode", F.col("confidence")))
 
 
 def stacked_labels(regions: DataFrame) -> DataFrame:
-    """regions (page, ord, x0, y0, x1, y1, read, reversed, confidence) with the confidence that a code directly under a headed one takes over.
+    """regions (page, rotated, ord, x0, y0, x1, y1, read, reversed, confidence) with the confidence that a code directly under a headed one takes over.
 
-    Regions go by ord, so what one has taken over counts for those after it; the
+    Regions found on the upright and on the turned page never meet.  They go by ord, so what one has taken over counts for those after it; the
     first headed region, by ord, that a region follows is the one.
     """
     fields = ["ord", "x0", "y0", "x1", "y1", "read", "reversed", "confidence"]
-    page = regions.groupBy("page").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_r"))
+    page = regions.groupBy("page", "rotated").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_r"))
 
     def follows(upper: Column, lower: Column) -> Column:
         gap = F.when(upper["reversed"], upper["y0"] - lower["y1"]).otherwise(lower["y0"] - upper["y1"])
@@ -162,10 +172,10 @@ def stacked_labels(regions: DataFrame) -> DataFrame:
         return F.transform(now, lambda u, j: F.when(j == i, changed).otherwise(u))
 
     places = F.sequence(F.lit(0), F.size("_r") - 1)
-    return page.select("page", F.explode(F.aggregate(places, F.col("_r"), step)).alias("r")).select("page", "r.*")
+    return page.select("page", "rotated", F.explode(F.aggregate(places, F.col("_r"), step)).alias("r")).select("page", "rotated", "r.*")
 
 
-def merge_scanlines(reads: DataFrame, stride: int = 8) -> DataFrame:
+def merge_scanlines(reads: DataFrame, stride: int = 6) -> DataFrame:
     """reads (page, value, y, x0, x1, score) of single lines to symbols (page, value, x0, y0, x1, y1, score).
 
     By y, a reading joins the first symbol of its value nearby and moves its

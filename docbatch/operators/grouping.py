@@ -128,3 +128,73 @@ def approval_problems(pages: DataFrame, grouping: str = "shared", listed: int =
     p = F.col("p")
     names = F.when(p == 1, "pending").when(p == 2, "review").when(p == 3, "cover_without_number").when(p == 4, "loose")
     return out.select("source", F.coalesce("_job", names, F.when(F.col("_docs") == 0, "no_documents"), F.lit("")).alias("problem"), "n_pages", F.array_join(F.slice("_ids", 1, listed), ",").alias("page_ids"), (F.size("_ids") > listed).alias("truncated"))
+
+
+SOURCE = ["workspace", "source_ord", "source"]
+
+
+def _by_workspace(pages: DataFrame) -> DataFrame:
+    """Pages whose source is told apart by workspace, so that one file may be in several."""
+    return pages.withColumn("source", F.struct(*SOURCE))
+
+
+def _before(size: str) -> Column:
+    """Sum of size over the sources of a workspace that come before; a window over sources, not pages."""
+    return F.coalesce(F.sum(size).over(Window.partitionBy("source.workspace").orderBy("source.source_ord", "source.source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def page_ids(pages: DataFrame) -> DataFrame:
+    """pages (workspace, source_ord, source, idx) with id: their place in the workspace, from 1 on.
+
+    Numbered in two levels: places within each source, and the pages of the
+    sources before it.  No window runs over the pages of a whole workspace.
+    """
+    rows = _by_workspace(pages).withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy("idx")))
+    sizes = rows.groupBy("source").agg(F.count("*").alias("_n")).select("source", _before("_n").alias("_before"))
+    out = rows.join(sizes, "source").withColumn("id", F.col("_before") + F.col("_place"))
+    return out.select(*[F.col("source.source").alias("source") if c == "source" else F.col(f"`{c}`") for c in pages.columns], "id")
+
+
+def workspace_summary(pages: DataFrame, grouping: str = "shared") -> DataFrame:
+    """summary per workspace, with its number of sources; ready counts the pages that saving would take of the whole workspace."""
+    from docbatch.operators.archive import saveable_prefix
+
+    each = summary(_by_workspace(pages), grouping).drop("ready")
+    counts = ["pages", "covers", "needs_review", "documents", "loose", "pending", "analysed"]
+    out = each.groupBy(F.col("source.workspace").alias("workspace")).agg(F.count("*").alias("sources"), *[F.sum(c).alias(c) for c in counts])
+    ready = saveable_prefix(pages).groupBy("workspace").agg(F.sum("saveable").alias("ready"))
+    return out.join(ready, "workspace")
+
+
+def workspace_problems(pages: DataFrame, grouping: str = "shared", listed: int = 8) -> DataFrame:
+    """approval_problems per workspace: page_ids are places in the workspace, in order.
+
+    Each source gives its counts and first places by kind of problem, the
+    workspace takes those of its first kind; what moves between the two is a row
+    per source.
+    """
+    job = F.col("job_status") if "job_status" in pages.columns else F.lit("review")
+    decided = F.coalesce(F.col("decision"), F.lit("")) != "" if "decision" in pages.columns else F.lit(False)
+    error = F.coalesce(F.col("first_page_error"), F.lit(False)) & ~decided if "first_page_error" in pages.columns else F.lit(False)
+    free = (F.col("kind") == "B") | ((F.col("kind") == "A") & ~F.col("anchor").eqNullSafe(F.lit("C")))
+    state = F.col("effective_state")
+    which = F.when(free, F.when(state == "pending", 0).when(state == "review", 1).when(state == "cover", 2).otherwise(3))
+    status = F.when(job.isin("queued", "analyzing", "error", "exporting"), job).when(~job.eqNullSafe(F.lit("review")), "not_in_review")
+    runs = page_runs(_by_workspace(pages).withColumns({"_status": status, "_error": error}), grouping)
+    runs = runs.withColumns({"_which": which, "_place": F.row_number().over(Window.partitionBy("source").orderBy("idx"))})
+    kinds = range(4)
+    counts = F.array(*[F.count_if(F.col("_which") == k) for k in kinds])
+    places = F.array(*[F.slice(F.sort_array(F.collect_list(F.when(F.col("_which") == k, F.col("_place")))), 1, listed) for k in kinds])
+    each = runs.groupBy("source").agg(F.count("*").alias("_n"), counts.alias("_counts"), places.alias("_places"), F.count_if(F.col("kind") == "C").alias("_docs"), F.max("_status").alias("_status"), F.bool_or("_error").alias("_error"))
+    each = each.withColumn("_before", _before("_n"))
+    ids = F.transform("_places", lambda own: F.transform(own, lambda p: p + F.col("_before")))
+    gathered = each.withColumn("_ids", ids).groupBy(F.col("source.workspace").alias("workspace")).agg(
+        F.array(*[F.sum(F.col("_counts")[k]) for k in kinds]).alias("_counts"), F.array(*[F.slice(F.sort_array(F.flatten(F.collect_list(F.col("_ids")[k]))), 1, listed) for k in kinds]).alias("_ids"),
+        F.sum("_docs").alias("_docs"), F.coalesce(F.max("_status"), F.when(F.bool_or("_error"), "first_page")).alias("_job"),
+    )
+    first = F.when(F.col("_job").isNull(), F.when(F.col("_counts")[0] > 0, 0).when(F.col("_counts")[1] > 0, 1).when(F.col("_counts")[2] > 0, 2).when(F.col("_counts")[3] > 0, 3))
+    names = F.get(F.array(*map(F.lit, ("pending", "review", "cover_without_number", "loose"))), first)
+    out = gathered.withColumn("_first", first)
+    n = F.coalesce(F.get("_counts", F.col("_first")), F.lit(0))
+    problem = F.coalesce("_job", names, F.when(F.col("_docs") == 0, "no_documents"), F.lit(""))
+    return out.select("workspace", problem.alias("problem"), n.alias("n_pages"), F.coalesce(F.array_join(F.get("_ids", F.col("_first")), ","), F.lit("")).alias("page_ids"), (n > listed).alias("truncated"))

@@ -34,10 +34,11 @@ def new_files(files: DataFrame, queue: DataFrame) -> DataFrame:
 
 
 def folder_labels(files: DataFrame, folders: list[str]) -> DataFrame:
-    """label Tarama_<place of the file's folder>; the last known place for other folders."""
+    """label Tarama_<place of the file's folder>; files of other folders are the first's or second's, the first only by its old label in a column label."""
     places = F.create_map(*[x for k, d in enumerate(folders) for x in (F.lit(d), F.lit(k + 1))])
     parent = F.regexp_replace("path", "/[^/]*$", "")
-    return files.withColumn("label", F.concat(F.lit("Tarama_"), F.coalesce(places[parent], F.lit(len(folders))).cast("string")))
+    other = F.when(F.col("label") == OLD_LABELS[0], 1).otherwise(2) if "label" in files.columns else F.lit(2)
+    return files.withColumn("label", F.concat(F.lit("Tarama_"), F.coalesce(places[parent], other).cast("string")))
 
 
 def relabel_jobs(jobs: DataFrame, folders: list[str]) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AUTOMATIC = ["barcode", "state", "first_page_error"]
+from docbatch.operators.order import places
+
+#: What analysis sets, with the value of a page that isn't analysed; the signature stays when a page is reset.
+AUTOMATIC = {"barcode": "", "target_found": False, "stamp": "none", "state": "pending", "reason": "", "evidence": None, "other_barcodes": None, "source_signature": None, "first_page_error": False}
 PENDING_JOBS = ["queued", "analyzing", "review", "error", "exporting"]
 
 
@@ -17,7 +20,7 @@ def apply_decisions(pages: DataFrame, decisions: DataFrame) -> DataFrame:
     none.  The last decision of each kind tells the outcome, so one aggregate is
     enough.
     """
-    number = F.btrim(F.coalesce("number", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    number = F.regexp_replace(F.coalesce("number", F.lit("")), r"(?U)^\s+|\s+$", "")
     valid = decisions.withColumn("number", number).where((F.col("action") != "cover") | (F.col("number") != ""))
     order = F.struct("ts", "event_id")
     numbered = F.when(F.col("action") != "attachment", order)
@@ -32,15 +35,28 @@ def apply_decisions(pages: DataFrame, decisions: DataFrame) -> DataFrame:
     }).drop("_action", "_number", "_cover")
 
 
+def automatic(pages: DataFrame) -> list[str]:
+    """The automatic fields that pages have."""
+    return [c for c in AUTOMATIC if c in pages.columns]
+
+
 def reset_analysis(pages: DataFrame) -> DataFrame:
-    """Pages to be analysed again: automatic fields at their defaults, decisions and numbers of users kept."""
-    return pages.withColumns({"barcode": F.lit(""), "state": F.lit("pending"), "first_page_error": F.lit(False)})
+    """Pages to be analysed again: automatic fields at their defaults, lists empty; decisions and numbers of users and the signature kept."""
+    fields = [c for c in automatic(pages) if c != "source_signature"]
+    return pages.withColumns({c: (F.array() if AUTOMATIC[c] is None else F.lit(AUTOMATIC[c])).cast(pages.schema[c].dataType) for c in fields})
 
 
 def merge_results(pages: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages with the automatic fields of results (source, idx, ...), and results of no page.  Decisions of users stay, however late a result is."""
-    new = results.select("source", "idx", *[F.col(c).alias(f"_{c}") for c in AUTOMATIC], F.lit(True).alias("_there"))
-    merged = pages.join(new, ["source", "idx"], "left").withColumns({c: F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)) for c in AUTOMATIC})
+    """Pages with all automatic fields they have from results (source, idx, ...; one a page), and results of no page.
+
+    Decisions of users stay, however late a result is.  Results must have every
+    automatic field that pages have, null ones are taken as null.
+    """
+    fields = automatic(pages)
+    if missing := [c for c in fields if c not in results.columns]:
+        raise ValueError(f"results lack {', '.join(missing)}")
+    new = results.select("source", "idx", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_there"))
+    merged = pages.join(new, ["source", "idx"], "left").withColumns({c: F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields})
     return merged.select(*pages.columns), results.join(pages.select("source", "idx"), ["source", "idx"], "left_anti")
 
 
@@ -67,15 +83,14 @@ def sort_pages(pages: DataFrame, by: str = "state", descending: bool = False) ->
 
     rank = F.when(F.col("effective_state") == "pending", 0).when(F.col("effective_state") == "attachment", 1).when(F.col("effective_state") == "review", 2).otherwise(3)
     key = {"id": F.col("id"), "page": F.struct("source", "idx"), "state": rank, "number": natural_key(F.col("number"))}[by]
-    order = Window.partitionBy("workspace").orderBy(key.desc() if descending else key.asc(), F.col("id").asc())
-    return pages.withColumn("place", F.row_number().over(order))
+    return places(pages, key.desc() if descending else key.asc(), F.col("id").asc(), within=("workspace",))
 
 
-def queue_order(jobs: DataFrame, partition: str = "folder") -> DataFrame:
-    """jobs (folder, id, created, status) with place, by created and id, and next: the first queued job of its folder."""
-    w = Window.partitionBy(partition).orderBy("created", "id")
-    queued = F.min(F.when(F.col("status") == "queued", F.struct("created", "id"))).over(Window.partitionBy(partition))
-    return jobs.withColumns({"place": F.row_number().over(w), "next": F.coalesce(F.struct("created", "id") == queued, F.lit(False))})
+def queue_order(jobs: DataFrame) -> DataFrame:
+    """jobs (id, created, status) with place in the whole queue, by created and id, and next: the first queued job of all, if any."""
+    placed = places(jobs, F.col("created").asc(), F.col("id").asc())
+    first = placed.where("status = 'queued'").agg(F.min("place")).first()[0]
+    return placed.withColumn("next", F.coalesce(F.col("place") == F.lit(first).cast("long"), F.lit(False)))
 
 
 def queue_counts(jobs: DataFrame) -> DataFrame:
@@ -83,16 +98,37 @@ def queue_counts(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin(*PENDING_JOBS)).rollup("status").agg(F.count("*").alias("jobs"))
 
 
-def queue_view(jobs: DataFrame) -> DataFrame:
-    """jobs (id, path, status, done, total, created, today): the line of a job in the list.
+#: What a line says of a job's status, and of jobs that can't be saved yet.
+STATUS_TEXT = {"queued": "in line", "analyzing": "being analysed", "review": "waits for approval", "error": "needs a look", "exporting": "being saved"}
+SAVE_TEXT = {"": "can be saved", "review": "review first", "error": "review first", "exporting": "being saved", "other": "after analysis"}
+
 
-    name of the file, bar of ten places (halves to even), percent, and added: the
-    time for jobs of today, otherwise with the day.
+def queue_view(jobs: DataFrame, status_text: dict[str, str] = STATUS_TEXT, save_text: dict[str, str] = SAVE_TEXT) -> DataFrame:
+    """jobs (id, path, label, status, problem, done, total, created, today): the line of a job in the list.
+
+    name of the file, status_text, bar of ten places (halves to even), percent,
+    saveable (by problem, '' for none, else by status), and added: the time for
+    jobs of today, otherwise with the day.
     """
+    said = F.create_map(*[F.lit(x) for pair in status_text.items() for x in pair])[F.col("status")]
+    blocked = F.create_map(*[F.lit(x) for pair in save_text.items() for x in pair])
+    saveable = F.when(F.col("problem") == "", save_text[""]).otherwise(F.coalesce(blocked[F.nullif("status", F.lit(""))], F.lit(save_text["other"])))
     share = F.coalesce(F.col("done") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
     filled = F.bround(share * 10).cast("int")
     added = F.when(F.to_date("created") == F.col("today"), F.date_format("created", "HH:mm")).otherwise(F.date_format("created", "dd.MM HH:mm"))
-    return jobs.select("id", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), "status", F.concat(F.repeat(F.lit("#"), filled), F.repeat(F.lit("."), 10 - filled)).alias("bar"), F.bround(share * 100).cast("int").alias("percent"), added.alias("added"))
+    return jobs.select("id", "label", F.regexp_extract("path", r"([^/\\]*)$", 1).alias("name"), "status", said.alias("status_text"), saveable.alias("saveable"), F.concat(F.repeat(F.lit("#"), filled), F.repeat(F.lit("."), 10 - filled)).alias("bar"), F.bround(share * 100).cast("int").alias("percent"), added.alias("added"))
+
+
+def skipped_notes(problems: DataFrame, order: str, most: int = 12) -> DataFrame:
+    """problems (source, problem and the order's column) to the first `most` that something blocks: place, source, problem, and more, how many others there are.
+
+    A top-k report: each task keeps `most` rows, and nothing else is sorted.
+    """
+    blocked = problems.where("problem <> ''")
+    more = max(blocked.count() - most, 0)
+    first = blocked.orderBy(order, "source").limit(most)
+    place = F.row_number().over(Window.orderBy(order, "source"))  # over `most` rows
+    return first.select(place.alias("place"), "source", "problem", F.lit(more).cast("long").alias("more"))
 
 
 def approve_batch(problems: DataFrame, documents: DataFrame) -> DataFrame:

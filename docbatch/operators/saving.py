@@ -9,7 +9,12 @@ from docbatch.functions.text import safe_filename
 from docbatch.operators.archive import kth_free
 from docbatch.operators.grouping import membership
 
-PAGE = "idx int, barcode string, state string"
+#: The fields of a saved page, in order, and what a missing one is read as; a null stays null only in the signature.
+EVIDENCE = "array<struct<kind:string,box:array<double>,confidence:double,detail:string>>"
+FIELDS = {
+    "idx": ("int", None), "barcode": ("string", ""), "target_found": ("boolean", False), "stamp": ("string", "none"), "state": ("string", "pending"), "reason": ("string", ""), "evidence": (EVIDENCE, []),
+    "decision": ("string", ""), "manual_barcode": ("string", ""), "other_barcodes": ("array<string>", []), "source_signature": ("array<bigint>", None), "first_page_error": ("boolean", False),
+}
 
 
 def complete_pdf(content: Column) -> Column:
@@ -18,13 +23,44 @@ def complete_pdf(content: Column) -> Column:
 
 
 def encode_pages(pages: DataFrame) -> DataFrame:
-    """pages (source, idx, barcode, state) to one JSON array per source, in page order."""
-    return pages.groupBy("source").agg(F.to_json(F.sort_array(F.collect_list(F.struct("idx", "barcode", "state")))).alias("pages"))
+    """pages (source, idx and what there is of FIELDS) to one JSON array per source, in page order.
 
-
-def decode_pages(jobs: DataFrame) -> DataFrame:
-    """The pages behind encode_pages."""
-    return jobs.select("source", F.inline(F.from_json("pages", f"array<struct<{PAGE.replace(' ', ':')}>>".replace(",:", ","))))
+    Boxes of evidence (struct x0, y0, x1, y1) become arrays of four, the signature
+    (struct size, mtime_ns) one of two, or null.
+    """
+    boxed = lambda e: F.struct(e["kind"].alias("kind"), F.array(*[e["box"][c].cast("double") for c in ("x0", "y0", "x1", "y1")]).alias("box"), e["confidence"].alias("confidence"), e["detail"].alias("detail"))
+    own = {c: F.col(c) for c in FIELDS if c in pages.columns}
+    if "evidence" in own:
+        own["evidence"] = F.transform("evidence", boxed)
+    if "source_signature" in own:
+        own["source_signature"] = F.when(F.col("source_signature").isNotNull(), F.array("source_signature.size", "source_signature.mtime_ns"))
+    page = F.struct(*[c.alias(name) for name, c in own.items()])
+    keyed = F.sort_array(F.collect_list(F.struct(F.col("idx").alias("_idx"), F.to_json(page, {"ignoreNullFields": "false"}).alias("_page"))))
+    return pages.groupBy("source").agg(keyed.alias("_p")).select("source", F.concat(F.lit("["), F.array_join(F.transform("_p", lambda p: p["_page"]), ","), F.lit("]")).alias("pages"))
+
+
+def decode_pages(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """jobs (source, pages) of encode_pages to (pages, broken): every field of FIELDS, and rows (source, problem, detail).
+
+    Fields that aren't there take their defaults, unknown ones are passed over.
+    A text that isn't an array is broken (not_an_array), and so is a page that
+    isn't an object of these types or has no idx (bad_page); one broken page
+    breaks its whole source, of which no page comes out.
+    """
+    raw = jobs.select("source", "pages", F.from_json("pages", "array<string>").alias("_items"))
+    not_array = raw.where(F.col("_items").isNull()).select("source", F.lit("not_an_array").alias("problem"), F.col("pages").alias("detail"))
+    schema = ", ".join(f"{c} {kind}" for c, (kind, _) in FIELDS.items()) + ", _bad string"
+    items = raw.select("source", F.posexplode("_items").alias("_at", "_item"))
+    read = items.withColumn("_page", F.from_json("_item", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    wrong = F.col("_page.idx").isNull() | F.col("_page._bad").isNotNull() | F.coalesce(F.size("_page.source_signature") != 2, F.lit(False)) | F.coalesce(F.exists("_page.evidence", lambda e: F.size(e["box"]) != 4), F.lit(False))
+    bad = read.where(wrong).select("source", F.lit("bad_page").alias("problem"), F.col("_item").alias("detail"))
+    broken = not_array.unionByName(bad)
+    unboxed = lambda e: F.struct(e["kind"].alias("kind"), F.struct(*[e["box"][k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))]).alias("box"), e["confidence"].alias("confidence"), e["detail"].alias("detail"))
+    signature = F.when(F.col("_page.source_signature").isNotNull(), F.struct(F.col("_page.source_signature")[0].alias("size"), F.col("_page.source_signature")[1].alias("mtime_ns")))
+    special = {"evidence": F.transform(F.coalesce("_page.evidence", F.array().cast(EVIDENCE)), unboxed), "source_signature": signature}
+    default = lambda kind, value: (F.array() if value == [] else F.lit(value)).cast(kind)
+    columns = [special.get(c, F.coalesce(f"_page.{c}", default(kind, value))).alias(c) for c, (kind, value) in FIELDS.items()]
+    return read.join(broken.select("source").distinct(), "source", "left_anti").select("source", *columns), broken
 
 
 def manifests(pages: DataFrame, grouping: str = "shared") -> DataFrame:

@@ -26,7 +26,11 @@ def page_evidence(detections: DataFrame) -> DataFrame:
 
 
 def page_verdict(pages: DataFrame, review_missing_stamp: bool = True) -> DataFrame:
-    """Adds state, reason and first_page_error; the first rule that holds decides."""
+    """Adds state, reason and first_page_error; the first rule that holds decides.
+
+    Optional column error: a page whose analysis failed (not null) goes to review
+    as failed, and isn't a first page error; archive_gate makes its job an error.
+    """
     none, targets = F.col("stamp") == "none", F.size("reports") > 0
     rules: list[tuple[Column, str, str]] = [
         ((F.col("idx") == 0) & ~F.col("target_found") & none, "review", "first_page"),
@@ -40,19 +44,39 @@ def page_verdict(pages: DataFrame, review_missing_stamp: bool = True) -> DataFra
     state, reason = F.when(targets, F.lit("review")).otherwise(state), F.when(targets, F.concat(F.lit("stamp_"), F.col("stamp"))).otherwise(reason)
     for holds, s, r in reversed(rules):
         state, reason = F.when(holds, s).otherwise(state), F.when(holds, r).otherwise(reason)
-    return pages.withColumns({"state": state, "reason": reason, "first_page_error": rules[0][0]})
+    first = rules[0][0]
+    if "error" in pages.columns:
+        failed = F.col("error").isNotNull()
+        state, reason, first = F.when(failed, "review").otherwise(state), F.when(failed, "failed").otherwise(reason), ~failed & first
+    return pages.withColumns({"state": state, "reason": reason, "first_page_error": first})
 
 
 def stamp_rule(pages: DataFrame, review_mixed: bool = True, review_plain: bool = True) -> DataFrame:
-    """Pages with a heading, a number and a stamp that isn't blue alone: to review, or following pages by option."""
-    applies = F.col("target_found") & (F.col("barcode") != "") & F.col("stamp").isin("mixed", "black", "faint")
+    """Pages with a heading, a number that holds (a user's, else the code's) and a stamp that isn't blue alone: to review, or following pages by option.
+
+    Adds needs_review: the rule sent the page to review and no user has decided
+    it.  Where pages have a reason it names the stamp, with _following for pages
+    that became following ones.  Optional columns: manual_barcode, decision.
+    """
+    manual = _stripped(F.col("manual_barcode")) if "manual_barcode" in pages.columns else F.lit("")
+    decided = F.coalesce("decision", F.lit("")) != "" if "decision" in pages.columns else F.lit(False)
+    number = F.coalesce(F.nullif(manual, F.lit("")), F.col("barcode"), F.lit(""))
+    applies = F.coalesce(F.col("target_found") & (number != "") & F.col("stamp").isin("mixed", "black", "faint"), F.lit(False))
     review = F.when(F.col("stamp") == "mixed", F.lit(review_mixed)).otherwise(F.lit(review_plain))
-    return pages.withColumn("state", F.when(applies, F.when(review, "review").otherwise("attachment")).otherwise(F.col("state")))
+    new = {"state": F.when(applies, F.when(review, "review").otherwise("attachment")).otherwise(F.col("state")), "needs_review": applies & review & ~decided}
+    if "reason" in pages.columns:
+        new["reason"] = F.when(applies, F.concat(F.lit("stamp_"), "stamp", F.when(review, "").otherwise("_following"))).otherwise(F.col("reason"))
+    return pages.withColumns(new)
+
+
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
 def effective(pages: DataFrame) -> DataFrame:
     """number and effective_state from automatic values and manual decisions."""
-    manual = F.nullif(F.regexp_replace(F.coalesce("manual_barcode", F.lit("")), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    manual = F.nullif(_stripped(F.col("manual_barcode")), F.lit(""))
     return pages.withColumns({"number": F.coalesce(manual, "barcode"), "effective_state": F.coalesce(F.nullif(F.col("decision"), F.lit("")), "state")})
 
 

@@ -44,6 +44,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly in a folder; none where there is no such folder."""
+    place, system = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(place) if s.isDirectory())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place, system = _file_system(spark, path)
     system.delete(place, True)

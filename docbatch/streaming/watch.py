@@ -5,30 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docbatch.operators.queue import ALLOWED, fingerprint, new_files
+from docbatch.sources.shared import exists
 
 OUT = "path string, poll long, size long, mtime_ns long"
 STATE = "poll long, size long, mtime_ns long, since long, known array<string>"
 FIELDS = ["poll", "size", "mtime_ns", "watching", "enqueue_ok"]
 
 
-def watch(rows: Iterable[tuple], state: tuple | None, stable: int) -> tuple[list[tuple], tuple | None]:
-    """Rows (poll, size, mtime_ns, watching, enqueue_ok) of one path by poll; what became stable, and the state after it.
+def settle(rows: Iterable[tuple], state: tuple | None, stable: int) -> tuple[list[tuple], tuple | None]:
+    """Rows (poll, at, size, mtime_ns, watching, complete) of one path by poll; what became stable as (poll, at, size, mtime_ns), and the state after it.
 
     A new signature starts the clock, and so does a file that a poll missed.  A
-    signature is given out once, when it held for `stable` polls and the file
-    isn't empty; one given out before leaves the clock alone.  Where a job can't
-    be queued the clock starts again; a poll without watching forgets the file.
-    A poll that isn't after the last one is ignored.
+    signature is given out once, when it held from one time to another `stable`
+    later and the file isn't empty; one given out before leaves the clock alone.
+    Where a file isn't complete or can't be queued the clock starts again; a poll
+    without watching forgets the file.  A poll that isn't after the last one is
+    ignored.
     """
     last, held, since, known = state or (None, None, None, [])
     out = []
-    for poll, size, mtime, watching, queued in rows:
+    for poll, at, size, mtime, watching, complete in rows:
         if last is not None and poll <= last:
             continue
         if not watching or (last is not None and poll > last + 1):
@@ -38,16 +40,22 @@ def watch(rows: Iterable[tuple], state: tuple | None, stable: int) -> tuple[list
         if not watching or name in known:
             continue
         if held != (size, mtime):
-            held, since = (size, mtime), poll
-        elif poll - since >= stable and size:
-            if queued:
-                out.append((poll, size, mtime))
+            held, since = (size, mtime), at
+        elif at - since >= stable and size:
+            if complete:
+                out.append((poll, at, size, mtime))
                 known = [*known, name]
             else:
-                since = poll
+                since = at
     return out, (last, held, since, known)
 
 
+def watch(rows: Iterable[tuple], state: tuple | None, stable: int) -> tuple[list[tuple], tuple | None]:
+    """settle with the number of the poll as the time: rows (poll, size, mtime_ns, watching, enqueue_ok), out (poll, size, mtime_ns)."""
+    out, state = settle(((poll, poll, *rest) for poll, *rest in rows), state, stable)
+    return [(poll, size, mtime) for poll, _, size, mtime in out], state
+
+
 def _rows(observations: DataFrame) -> DataFrame:
     """Observations with every field; watching and enqueue_ok are true where the columns are missing or null."""
     rows = observations.where("path is not null and size is not null and mtime_ns is not null and poll is not null")
@@ -99,17 +107,22 @@ def enqueue(files: DataFrame, queue: str) -> None:
     """Appends a queued job per file (path, size, mtime_ns) whose fingerprint no job in the Parquet folder `queue` has.
 
     Run again over the same files it adds nothing, so a batch of a stream may be
-    repeated after a failure.
+    repeated after a failure.  The queue is cut into 256 shards by fingerprint,
+    and only those of the files' own are read.  With dir_no jobs get the label of
+    their folder.
     """
     spark = files.sparkSession
-    rows = files.select("path", "size", "mtime_ns", fingerprint().alias("fingerprint")).withColumns({"status": F.lit("queued"), "created": F.current_timestamp()})
-    known = spark.read.schema("fingerprint string").parquet(queue) if _exists(spark, queue) else spark.createDataFrame([], "fingerprint string")
-    new_files(rows, known).select("fingerprint", "path", "size", "mtime_ns", "status", "created").write.mode("append").parquet(queue)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    label = [F.concat(F.lit("Tarama_"), F.col("dir_no").cast("string")).alias("label")] if "dir_no" in files.columns else []
+    rows = files.select("path", "size", "mtime_ns", *label, fingerprint().alias("fingerprint")).withColumns({"status": F.lit("queued"), "created": F.current_timestamp()})
+    rows = rows.withColumn("shard", F.substring("fingerprint", 1, 2)).persist()
+    try:
+        shards = [r["shard"] for r in rows.select("shard").distinct().collect()]  # 256 at most
+        known = spark.createDataFrame([], "fingerprint string")
+        if exists(spark, queue):
+            known = spark.read.schema("fingerprint string, shard string").parquet(queue).where(F.col("shard").isin(shards)).select("fingerprint")
+        new_files(rows, known).write.mode("append").partitionBy("shard").parquet(queue)
+    finally:
+        rows.unpersist()
 
 
 def enqueue_stream(files: DataFrame, queue: str, checkpoint: str) -> DataStreamWriter:
