@@ -35,7 +35,7 @@ _STATE = "batch long, uid long, doc_id long, digest binary, names array<long>"
 
 
 def _mixed(batch: int, keys: list[bytes], docs: list[tuple]) -> pa.Table:
-    """keys: the distinct ones, by their lid; docs: (uid, doc_id, digest, lids)."""
+    """keys: the distinct ones, by their lid; docs: (uid, doc_id, digest, lids), uid their place in the batch."""
     n, m = len(keys), len(docs)
     route = [xxhash.xxh3_64_intdigest(k) - 2**63 for k in keys] + [batch * 0x9E3779B1 % 2**61] * m
     columns = [
@@ -47,14 +47,14 @@ def _mixed(batch: int, keys: list[bytes], docs: list[tuple]) -> pa.Table:
 
 def _cut(block_bytes: int, batch_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32  # of the batch: 2^31 partitions and 2^32 batches in each fit
         for part in slices(batches, "norm", max_rows=batch_rows):
             lids: dict[bytes, int] = {}
             docs = []
             rows = zip(part.column("doc_id").to_pylist(), part.column("norm").cast(pa.large_binary()).to_pylist(), part.column("digest").to_pylist(), strict=True)
             for i, (doc_id, text, digest) in enumerate(rows):
                 own = [lids.setdefault(text[a : a + block_bytes], len(lids)) for a in range(0, max(len(text), 1), block_bytes)]
-                docs.append((number * 4096 + i, doc_id, digest, own))
+                docs.append((i, doc_id, digest, own))
             yield from _mixed(number, list(lids), docs).to_batches()
             number += 1
 
@@ -109,21 +109,21 @@ def _named(mixed: DataFrame, level: int) -> DataFrame:
 
 
 def exact_classes(docs: DataFrame, block_bytes: int = 4096, batch_rows: int = 512) -> DataFrame:
-    """Rows (uid, doc_id, text_sha256, level, name): equal texts share (level, name), others don't.
+    """Rows (batch, uid, doc_id, text_sha256, level, name): equal texts share (level, name), others don't.
 
     Texts are equal when they are after every run of ASCII white space became
-    one space; null counts as empty.  uid tells rows of one doc_id apart.  An
+    one space; null counts as empty.  batch and uid, a row's place in it, tell rows of one doc_id apart.  An
     empty table gives no rows; other columns of docs are not read.
     """
-    if not 1 <= batch_rows <= 4096:
-        raise ValueError("batch_rows must be from 1 to 4096: a document's number has 12 bits for its place in the batch")
+    if batch_rows < 1:
+        raise ValueError("batch_rows must be 1 or more")
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     state = _named(rows.mapInArrow(_cut(block_bytes, batch_rows), _MIXED), 0)
     done, level = [], 0
     while True:
         one = F.size("names") == 1
-        done.append(state.where(one).select("uid", "doc_id", F.lower(F.hex("digest")).alias("text_sha256"), F.lit(level).alias("level"), F.col("names")[0].alias("name")))
+        done.append(state.where(one).select("batch", "uid", "doc_id", F.lower(F.hex("digest")).alias("text_sha256"), F.lit(level).alias("level"), F.col("names")[0].alias("name")))
         rest = state.where(~one)
         if rest.isEmpty():
             break
@@ -163,8 +163,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 4096, batch_rows: int = 512)
     that repeat a doc_id, one).
     """
     rows = materialize(exact_classes(docs, block_bytes, batch_rows), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "batch", "uid"))
     groups = materialize(rows.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["level", "name"]).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256"
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", ((F.col("batch") == F.col("first.batch")) & (F.col("uid") == F.col("first.uid"))).alias("kept"), "text_sha256"
     )

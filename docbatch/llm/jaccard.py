@@ -14,8 +14,10 @@ pivot; members near it are linked to it, and what is then connected needs no
 further pair.  Regions with few pairs left are joined within the windows of size
 and of distance to the pivot; sketches of the sets drop pairs that can't link
 before their texts are sent.  Where many pairs are left, the regions with one
-pivot become one cell around it, a document at a boundary lying in several, and
-the cell is joined exactly, block by block of its members.
+pivot become one cell around it, a document at a boundary lying in several.  A
+cell too large for one block is cut again into the Voronoi regions of pivots of
+its own, with triangle windows at the boundaries, recursively, as long as that
+saves copies; then it is joined exactly, block by block of its members.
 
 Sets are compared by 64-bit hashes of their shingles, nodes (distinct sets) by
 128-bit hashes.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.llm.graph import components
@@ -332,69 +334,210 @@ def _sent(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, per_task: int =
     return sent.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that connect what is linked among the texts of each (cell, low, high), rows sorted by these.
+_BEYOND = 0.7
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, node, home, near): each member's region of its cell, and the others that a link partner may have as its home.
 
-    Intersections come from products of membership matrices, some columns of
-    shingles at a time; a row per member at most is given out.
+    A region is that of the nearest pivot, or (null) of what lies beyond _BEYOND
+    of all pivots; pivots lie that far apart.  By the triangle inequality a partner's home is at most two
+    radii farther than the member's nearest pivot, and within _BEYOND and a
+    radius; a partner beyond has all pivots farther than _BEYOND less a radius.
+    Rows sorted by (cell, salt, member), so the pivots' texts come before those
+    of the members.
     """
 
-    def linked(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        nodes, n = np.array(list(sets), np.int64), np.array([len(x) for x in sets.values()])
-        _, at, times = np.unique(np.concatenate(list(sets.values())), return_inverse=True, return_counts=True)
-        column = np.cumsum(times > 1) - 1  # shingles of one member alone meet nothing
-        row, at = np.repeat(np.arange(len(n)), n)[times[at] > 1], column[at[times[at] > 1]]
-        by = np.argsort(at, kind="stable")
-        row, at = row[by], at[by]
-        common = np.zeros((len(n), len(n)), np.float32)
-        for first in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-            a, b = np.searchsorted(at, [first, first + 4096])
-            part = np.zeros((len(n), 4096), np.float32)
-            part[row[a:b], at[a:b] - first] = 1
-            common += part @ part.T
-        common = common.astype(np.int64)
-        near = common * 100 >= (n[:, None] + n[None, :] - common) * PERCENT
-        np.fill_diagonal(near, True)
-        label = np.arange(len(n))
-        while True:  # the smallest label of the neighbours, until nothing changes
-            new = np.where(near, label[None, :], len(n)).min(axis=1)
-            if (new == label).all():
+    def distance(a: np.ndarray, b: np.ndarray) -> float:
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return 1 - both / (len(a) + len(b) - both)
+
+    key, given, pivots = None, {}, None
+    for b in slices(batches, "text"):
+        out = []
+        for s, node, member, *group in zip(shingle_sets(b.column("text"), SHINGLE), *(b.column(c).to_pylist() for c in ("node", "member", "cell", "salt")), strict=True):
+            if group != key:
+                key, given, pivots = group, {}, None
+            if not member:
+                given[node] = s
+                continue
+            if pivots is None:  # of pivots near each other, whose regions would hold the same members, one
+                pivots = {}
+                for p in sorted(given):
+                    if all(distance(given[p], other) > _BEYOND for other in pivots.values()):
+                        pivots[p] = given[p]
+            far = {p: distance(s, own) for p, own in pivots.items()}
+            nearest = min(far, key=lambda p: (far[p], p))
+            home = nearest if far[nearest] <= _BEYOND else None
+            near = [p for p in far if p != home and far[p] <= min(far[nearest] + 2 * _RADIUS, _BEYOND + _RADIUS) + 1e-9]
+            out.append((group[0], node, home, near + [None] * (home is not None and far[nearest] > _BEYOND - _RADIUS - 1e-9)))
+        cell, node, home, near = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(node, pa.int64()), pa.array(home, pa.int64()), pa.array(near, pa.list_(pa.int64()))], names=["cell", "node", "home", "near"])
+
+
+_TILE = 256
+
+
+def _connected(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """For each set the place of the first one that links connect it with; with two sides, only links across count.
+
+    The sets, by size, meet in tiles; intersections come from products of
+    membership matrices.  Tiles whose sizes lie too far apart, or that are
+    connected already, are passed over.
+    """
+    n = np.array([len(x) for x in sets])
+    by = np.argsort(n, kind="stable")
+    names, flat = np.unique(np.concatenate([sets[i] for i in by]), return_inverse=True)
+    n, side, starts = n[by], side[by], np.concatenate([[0], np.cumsum(n[by])])
+    one_side, root = (side == side[0]).all(), np.arange(len(n))
+    place = np.zeros(len(names), np.int64)
+
+    def rows(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(b - a), n[a:b]), flat[starts[a] : starts[b]]
+
+    for a in range(0, len(n), _TILE):
+        a_end = min(a + _TILE, len(n))
+        own, shingle = rows(a, a_end)
+        for b in range(a, len(n), _TILE):
+            b_end = min(b + _TILE, len(n))
+            if n[b] * PERCENT > n[a_end - 1] * 100:
                 break
-            label = new
-        own = label != np.arange(len(n))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
+            both = np.concatenate([root[a:a_end], root[b:b_end]])
+            if (both == both[0]).all():
+                continue
+            other, shingle_b = rows(b, b_end)
+            seen = np.zeros(len(names), bool)
+            seen[shingle] = True
+            meets = seen[shingle_b]  # what no member of the first tile has meets nothing
+            used = np.unique(shingle_b[meets])
+            place[used] = np.arange(1, len(used) + 1)
+            common = np.zeros((a_end - a, b_end - b), np.float32)
+            at_a, at_b = place[shingle] - 1, place[shingle_b] - 1
+            by_a, by_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+            for first in range(0, len(used), 4096):
+                x = by_a[slice(*np.searchsorted(at_a[by_a], [first, first + 4096]))]
+                y = by_b[slice(*np.searchsorted(at_b[by_b], [first, first + 4096]))]
+                left, right = np.zeros((a_end - a, 4096), np.float32), np.zeros((b_end - b, 4096), np.float32)
+                left[own[x], at_a[x] - first] = 1
+                right[other[y], at_b[y] - first] = 1
+                common += left @ right.T
+            place[used] = 0
+            common = common.astype(np.int64)
+            near = common * 100 >= (n[a:a_end, None] + n[None, b:b_end] - common) * PERCENT
+            near &= root[a:a_end, None] != root[None, b:b_end]
+            if not one_side:
+                near &= side[a:a_end, None] != side[None, b:b_end]
+            x, y = np.nonzero(near)
+            if not len(x):
+                continue
+            parent: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while parent.get(v, v) != v:
+                    v = parent[v]
+                return v
+
+            for p, q in np.unique(np.stack([root[a + x], root[b + y]], axis=1), axis=0).tolist():
+                p, q = find(p), find(q)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+            new = np.arange(len(n))
+            for v in parent:
+                new[v] = find(v)
+            root = new[root]
+    out = np.empty(len(n), np.int64)
+    out[by] = by[root]
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect what is linked among the texts of each (cell, low, high), rows sorted by these; a row per member at most."""
+
+    def linked(held: dict[int, tuple[np.ndarray, bool]]) -> pa.RecordBatch:
+        nodes = np.array(list(held), np.int64)
+        root = _connected([s for s, _ in held.values()], np.array([side for _, side in held.values()]))
+        own = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
 
     key, held = None, {}
     for b in slices(batches, "text"):
         groups = zip(*(b.column(c).to_pylist() for c in ("cell", "low", "high")), strict=True)
-        for s, node, group in zip(shingle_sets(b.column("text"), SHINGLE), b.column("node").to_pylist(), groups, strict=True):
+        for s, node, block, group in zip(shingle_sets(b.column("text"), SHINGLE), b.column("node").to_pylist(), b.column("block").to_pylist(), groups, strict=True):
             if group != key and held:
                 yield linked(held)
                 held = {}
             key = group
-            held[node] = s
+            held[node] = s, block != group[1]
     if held:
         yield linked(held)
 
 
-def _cell_links(texts: DataFrame, nodes: DataFrame, cells: DataFrame, block: int) -> DataFrame:
-    """Links (a, b) that connect what is linked in each cell (cell, node): blocks of its members meet in pairs."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    members = members.select("cell", "node", "block", other).select("cell", "node", F.struct(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).alias("at"))
-    wanted = materialize(members.groupBy("node").agg(F.collect_list(F.struct("cell", "at")).alias("at")).join(nodes.select("node", "doc_id"), "node"), "cell-members")
-    sent = texts.join(wanted, "doc_id").select("node", "text", F.explode("at").alias("at")).select("node", "at.cell", "at.at.*", "text")
+_PIVOTS, _PER_TASK = 8, 2000  # pivots of a cell, members measured by one task
+
+
+def _cut(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """members (cell, node, n, doc_id) to rows (cell, region, node, n, doc_id): every cell in Voronoi regions of pivots of its own.
+
+    Each member's text is sent once, beside the pivots'.
+    """
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cell", "node"), "node"))
+    pivots = members.select("cell", "node", "doc_id").withColumn("_k", rank).where(F.col("_k") <= _PIVOTS).drop("_k")
+    salts = members.groupBy("cell").agg(F.ceil(F.count("*") / _PER_TASK).alias("salts"))
+    beside = pivots.join(salts, "cell").select("doc_id", "node", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    all_ = members.join(salts, "cell").select("doc_id", "node", "cell", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.lit(1).alias("member"))
+    wanted = materialize(all_.unionByName(beside).groupBy("doc_id", "node").agg(F.collect_list(F.struct("cell", "salt", "member")).alias("at")), "pivoted")
+    sent = texts.join(wanted, "doc_id").select("node", "text", F.explode("at").alias("at")).select("node", "at.*", "text")
+    sent = sent.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "member")
+    near = materialize(sent.mapInArrow(frugal(_nearest), "cell long, node long, home long, near array<long>"), "nearest")
+    regions = near.select("cell", "node", F.explode(F.concat(F.array("home"), "near")).alias("_p")).select("cell", "node", F.xxhash64("cell", "_p").alias("region"))
+    return materialize(regions.join(members, ["cell", "node"]), "cut")
+
+
+def _cell_links(texts: DataFrame, nodes: DataFrame, cells: DataFrame, leaf: int, leaf_shingles: int = 1 << 21) -> DataFrame:
+    """Links (a, b) that connect what is linked in each cell (cell, node).
+
+    A cell of more members, or shingles, than one block holds is cut into Voronoi
+    regions around pivots of its own, documents at boundaries going to several
+    regions, and so on recursively, as long as cutting saves copies of texts.
+    Where it doesn't, all members being about equally far from each other, the
+    cell's blocks meet in pairs, a text in as many copies as there are blocks.
+    """
+    blocks = lambda count, shingles: F.greatest(F.ceil(count / leaf), F.ceil(shingles / leaf_shingles))
+    own = nodes.select("node", "n", "doc_id")
+    left = materialize(cells.join(own, "node"), "cell-members")
+    ready: list[DataFrame] = []
+    while True:
+        sizes = left.groupBy("cell").agg(F.count("*").alias("_m"), blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        sizes = materialize(sizes, "cell-sizes")
+        ready.append(left.join(sizes.where("blocks = 1"), "cell").select("cell", "node", "doc_id", "blocks"))
+        large = sizes.where("blocks > 1")
+        if large.isEmpty():
+            break
+        members = materialize(left.join(large.select("cell"), "cell", "left_semi"), "large-cells")
+        cut = _cut(texts, members)
+        after = cut.groupBy("cell", "region").agg((F.count("*") * blocks(F.count("*"), F.sum("n"))).alias("_copies")).groupBy("cell").agg(F.sum("_copies").alias("_copies"))
+        # measuring sends one copy more
+        worth = materialize(after.join(large, "cell").where(F.col("_copies") + F.col("_m") <= 0.7 * F.col("_m") * F.col("blocks")).select("cell"), "worth")
+        ready.append(members.join(large.join(worth, "cell", "left_anti"), "cell").select("cell", "node", "doc_id", "blocks"))
+        left = materialize(cut.join(worth, "cell", "left_semi").select(F.col("region").alias("cell"), "node", "n", "doc_id"), "regions-cut")
+    leaves = ready[0]
+    for more in ready[1:]:
+        leaves = leaves.unionByName(more)
+    dealt = leaves.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "doc_id", F.struct("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block").alias("at"))
+    wanted = materialize(dealt.groupBy("node", "doc_id").agg(F.collect_list("at").alias("at")), "leaves")
+    sent = texts.join(wanted, "doc_id").select("node", "text", F.explode("at").alias("at")).select("node", "at.*", "text")
     sent = sent.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
     return materialize(sent.mapInArrow(frugal(_joined), "a long, b long").distinct(), "cell-links")
 
 
-def links(texts: DataFrame, few: int = 64, block: int = 256, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, few: int = 64, block: int = 256, leaf: int = 4096, per_salt: int = 20_000, bucket_rows: int = 250_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """texts: distinct doc_id and text.  Document rows (doc_id, n, node) and (node, comp) of linked nodes.
 
     Regions with more pairs left than `few` members have are joined by the cells
-    of their pivots; a task holds 2 * `block` sets of a cell.  `bits` is the width
-    of the numbers of sets.
+    of their pivots, see _cell_links; a task holds 2 * `leaf` sets of a cell.
+    `block` members of a region are paired at once, `bits` is the width of the
+    numbers of sets.
     """
     stats = materialize(texts.mapInArrow(lambda batches: _stats(batches, bits), _STATS), "stats")
     docs = stats.where("node is not null").select("doc_id", "n", "node", "check", "sketch")
@@ -452,7 +595,7 @@ def links(texts: DataFrame, few: int = 64, block: int = 256, per_salt: int = 20_
     dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
     joined = materialize(dealt.mapInArrow(lambda batches: _within(batches, few * few / 2), "region long, node long, pivot long"), "within")
     large = materialize(left.join(joined.where("node is null").select("region").distinct(), "region").select(F.col("pivot").alias("cell"), "node").distinct(), "cells")
-    grow(joined.where("node is not null").select("node", "pivot").distinct(), None if large.isEmpty() else _cell_links(texts, nodes, large, block))
+    grow(joined.where("node is not null").select("node", "pivot").distinct(), None if large.isEmpty() else _cell_links(texts, nodes, large, leaf))
     return docs.select("doc_id", "n", "node"), comps
 
 

@@ -171,7 +171,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_row
         z = F.abs(F.col(c) / p - (F.col("n") - F.col(c)) / n) / F.sqrt(rate * (F.lit(1.0) - rate) * (1 / p + 1 / n) + 1e-12)
         best = counts.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(max_features).collect()
         used.append([chain.ids.setdefault(r["feature"], len(chain.ids)) for r in best])
-    table = sample.mapInArrow(_index(chain.ids, categories), "doc_id long, features array<int>, values array<float>, " + ", ".join(f"{c} int" for c in categories)).orderBy("doc_id").toArrow().combine_chunks()
+    table = sample.mapInArrow(_index(chain.ids, categories), "doc_id long, features array<int>, values array<float>, " + ", ".join(f"{c} int" for c in categories)).orderBy("doc_id", F.xxhash64("features", "values"), *categories).toArrow().combine_chunks()  # also where a doc_id is there several times, folds don't depend on the order of rows
     rows = np.arange(table.num_rows)
     fold = rows % folds
     earlier = np.zeros((len(rows), 0))

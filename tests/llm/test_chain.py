@@ -29,3 +29,15 @@ def test_scores_are_the_sums_of_the_models(spark):
             p = min(max(p, 1e-4), 1 - 1e-4)  # probabilities end there
             assert abs(got[i][k] - p) < 1e-9, (i, k, text, got[i], p)
             earlier.append(math.log(p / (1 - p)))
+
+
+def test_repeated_documents_give_one_fit(spark):
+    """A doc_id with several texts and labels: the folds go by what the rows hold, not by their order."""
+    rnd = random.Random(4)
+    words = ["good", "awful", "hateful", "day", "night"]
+    docs = [(i % 40, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 20)))) for i in range(160)]
+    labels = [(i, i % 2, i % 3 == 0) for i in range(40)] + [(i, 1, True) for i in range(0, 40, 5)]
+    make = lambda rows, parts: spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    marks = lambda rows: spark.createDataFrame([(i, a, int(b)) for i, a, b in rows], "doc_id long, low_quality int, toxic int")
+    one, two = fit_chain(make(docs, 2), marks(labels), ["low_quality", "toxic"]), fit_chain(make(docs[::-1], 5), marks(labels[::-1]), ["low_quality", "toxic"])
+    assert {f: [m.weights[i] for m in one.models] for f, i in one.ids.items()} == {f: [m.weights[i] for m in two.models] for f, i in two.ids.items()} and [m.bias for m in one.models] == [m.bias for m in two.models]

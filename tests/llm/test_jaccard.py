@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docbatch.llm.graph import components as link_components
 from docbatch.llm.jaccard import links, near_duplicates
@@ -29,10 +30,10 @@ def texts(seed, n=260):
     return out + [None, "", " \n", "one", "ONE ", "one two three four", "one two three four five", "x " * 30000]
 
 
-@pytest.mark.parametrize("seed,few,per_salt", [(1, 48, 20_000), (2, 2, 20_000), (3, 2, 10)])
-def test_links_equal_all_pairs(spark, seed, few, per_salt):
+@pytest.mark.parametrize("seed,few,per_salt,leaf", [(1, 48, 20_000, 2048), (2, 2, 20_000, 2048), (3, 2, 10, 20), (4, 2, 20_000, 5)])
+def test_links_equal_all_pairs(spark, seed, few, per_salt, leaf):
     data = dict(enumerate(texts(seed)))
-    own, comps = links(spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(3), few=few, per_salt=per_salt)
+    own, comps = links(spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(3), few=few, per_salt=per_salt, leaf=leaf)
     comp = {r["node"]: r["comp"] for r in rows(comps)}
     got: dict = {}
     for r in rows(own):
@@ -42,6 +43,51 @@ def test_links_equal_all_pairs(spark, seed, few, per_salt):
     assert {d: smallest[c] for d, c in got.items()} == components(data)
 
 
+def variants(n, seed, words=60, change=0.12, clusters=1):
+    """Texts around one text (or a few): about half the shingles in common with it, fewer with each other, some linked."""
+    rnd = random.Random(seed)
+    base = [[f"c{k}w{i}" for i in range(words)] for k in range(clusters)]
+    out = []
+    for i in range(n):
+        own = list(rnd.choice(out)) if out and rnd.random() < 0.3 else list(base[i % clusters])
+        for at in range(words):
+            if rnd.random() < (0.02 if own not in base else change):
+                own[at] = f"v{rnd.randrange(10**6)}"
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("clusters,leaf", [(1, 64), (5, 64), (5, 2048)])
+def test_cells_of_many_variants(spark, monkeypatch, clusters, leaf):
+    """All links of a cell; a text goes out as often as there are blocks in one cloud, and less often where pivots can cut the cell."""
+    from docbatch.llm import jaccard
+
+    data = dict(enumerate(variants(700, 5, change=0.12 if clusters == 1 else 0.03, clusters=clusters)))
+    kept, copies = jaccard.materialize, {}
+
+    def recorded(df, name, *rest):
+        out = kept(df, name, *rest)
+        if name in ("leaves", "pivoted"):
+            copies.setdefault(name, []).append(out.selectExpr("sum(size(at))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", recorded)
+    docs = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(3)
+    nodes = docs.mapInArrow(jaccard._stats, jaccard._STATS).where("node is not null").select("node", "n", "doc_id")
+    nodes = kept(nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "nodes")
+    cells = nodes.selectExpr("1L as cell", "node")
+    comps = link_components(jaccard._cell_links(docs, nodes, cells, leaf))
+    label = {r["node"]: r["comp"] for r in rows(comps)}
+    of = {r["doc_id"]: label.get(r["node"], r["node"]) for r in rows(nodes)}
+    smallest = {c: min(d for d in of if of[d] == c) for c in set(of.values())}
+    want = components(data)
+    assert {d: smallest[c] for d, c in of.items()} == {d: want[d] for d in of} and 50 < len(set(want.values())) < 690
+    n = len(of)
+    blocks = -(-n // leaf)
+    assert copies["leaves"] == [n] if leaf >= n else copies["leaves"][0] <= (1 if clusters == 1 else 0.7) * blocks * n, copies
+    assert sum(copies.get("pivoted", [])) <= 2 * n * (1 if clusters == 1 else 3), copies
+
+
 def test_sets_that_share_a_number(spark):
     """Numbers of 4 bits clash nearly always; the rest of the hash tells the sets apart."""
     data = dict(enumerate(texts(11, 60)))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -180,3 +181,24 @@ def test_token_output(spark, docs):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, at, len(ids), crc(ids)) and np.frombuffer(r["ids"], "<u4").tolist() == ids
         at += len(ids)
     assert read_tokens(spark, write_tokens(empty(spark), BYTES)).count() == 0
+
+
+@pytest.mark.parametrize("partition", [0, 1 << 20, (1 << 31) - 1])
+def test_batch_numbers_of_late_partitions(monkeypatch, partition):
+    """Tasks of huge tables: no number leaves 64 bits, and none of another task is met."""
+    from docbatch.llm import exact_dedup as module
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return partition
+
+    monkeypatch.setattr(module, "TaskContext", Context)
+    table = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([f"text {i}" for i in range(10)]), pa.array([b"d"] * 10)], names=["doc_id", "norm", "digest"])
+    out = pa.Table.from_batches(list(module._cut(4096, 4)(iter([table]))))
+    assert pc.unique(out.column("batch")).to_pylist() == [(partition << 32) + k for k in range(3)]
+    assert [r for r in out.column("uid").to_pylist() if r is not None] == [0, 1, 2, 3, 0, 1, 2, 3, 0, 1]
