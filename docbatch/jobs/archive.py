@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docbatch.functions.codes import LETTERS, START, STOP, WIDTHS, code39_label, code128_check, code128_label, code128_text
 from docbatch.operators import archive, labels, queue
 from docbatch.sources import fixtures
+from docbatch.sources.shared import dealt
 from docbatch.streaming.watch import stable_files
 
 
@@ -42,7 +43,8 @@ def claimed_names(spark, sf_dir):
 
 
 def committed_jobs(spark, sf_dir):
-    line = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("name")).agg(F.max("l_quantity").cast("long").alias("size"))
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("name"), "l_quantity")
+    line = dealt(rows, "job").groupBy("job", "name").agg(F.max("l_quantity").cast("long").alias("size"))
     return archive.committed(line, line.where("size % 17 <> 0"))
 
 

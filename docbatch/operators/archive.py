@@ -111,9 +111,16 @@ def claim_names(items: DataFrame, taken: DataFrame, order: str) -> DataFrame:
 
 def committed(markers: DataFrame, listing: DataFrame) -> DataFrame:
     """markers (job, name, size), listing (job, name, size): per job whether every listed file is there in its size under a bare name."""
-    there = listing.select("job", "name", F.col("size").alias("_size"))
-    right = F.col("size").eqNullSafe(F.col("_size")) & F.col("size").isNotNull() & ~F.col("name").rlike(r"[/\\]")
-    return markers.join(there, ["job", "name"], "left").groupBy("job").agg(F.count("*").alias("files"), F.coalesce(F.bool_and(right), F.lit(False)).alias("committed"))
+    # both are counted by name in one aggregate, without a join: a name is right when all its sizes are one; a null job or name is nowhere
+    side = lambda rows, listed: rows.select("job", "name", "size", F.lit(listed).alias("_listed"))
+    both = side(markers, False).unionByName(side(listing, True)).groupBy("job", "name").agg(
+        F.count_if(~F.col("_listed")).alias("_marked"), F.count_if("_listed").alias("_there"), F.count("size").alias("_sizes"), F.min("size").alias("_least"), F.max("size").alias("_most"),
+    ).where("_marked > 0")
+    known = F.col("job").isNotNull() & F.col("name").isNotNull()
+    same = (F.col("_there") > 0) & (F.col("_sizes") == F.col("_marked") + F.col("_there")) & (F.col("_least") == F.col("_most"))
+    right = F.coalesce(known & same & ~F.col("name").rlike(r"[/\\]"), F.lit(False))
+    files = F.col("_marked") * F.when(known, F.greatest("_there", F.lit(1))).otherwise(F.lit(1))
+    return both.groupBy("job").agg(F.sum(files).alias("files"), F.bool_and(right).alias("committed"))
 
 
 def recover(jobs: DataFrame, done: DataFrame) -> DataFrame:

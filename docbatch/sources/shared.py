@@ -34,6 +34,12 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str, rows_per_task: int = 100_000) -> DataFrame:
+    """rows dealt out by keys to as many tasks as there are rows for: what a task holds doesn't grow with the table."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_task))
+    return rows.repartition(n, *keys)
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
