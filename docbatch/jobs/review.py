@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docbatch.operators import evidence, grouping, review, saving, verdict
 from docbatch.sources import fixtures
+from docbatch.sources.shared import dealt
 
 
 
@@ -58,7 +59,9 @@ def stamp_blobs(spark, sf_dir):
 
 def stamp_readings(spark, sf_dir):
     """Best ring of each candidate over three inks, its kind, and whether it is a stamp."""
-    line = _line(spark, sf_dir).select("row", "l_partkey", "l_suppkey", "q", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("mask")).distinct()
+    # dealt by row before there are three masks to each; repeated rows go there too
+    line = dealt(_line(spark, sf_dir).select("row", "l_partkey", "l_suppkey", "q"), "row").distinct()
+    line = line.withColumn("mask", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     n = F.col("l_partkey") + F.col("mask") * 37
     share = lambda c: (c % 101) / 100
     rings = line.select(

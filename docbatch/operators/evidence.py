@@ -100,10 +100,12 @@ def best_ring(readings: DataFrame, keys: list[str], s: Column, mm: Column) -> Da
     first shows some ring that isn't plausible yet; the earlier mask wins ties.
     """
     rows = readings.withColumn("plausible", ring_plausible(s, mm)).withColumn("score", F.col("prominence") + F.col("cover") * 0.5)
-    first = F.max(F.when(F.col("mask") == 0, (F.col("cover") < 0.3) | F.col("plausible"))).over(Window.partitionBy(*keys))
+    order = Window.partitionBy(*keys).orderBy(F.desc("plausible"), F.desc("score"), "mask")
+    # over the whole candidate, in the order that row_number needs too: one sort serves both
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.max(F.when(F.col("mask") == 0, (F.col("cover") < 0.3) | F.col("plausible"))).over(whole)
     rows = rows.withColumn("_ends", F.coalesce(first, F.lit(False)))
     rows = rows.where((F.col("mask") == 0) | (~F.col("_ends") & (F.col("present") >= F.lit(2 * math.pi * 0.4) * F.col("r")))).drop("_ends")
-    order = Window.partitionBy(*keys).orderBy(F.desc("plausible"), F.desc("score"), "mask")
     return rows.withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_at")
 
 
