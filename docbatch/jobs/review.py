@@ -135,14 +135,14 @@ def imported_pages(spark, sf_dir):
 
 
 def _analysed(spark, sf_dir):
-    return verdict.stamp_rule(verdict.page_verdict(verdict.page_evidence(fixtures.detections(spark, sf_dir).repartition("source"))))
+    return verdict.stamp_rule(verdict.page_verdict(verdict.page_evidence(dealt(fixtures.detections(spark, sf_dir), "source"))))
 
 
 def stopped_pages(spark, sf_dir):
     """Pages per workspace of 20 sources that its first bad page leaves pending."""
     order = F.substring("source", 6, 20).cast("long")
     pages = _analysed(spark, sf_dir).withColumns({"workspace": F.floor(order / 20), "source_ord": order})
-    return review.first_page_stop(pages).groupBy("workspace").agg(F.count("*").alias("pages"), F.count_if(F.col("state") == "pending").alias("pending"))
+    return review.stop_counts(pages)
 
 
 def sorted_pages(spark, sf_dir):

@@ -77,6 +77,23 @@ def first_page_stop(pages: DataFrame) -> DataFrame:
     return pages.join(stop, "workspace").withColumn("state", F.when(at > F.col("_stop"), "pending").otherwise(F.col("state"))).drop("_stop")
 
 
+def stop_counts(pages: DataFrame) -> DataFrame:
+    """Per workspace its pages and how many of them are pending after first_page_stop: workspace, pages, pending.
+
+    Each place in the order of sources gives its counts and its own first error,
+    so that pages meet no other ones of the workspace; what moves on is a row per
+    place.
+    """
+    page = F.struct("idx", (F.col("state") == "pending").alias("pending"))
+    each = pages.where("workspace IS NOT NULL").groupBy("workspace", "source_ord").agg(F.count("*").alias("_n"), F.count_if(F.col("state") == "pending").alias("_pending"), F.min(F.when(F.col("first_page_error"), F.struct("idx"))).alias("_error"), F.collect_list(page).alias("_pages"))
+    after = F.when(F.col("_error").isNotNull(), F.size(F.filter("_pages", lambda p: p["pending"] | (F.struct(p["idx"].alias("idx")) > F.col("_error"))))).cast("long")
+    each = each.select("workspace", "source_ord", "_n", "_pending", F.col("_error").isNotNull().alias("_stops"), after.alias("_after"))
+    whole = Window.partitionBy("workspace").orderBy("source_ord").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("_over", F.coalesce(F.bool_or("_stops").over(whole), F.lit(False)))
+    pending = F.when(F.col("_over"), F.col("_n")).otherwise(F.coalesce("_after", "_pending"))
+    return each.groupBy("workspace").agg(F.sum("_n").alias("pages"), F.sum(pending).alias("pending"))
+
+
 def sort_pages(pages: DataFrame, by: str = "state", descending: bool = False) -> DataFrame:
     """pages (workspace, id, source, idx, effective_state, number) with place: their order in the list; ties stay by id, whichever way."""
     from docbatch.functions.text import natural_key
