@@ -6,6 +6,7 @@ import ctypes
 import functools
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,7 @@ def frugal(run: Callable) -> Callable:
             yield from run(batches, *rest, **named)
         finally:
             for known in _KNOWN.values():
-                if known.n > _KEPT:
-                    known.clear()
+                known.keep(_KEPT)
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:
@@ -154,9 +154,17 @@ class WordTokenizer:
     def clear(self) -> None:
         self.places: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
+        self.ends = np.zeros(1 << 14, np.int64)  # in bytes
         self.used = self.n = 0
 
+    def keep(self, most: int) -> None:
+        """Forget all but the pieces learnt first, among which are the frequent ones."""
+        if self.n > most:
+            self.places = dict(islice(self.places.items(), most))
+            self.ends = self.ends[: most + 1].copy()
+            self.n, self.used = most, int(self.ends[most]) // 4
+            self.flat = self.flat[: self.used + 1].copy()
+
     def _letters(self, piece: str) -> str | None:
         """The model's form of a piece that is one word of letters."""
         if self.spaced:
@@ -170,27 +178,31 @@ class WordTokenizer:
         return piece.encode().decode("latin-1").translate(self._BYTES)
 
     def _learn(self, words: list[str]) -> None:
-        rest, ids = [], {}
+        for at in range(0, len(words), 1 << 14):
+            self._learn_some(words[at : at + (1 << 14)])
+
+    def _learn_some(self, words: list[str]) -> None:
+        tokenize, rest, known, ids = self.model.tokenize, [], [], []
         for w in words:
             form = self._letters(w)
             if form is None:
                 rest.append(w)
             else:
-                ids[w] = [t.id for t in self.model.tokenize(form)]
+                known.append(w)
+                ids.append([t.id for t in tokenize(form)])
         for at in range(0, len(rest), 2048):
-            part = rest[at : at + 2048]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[w] = e.ids
-        for w, own in ids.items():
-            if self.n + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            while self.used + len(own) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(own)] = own
-            self.used += len(own)
-            self.n += 1
-            self.ends[self.n] = self.used
-            self.places[w] = self.n - 1
+            ids += [e.ids for e in self.tok.encode_batch_fast(rest[at : at + 2048], add_special_tokens=False)]
+        known += rest
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = int(sizes.sum())
+        while self.n + len(known) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while self.used + new > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + new] = np.fromiter(chain.from_iterable(ids), np.uint32, new)
+        self.ends[self.n + 1 : self.n + 1 + len(known)] = 4 * (self.used + np.cumsum(sizes))
+        self.places.update(zip(known, range(self.n, self.n + len(known)), strict=True))
+        self.used, self.n = self.used + new, self.n + len(known)
 
     def _cut(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         column = filled(column)
@@ -245,12 +257,18 @@ class WordTokenizer:
         coded = words.dictionary_encode()
         own = coded.dictionary.to_pylist()
         if self.n + len(own) > self.max_words or self.used > 8 * self.max_words:
-            self.clear()
+            self.keep(self.max_words // 4)
+            if self.used > 4 * self.max_words:
+                self.clear()
         self._learn([w for w in own if w not in self.places])
-        place = np.fromiter((self.places[w] for w in own), np.int64, len(own))[coded.indices.to_numpy()] if own else np.zeros(0, np.int64)
-        starts, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
-        into = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(into[-1]) + np.repeat(starts - into[:-1], sizes)]
+        if not own:
+            return np.zeros(0, np.uint32), offsets
+        place = np.fromiter(map(self.places.__getitem__, own), np.int32, len(own))[coded.indices.to_numpy()]
+        # the pieces' ids as binary values, which Arrow gathers with one copy each
+        pieces = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.ends), pa.py_buffer(self.flat)])
+        taken = pieces.take(pa.array(place))
+        into = np.frombuffer(taken.buffers()[1], np.int64, len(place) + 1) // 4
+        ids = np.frombuffer(taken.buffers()[2], np.uint32, into[-1]) if into[-1] else np.zeros(0, np.uint32)
         return ids, into[offsets]
 
 

@@ -198,3 +198,19 @@ def test_toxicity_edges(spark):
     assert len(out) == 7 and set(out[0]) == {"doc_id", "text", "p_low_quality", "p_toxic", "toxic"}
     assert all(r["toxic"] == ("idiot" in (r["text"] or "")) for r in out)
     assert not any(r["toxic"] for r in rows(toxicity(docs, labels.limit(0)))) and toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_frequent_pieces_stay_known():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from docbatch.llm.textio import WordTokenizer
+
+    tok = WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = pa.array(["often seen words " * 3 + str(i) for i in range(50)])
+    ids, offsets = tok.encode(texts)
+    tok.keep(3)
+    assert tok.n == len(tok.places) == 3 and list(tok.places)[:2] == ["often", " seen"]
+    again = tok.encode(texts)
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == offsets.tolist()
+    assert ids[: offsets[1]].tolist() == tok.tok.encode(texts[0].as_py(), add_special_tokens=False).ids
