@@ -69,7 +69,7 @@ def _pack_pieces(path: str, spaced: bool, end_id: int, capacity: int, keep_ids:
             held, bins = [], bins + len(fill)
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECES.split(", ")])
 
-        for batch in slices(batches, "text", 12 << 20, 16_384):
+        for batch in slices(batches, "text", 4 << 20, 16_384):
             ids, offsets = tokenizer(path, spaced).encode(batch.column("text"))
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
