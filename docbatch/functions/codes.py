@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Start symbols of the code sets, switches, shift and the symbol without text.
 START = {"A": 103, "B": 104, "C": 105}
@@ -32,24 +36,198 @@ LETTERS = {
 }
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once, not once per place in use."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+_SYMBOLS = np.array([[int(c) for c in w] for w in WIDTHS], float)
+_STOP = np.array([int(c) for c in STOP], float)
+_BITS = 1 << np.arange(9)
+_LETTER = np.zeros(512, np.uint8)
+for _letter, _shape in LETTERS.items():
+    _LETTER[sum(1 << i for i, c in enumerate(_shape) if c == "w")] = ord(_letter)
+STAR = ord("*")
+_TILE = 1024  # windows that are compared at once: their differences stay in a core's cache
 
 
-def _total(widths: Column) -> Column:
-    return F.aggregate(widths, F.lit(0.0), lambda a, w: a + w)
+def nearest(windows: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol, from first on, nearest to each window of six widths, and its mean squared difference in modules; of equally near ones the first."""
+    table = np.ascontiguousarray(_SYMBOLS[first:].T)
+    symbol, error = np.empty(len(windows), np.int32), np.empty(len(windows))
+    for at in range(0, len(windows), _TILE):
+        own = windows[at : at + _TILE]
+        modules = own * 11 / own.sum(axis=1, keepdims=True)
+        off = (modules[:, :1] - table[0]) ** 2
+        for k in range(1, 6):
+            d = modules[:, k : k + 1] - table[k]
+            d *= d
+            off += d
+        best = off.argmin(axis=1)
+        symbol[at : at + _TILE], error[at : at + _TILE] = best + first, off[np.arange(len(own)), best] / 6
+    return symbol, error
 
 
-def _modules(widths: Column, size: int) -> Column:
-    """Widths scaled so that they come to size modules."""
-    return _bound(_total(widths), lambda total: F.transform(widths, lambda w: w * size / total))
+def stop_error(windows: np.ndarray) -> np.ndarray:
+    """Mean squared difference of seven widths each from the stop symbol, in modules."""
+    return ((windows * 13 / np.maximum(windows.sum(axis=1, keepdims=True), 1e-300) - _STOP) ** 2).mean(axis=1)
 
 
-def _error(modules: Column, symbol: Column, count: int) -> Column:
-    """Mean squared difference from a symbol's modules."""
-    off = [F.get(modules, F.lit(i)) - F.get(symbol, F.lit(i)) for i in range(count)]
-    return sum((d * d for d in off[1:]), off[0] * off[0]) / count
+def letters(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code 39 letter of each window of nine widths as a code point, 0 where there is none, its narrow width, and how far the worst width is off, in narrow widths."""
+    sizes = np.sort(windows, axis=1)
+    narrow, wide = sizes[:, :6].mean(axis=1), sizes[:, 6:].mean(axis=1)
+    is_wide = windows > ((narrow + wide) / 2)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = wide / narrow
+        off = np.abs(windows - np.where(is_wide, wide[:, None], narrow[:, None])).max(axis=1) / narrow
+    good = (ratio >= 1.45) & (ratio <= 3.5) & (off <= 0.65)
+    return np.where(good, _LETTER[is_wide @ _BITS], 0).astype(np.uint8), narrow, off
+
+
+def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings of so many of the ASCII bytes each."""
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data, np.uint8)))
+
+
+def code128_texts(symbols: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Texts of labels that are rows of symbols, so many of each, start symbol to checksum; null where checksum or meaning is wrong.
+
+    All labels move on together, a symbol a step; the rules are those of code128_text.
+    """
+    n, width = symbols.shape
+    own = np.where(np.arange(width) < counts[:, None], symbols, 0).astype(np.int64)
+    check = own[np.arange(n), counts - 1]
+    weights = np.maximum(np.arange(width), 1)
+    ok = ((own @ weights - check * weights[counts - 1]) % 103 == check) & (own[:, 0] >= START["A"])
+    a, b, c = range(3)
+    mode, shift, size = own[:, 0] - START["A"], np.full(n, -1), np.zeros(n, np.int64)
+    out = np.zeros((n, 2 * width), np.uint8)
+    for k in range(1, width):
+        at = np.flatnonzero(ok & (k < counts - 1))
+        if not len(at):
+            break
+        v, old = own[at, k], mode[at]
+        now = np.where(shift[at] >= 0, shift[at], old)
+        pair = (now == c) & (v <= 99)
+        single = (now != c) & (v <= 95) & ((now == b) | (v < 64))
+        other = ~pair & ~single & ~((now == a) & (v >= 64) & (v <= 95))
+        turns = [other & (v == TO_C), other & (v == TO_B) & (old != b), other & (v == TO_A) & (old != a)]
+        turned = other & (v == SHIFT) & (old != c)
+        ok[at] = pair | single | turns[0] | turns[1] | turns[2] | turned | (other & (v == FNC1))
+        mode[at] = np.select(turns, [c, b, a], old)
+        shift[at] = np.where(turned, b - old, -1)  # a and b are 0 and 1
+        put = at[pair | single]
+        out[put, size[put]] = np.where(pair, v // 10 + ord("0"), v + 32)[pair | single]
+        out[at[pair], size[at[pair]] + 1] = v[pair] % 10 + ord("0")
+        size[at] += np.where(pair, 2, single)
+    inked = (out != ord(" ")) & (np.arange(2 * width) < size[:, None])
+    ok &= inked.any(axis=1)
+    begin, end = inked.argmax(axis=1), 2 * width - inked[:, ::-1].argmax(axis=1)
+    sizes = np.where(ok, end - begin, 0)
+    text = strings(out[ok[:, None] & (np.arange(2 * width) >= begin[:, None]) & (np.arange(2 * width) < end[:, None])], sizes)
+    return pc.if_else(pa.array(ok), text, pa.scalar(None, pa.string()))
+
+
+def _lists(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Sizes, -1 where null, and elements."""
+    return pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists)
+
+
+def _widths(symbols: pa.Array) -> tuple[np.ndarray, Callable[[np.ndarray, int], np.ndarray]]:
+    """Sizes of symbols, and what gives the widths of some that are of one size; missing widths are NaN."""
+    sizes, flat = _lists(symbols)
+    widths = pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False)
+    counts = np.maximum(sizes, 0)
+    begin = np.cumsum(counts) - counts
+    return sizes, lambda at, size: widths[begin[at][:, None] + np.arange(size)]
+
+
+def _symbols(labels: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of labels: counts of symbols; of symbols: their label, and whether they are its first and last; the symbols."""
+    counts, flat = _lists(labels)
+    counts = np.maximum(counts, 0)
+    ends = np.cumsum(counts)
+    place = np.arange(len(flat))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return counts, owner, place == (ends - counts)[owner], place == ends[owner] - 1, flat
+
+
+def _near(windows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """As nearest, with symbol -1 where none is near."""
+    symbol, error = np.full(len(windows), -1, np.int32), np.full(len(windows), np.nan)
+    wide = np.flatnonzero(windows.sum(axis=1) >= 8)
+    found, off = nearest(windows[wide], first)
+    near = off <= 0.22
+    symbol[wide[near]], error[wide[near]] = found[near], off[near]
+    return symbol, error
+
+
+def _symbol_of(first: int):
+    def read(symbols: pa.Array) -> pa.Array:
+        sizes, widths = _widths(symbols)
+        value, error = np.full(len(sizes), -1, np.int32), np.zeros(len(sizes))
+        six = np.flatnonzero(sizes == 6)
+        value[six], error[six] = _near(widths(six, 6), first)
+        return pa.StructArray.from_arrays([pa.array(error), pa.array(value)], names=["error", "value"], mask=pa.array(value < 0))
+
+    return F.arrow_udf(read, T.StructType([T.StructField("error", T.DoubleType()), T.StructField("value", T.IntegerType())]))
+
+
+def _code128_labels(labels: pa.Array) -> pa.Array:
+    """Texts of labels; null where a rule is broken."""
+    counts, owner, head, last, flat = _symbols(labels)
+    sizes, widths = _widths(flat)
+    value = np.full(len(owner), -1, np.int32)
+    whole = ((counts >= 4) & (counts <= 161))[owner]
+    at = np.flatnonzero(whole & head & (sizes == 6))
+    own = widths(at, 6)
+    module = np.full(len(counts), np.nan)
+    module[owner[at]] = own.sum(axis=1) / 11
+    value[at] = _near(own, START["A"])[0]
+    at = np.flatnonzero(whole & last & (sizes == 7))
+    value[at[stop_error(widths(at, 7)) < 0.2]] = 0
+    at = np.flatnonzero(whole & ~head & ~last & (sizes == 6))
+    own = widths(at, 6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = own.sum(axis=1) / 11 / module[owner[at]]
+    near = (ratio > 0.6) & (ratio < 1.5)
+    symbol = _near(own[near], 0)[0]
+    value[at[near]] = np.where(symbol < START["A"], symbol, -1)
+    sound = (counts > 0) & (np.bincount(owner[value < 0], minlength=len(counts)) == 0)
+    counts = counts[sound] - 1
+    symbols = np.zeros((len(counts), counts.max(initial=1)), np.int32)
+    symbols[np.arange(symbols.shape[1]) < counts[:, None]] = value[sound[owner] & ~last]
+    place = np.where(sound, np.cumsum(sound) - 1, -1)
+    return code128_texts(symbols, counts).take(pa.array(place, mask=~sound))
+
+
+def _letter_of(symbols: pa.Array) -> pa.Array:
+    letter, score = _scored(symbols)
+    return pa.StructArray.from_arrays([strings(letter[letter > 0], (letter > 0).astype(np.int64)), pa.array(score)], names=["letter", "score"], mask=pa.array(letter == 0))
+
+
+def _scored(symbols: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of symbols, 0 where there is none, and scores."""
+    sizes, widths = _widths(symbols)
+    letter, score = np.zeros(len(sizes), np.uint8), np.zeros(len(sizes))
+    nine = np.flatnonzero(sizes == 9)
+    own = widths(nine, 9)
+    some = own.min(axis=1, initial=np.inf) > 0
+    letter[nine[some]], _, off = letters(own[some])
+    score[nine[some]] = 1 - off / 2
+    return letter, score
+
+
+def _code39_texts(labels: pa.Array) -> pa.Array:
+    """Texts and least scores of labels; null where a letter breaks a rule."""
+    counts, owner, head, last, flat = _symbols(labels)
+    letter, score = _scored(flat)
+    wrong = (letter == 0) | ((letter == STAR) != (head | last))
+    sound = (counts >= 3) & (counts <= 100) & (np.bincount(owner[wrong], minlength=len(counts)) == 0)
+    least = np.full(len(counts), np.inf)
+    np.minimum.at(least, owner, score)
+    text = strings(letter[sound[owner] & ~head & ~last], np.where(sound, counts - 2, 0))
+    return pa.StructArray.from_arrays([text, pa.array(least)], names=["text", "score"], mask=pa.array(~sound))
+
+
+def _scored_text(name: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def code128_symbol(widths: Column, start: bool = False) -> Column:
@@ -57,11 +235,7 @@ def code128_symbol(widths: Column, start: bool = False) -> Column:
 
     start: among the three start symbols only.  Of equally near ones the first.
     """
-    first = 103 if start else 0
-    table = F.array(*[F.struct(F.lit(first + i).alias("value"), F.array(*[F.lit(float(c)) for c in w]).alias("modules")) for i, w in enumerate(WIDTHS[first:])])
-    nearest = lambda m: F.array_min(F.transform(table, lambda t: F.struct(_error(m, t["modules"], 6).alias("error"), t["value"].alias("value"))))
-    best = _bound(_modules(widths, 11), nearest)
-    return F.when((F.size(widths) == 6) & (_total(widths) >= 8), _bound(best, lambda x: F.when(x["error"] <= 0.22, x)))
+    return _symbol_of(START["A"] if start else 0)(widths.cast("array<double>"))
 
 
 def code128_label(symbols: Column) -> Column:
@@ -71,41 +245,12 @@ def code128_label(symbols: Column) -> Column:
     near one of the table, none after the first is a start symbol, its modules
     stay within 0.6 to 1.5 of the first one's, and the checksum holds.
     """
-    stop = F.array(*[F.lit(float(c)) for c in STOP])
-
-    def text(values: Column, start: Column) -> Column:
-        data = F.slice(values, 1, F.size(values) - 1)
-        sound = F.forall(values, lambda v: v.isNotNull() & (v < 103)) & (code128_check(start, data) == F.element_at(values, -1))
-        return F.when(sound, code128_text(start, data))
-
-    def label(found: Column) -> Column:
-        head, last = F.get(found, F.lit(0)), F.element_at(found, -1)
-
-        def read(module: Column) -> Column:
-            near = lambda w: _bound(_total(w) / 11 / module, lambda x: (x > 0.6) & (x < 1.5))
-            return F.transform(F.slice(found, 2, F.size(found) - 2), lambda w: F.when(near(w), code128_symbol(w)["value"]))
-
-        ends = (F.size(last) == 7) & (_bound(_modules(last, 13), lambda m: _error(m, stop, 7)) < 0.2)
-        start = code128_symbol(head, True)["value"]
-        return F.when(ends, _bound(start, lambda s: _bound(_bound(_total(head) / 11, read), lambda v: text(v, s))))
-
-    return F.when(F.size(symbols).between(4, 161), _bound(symbols, label))
+    return F.arrow_udf(_code128_labels, T.StringType())(symbols.cast("array<array<double>>"))
 
 
 def code39_letter(widths: Column) -> Column:
     """struct(letter, score) of nine widths, six narrow and three wide; null when they aren't such or no letter has them."""
-    letters = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (v, k)])
-
-    def read(sizes: Column) -> Column:
-        narrow, wide = sizes["narrow"], sizes["wide"]
-        is_wide = lambda w: w > (narrow + wide) / 2
-        letter = F.try_element_at(letters, F.array_join(F.transform(widths, lambda w: F.when(is_wide(w), "w").otherwise("n")), ""))
-        off = F.array_max(F.transform(widths, lambda w: F.abs(w - F.when(is_wide(w), wide).otherwise(narrow)))) / narrow
-        found = F.struct(letter.alias("letter"), off.alias("off"), (wide / narrow).between(1.45, 3.5).alias("ratio"))
-        return _bound(found, lambda x: F.when(x["ratio"] & x["letter"].isNotNull() & (x["off"] <= 0.65), F.struct(x["letter"].alias("letter"), (1 - x["off"] / 2).alias("score"))))
-
-    means = lambda w: F.struct((_total(F.slice(w, 1, 6)) / 6).alias("narrow"), (_total(F.slice(w, 7, 3)) / 3).alias("wide"))
-    return F.when((F.size(widths) == 9) & (F.array_min(widths) > 0), _bound(_bound(F.array_sort(widths), means), read))
+    return F.arrow_udf(_letter_of, _scored_text("letter"))(widths.cast("array<double>"))
 
 
 def code39_label(symbols: Column) -> Column:
@@ -113,17 +258,7 @@ def code39_label(symbols: Column) -> Column:
 
     There are 1 to 98 letters, stars only at the ends.
     """
-
-    def label(read: Column) -> Column:
-        return _bound(F.transform(read, lambda x: x["letter"]), lambda letters: _text(read, letters))
-
-    def _text(read: Column, letters: Column) -> Column:
-        inner = F.slice(letters, 2, F.size(letters) - 2)
-        ends = (F.get(letters, F.lit(0)) == "*") & (F.element_at(letters, -1) == "*")
-        sound = F.forall(letters, lambda x: x.isNotNull()) & ends & ~F.array_contains(inner, "*")
-        return F.when(sound, F.struct(F.array_join(inner, "").alias("text"), F.array_min(F.transform(read, lambda x: x["score"])).alias("score")))
-
-    return F.when(F.size(symbols).between(3, 100), _bound(F.transform(symbols, code39_letter), label))
+    return F.arrow_udf(_code39_texts, _scored_text("text"))(symbols.cast("array<array<double>>"))
 
 
 def code128_check(start: Column, values: Column) -> Column:

@@ -84,7 +84,7 @@ def _scanned(symbols, table):
 
 def scanned_labels(spark, sf_dir):
     """Brands as Code 128 in set B and parts' numbers as Code 39, read from widths; every seventh checksum is wrong."""
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part = dealt(_read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey", rows_per_task=20_000)
     letters = F.transform(F.filter(F.split("p_brand", ""), lambda c: c != ""), lambda c: F.ascii(c) - 32)
     check = (code128_check(F.lit(START["B"]), letters) + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)) % 103
     inner = F.concat(F.array(F.lit(START["B"])), letters, F.array(check))
