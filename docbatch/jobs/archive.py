@@ -102,7 +102,7 @@ def _label_rows(spark, sf_dir):
     Every fifth label is upside down, every seventh Code 128 checksum is wrong, every eleventh
     label is whole in only one row of the first scale; a strip of bars without a label stands before each.
     """
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 2 == 0).alias("_code39"))
+    part = dealt(_read(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 2 == 0).alias("_code39")), "p_partkey", rows_per_task=5_000)
     letters = F.transform(F.filter(F.split("p_brand", ""), lambda c: c != ""), lambda c: F.ascii(c) - 32)
     check = (code128_check(F.lit(START["B"]), letters) + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)) % 103
     pixels = 2 + F.col("p_partkey") % 4
@@ -116,13 +116,15 @@ def _label_rows(spark, sf_dir):
     strip = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.lit(7) + i % 2)
     upright = F.concat(F.array(F.lit(0)), strip, F.array(F.lit(60)), own, F.array(F.lit(50)))
     seen = F.when(F.col("p_partkey") % 5 == 0, F.reverse(upright)).otherwise(upright)
-    rows = part.select("p_partkey", seen.alias("_seen")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = part.select("p_partkey", seen.alias("_seen")).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(3))))
     flipped, factor = F.col("attempt") % 2 == 1, F.when(F.col("attempt") < 2, 2).otherwise(3)
-    blurred = (F.col("p_partkey") % 11 == 0) & (F.col("attempt") < 2) & (F.col("line") > 0)
     turned = F.when(flipped, F.reverse("_seen")).otherwise(F.col("_seen"))
-    runs = F.transform(F.when(blurred, F.slice(turned, 1, F.size(turned) - 14)).otherwise(turned), lambda w: (w * factor).cast("double"))
+    whole = F.transform(turned, lambda w: (w * factor).cast("double"))
     width = F.aggregate("_seen", F.lit(0).cast("long"), lambda a, w: a + w) * factor
-    return rows.select(F.col("p_partkey").alias("region"), "attempt", "line", flipped.alias("flipped"), width.alias("width"), factor.alias("factor"), (F.col("p_partkey") % 100).alias("left"), runs.alias("runs"), F.lit(False).alias("dark"))
+    rows = rows.select("p_partkey", "attempt", flipped.alias("flipped"), factor.alias("factor"), whole.alias("_whole"), width.alias("width")).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    blurred = (F.col("p_partkey") % 11 == 0) & (F.col("attempt") < 2) & (F.col("line") > 0)
+    runs = F.when(blurred, F.slice("_whole", 1, F.size("_whole") - 14)).otherwise(F.col("_whole"))
+    return rows.select(F.col("p_partkey").alias("region"), "attempt", "line", "flipped", "width", "factor", (F.col("p_partkey") % 100).alias("left"), runs.alias("runs"), F.lit(False).alias("dark"))
 
 
 def region_votes(spark, sf_dir):

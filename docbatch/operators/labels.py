@@ -11,115 +11,96 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docbatch.functions.codes import LETTERS, STOP, WIDTHS, code128_check, code128_text
-
-_SYMBOLS = np.array([[int(c) for c in w] for w in WIDTHS], float)
-_STOP = np.array([int(c) for c in STOP], float)
-_PATTERNS = {sum(1 << i for i, c in enumerate(p) if c == "w"): letter for letter, p in LETTERS.items()}
-_LETTER = np.array([_PATTERNS.get(i, "") for i in range(512)])
-_STAR = next(p for p, letter in _PATTERNS.items() if letter == "*")
-_BITS = 1 << np.arange(9)
+from docbatch.functions.codes import STAR, START, code128_texts, letters, nearest, stop_error, strings
+
 _MOST_SYMBOLS, _MOST_LETTERS = 160, 100
 _CHUNK = 1 << 18  # runs of rows that are searched together
 
-READING = "ord int, kind string, symbols array<int>, text string, x0 long, x1 long, score double"
+READING = "ord int, kind string, value string, x0 long, x1 long, score double"
 
 
 def _window(runs: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return runs[at[:, None] + np.arange(size)]
 
 
-def _nearest(window: np.ndarray, table: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of the table nearest to each window of six widths, and its mean squared difference in modules."""
-    modules = window * 11 / window.sum(axis=1, keepdims=True)
-    error = ((table[None] - modules[:, None]) ** 2).mean(axis=2)
-    best = error.argmin(axis=1)
-    return best + first, error[np.arange(len(best)), best]
-
-
-def _code128(runs: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
-    """(start, end, symbols, score) of label candidates; starts are dark runs, rows span first to last.
+def _code128(runs: np.ndarray, dark: np.ndarray, before: np.ndarray, last: np.ndarray) -> tuple:
+    """(starts, ends, texts, scores) of labels, texts null where wrong; dark: the bars, before: widths of the gaps before them, last: ends of rows.
 
     All candidates move on together, a symbol a step.
     """
-    fits = starts + 26 <= last[starts]
-    starts = starts[fits]
-    head = _window(runs, starts, 6)
-    total = head.sum(axis=1)
-    before = np.where(starts == first[starts], np.inf, runs[np.maximum(starts - 1, 0)])
-    kept = (total >= 8) & (before >= 3 * total / 11)
-    starts, head, total = starts[kept], head[kept], total[kept]
-    if not len(starts):
-        return []
-    symbol, error = _nearest(head, _SYMBOLS[103:], 103)
+    n = max(len(runs) - 25, 0)
+    total = runs[:n]
+    for k in range(1, 6):
+        total = total + runs[k : n + k]
+    starts = np.flatnonzero(dark[:n] & (total >= 8) & (before[:n] >= 3 * total / 11))
+    starts = starts[starts + 26 <= last[starts]]
+    symbol, error = nearest(_window(runs, starts, 6), START["A"])
     kept = error <= 0.22
-    starts, module = starts[kept], total[kept] / 11
+    starts = starts[kept]
+    module = total[starts] / 11
     symbols = np.zeros((len(starts), _MOST_SYMBOLS), np.int32)
-    symbols[:, 0] = symbol[kept]
-    sums, found = error[kept], []
+    symbols[:, :1] = symbol[kept, None]
+    sums, counts, ends = error[kept], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     live = np.arange(len(starts))
     for n in range(1, _MOST_SYMBOLS):
-        at = starts[live] + 6 * n
-        live, at = live[at + 7 <= last[starts[live]]], at[at + 7 <= last[starts[live]]]
+        end = starts[live] + 6 * n + 7
+        inside = end <= last[starts[live]]
+        live, end = live[inside], end[inside]
         if not len(live):
             break
-        tail = _window(runs, at, 7)
-        off = ((tail * 13 / np.maximum(tail.sum(axis=1, keepdims=True), 1e-300) - _STOP) ** 2).mean(axis=1)
-        end = at + 7
+        tail = _window(runs, end - 7, 7)
         after = np.where(end == last[starts[live]], np.inf, runs[np.minimum(end, len(runs) - 1)])
-        ends = (off < 0.2) & (n >= 3) & (after >= 3 * module[live])
-        found += [(int(starts[i]), int(e), symbols[i, :n].tolist(), 1 - min(1.0, sums[i] / n)) for i, e in zip(live[ends], end[ends], strict=True)]
-        live, own = live[~ends], tail[~ends, :6]
-        total = own.sum(axis=1)
-        ratio = total / 11 / module[live]
-        near = (total >= 8) & (ratio > 0.6) & (ratio < 1.5)
+        over = (stop_error(tail) < 0.2) & (n >= 3) & (after >= 3 * module[live])
+        counts[live[over]], ends[live[over]] = n, end[over]
+        live, own = live[~over], tail[~over, :6]
+        size = own.sum(axis=1)
+        ratio = size / 11 / module[live]
+        near = (size >= 8) & (ratio > 0.6) & (ratio < 1.5)
         live, own = live[near], own[near]
-        if not len(live):
-            break
-        symbol, error = _nearest(own, _SYMBOLS, 0)
-        good = (error <= 0.22) & (symbol < 103)
+        symbol, error = nearest(own)
+        good = (error <= 0.22) & (symbol < START["A"])
         live = live[good]
         symbols[live, n] = symbol[good]
         sums[live] += error[good]
-    return found
-
-
-def _code39(runs: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
-    """(start, end, text, score) of labels from star to star."""
+    found = np.flatnonzero(counts)
+    counts = counts[found]
+    texts = code128_texts(symbols[found, : counts.max(initial=1)], counts)
+    return starts[found], ends[found], texts, 1 - np.minimum(1.0, sums[found] / counts)
+
+
+def _code39(runs: np.ndarray, dark: np.ndarray, before: np.ndarray, last: np.ndarray) -> tuple:
+    """(starts, ends, texts, scores) of labels from star to star; arguments as for _code128."""
+    n = max(len(runs) - 8, 0)
+    up, down = runs[1:] > runs[:-1], runs[1:] < runs[:-1]
+    # the wide ones of a star are its second, fifth and seventh, and its first is narrower than any gap before it
+    star = up[:n] & down[1 : n + 1] & up[3 : n + 3] & down[4 : n + 4] & up[5 : n + 5] & down[6 : n + 6]
+    starts = np.flatnonzero(dark[:n] & star & (before[:n] > runs[:n]))
     starts = starts[starts + 9 <= last[starts]]
-    texts, live, found = [[] for _ in starts], np.arange(len(starts)), []
-    score = np.ones(len(starts))
+    texts, live = np.zeros((len(starts), _MOST_LETTERS), np.uint8), np.arange(len(starts))
+    score, counts, ends = np.ones(len(starts)), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     for n in range(_MOST_LETTERS):
-        at = starts[live] + 10 * n
-        inside = at + 9 <= last[starts[live]]
-        live, at = live[inside], at[inside]
+        end = starts[live] + 10 * n + 9
+        inside = end <= last[starts[live]]
+        live, end = live[inside], end[inside]
         if not len(live):
             break
-        own = _window(runs, at, 9)
-        sizes = np.sort(own, axis=1)
-        narrow, wide = sizes[:, :6].mean(axis=1), sizes[:, 6:].mean(axis=1)
-        is_wide = own > ((narrow + wide) / 2)[:, None]
-        code = (is_wide * _BITS).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = wide / narrow
-            off = np.abs(own - np.where(is_wide, wide[:, None], narrow[:, None])).max(axis=1) / narrow
-        good = (ratio >= 1.45) & (ratio <= 3.5) & (off <= 0.65) & (_LETTER[code] != "")
-        star = good & (code == _STAR)
-        end = at + 9
+        letter, narrow, off = letters(_window(runs, end - 9, 9))
+        good, star = letter > 0, letter == STAR
         over = end == last[starts[live]]
         after = np.where(over, np.inf, runs[np.minimum(end, len(runs) - 1)])
-        before = np.where(starts[live] == first[starts[live]], np.inf, runs[np.maximum(starts[live] - 1, 0)])
-        score[live] = np.where(good, np.minimum(score[live], 1 - off / 2), score[live])
+        quiet = before[starts[live]] >= 3 * narrow
+        score[live[good]] = np.minimum(score[live[good]], 1 - off[good] / 2)
         if n == 0:
-            on = star & (before >= 3 * narrow)
+            on = star & quiet
         else:
-            done = star & (n > 1) & (before >= 3 * narrow) & (after >= 3 * narrow)
-            found += [(int(starts[i]), int(e), "".join(texts[i]), float(score[i])) for i, e in zip(live[done], end[done], strict=True)]
+            done = star & (n > 1) & quiet & (after >= 3 * narrow)
+            counts[live[done]], ends[live[done]] = n - 1, end[done]
             on = good & ~star
-            for i, letter in zip(live[on], _LETTER[code[on]], strict=True):
-                texts[i].append(str(letter))
+            texts[live[on], n - 1] = letter[on]
         live = live[on & ~over & (after <= 1.8 * narrow)]
-    return found
+    found = np.flatnonzero(counts)
+    texts = texts[found]
+    return starts[found], ends[found], strings(texts[np.arange(_MOST_LETTERS) < counts[found, None]], counts[found]), score[found]
 
 
 def _search(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +120,29 @@ def _search_rows(b: pa.RecordBatch, keep: list[str]) -> pa.RecordBatch:
     runs = pc.fill_null(pc.list_flatten(lists), 0.0).to_numpy(zero_copy_only=False)
     row_ends = np.cumsum(sizes)
     row = np.repeat(np.arange(b.num_rows), sizes)
-    first, last = (row_ends - sizes)[row], row_ends[row]
-    dark = pc.fill_null(b.column("_dark"), False).to_numpy(zero_copy_only=False)[row]
-    starts = np.flatnonzero(dark ^ ((np.arange(len(runs)) - first) % 2 == 1))
-    labels = [(s, 0, e, symbols, None, score) for s, e, symbols, score in _code128(runs, starts, first, last)]
-    labels += [(s, 1, e, None, text, score) for s, e, text, score in _code39(runs, starts, first, last)]
-    labels.sort(key=lambda x: (row[x[0]], x[1], x[0]))
-    rows = np.array([row[x[0]] for x in labels], np.int64)
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    ruler = [np.concatenate([[0.0], np.cumsum(runs[row_ends[r] - sizes[r] : row_ends[r]])]) for r in rows]
-    columns = [
-        pa.array(place.astype(np.int32)), pa.array([("Code 128", "Code 39")[x[1]] for x in labels], pa.string()), pa.array([x[3] for x in labels], pa.list_(pa.int32())), pa.array([x[4] for x in labels], pa.string()),
-        pa.array([int(u[x[0] - first[x[0]]]) for u, x in zip(ruler, labels, strict=True)], pa.int64()), pa.array([int(u[x[2] - first[x[0]]]) for u, x in zip(ruler, labels, strict=True)], pa.int64()), pa.array([x[5] for x in labels], pa.float64()),
-    ]
-    return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(rows)) for c in keep], *columns], names=[*keep, *(f.split()[0] for f in READING.split(", "))])
+    last, odd = row_ends[row], (row_ends - sizes) & 1
+    light = pc.fill_null(b.column("_dark"), False).to_numpy(zero_copy_only=False) == (odd == 1)  # runs at even places of the slice
+    dark = light[row] ^ (np.arange(len(runs)) & 1 == 0)
+    before = np.concatenate([[np.inf], runs[:-1]])[: len(runs)]
+    before[(row_ends - sizes)[sizes > 0]] = np.inf
+    kinds = [_code128(runs, dark, before, last), _code39(runs, dark, before, last)]
+    starts, ends, score = (np.concatenate([k[i] for k in kinds]) for i in (0, 1, 3))
+    kind = np.repeat([0, 1], [len(k[0]) for k in kinds])
+    order = np.lexsort((starts, kind, row[starts]))
+    starts, ends, score, kind = starts[order], ends[order], score[order], kind[order]
+    rows = row[starts]
+    value = pa.concat_arrays([k[2] for k in kinds]).take(pa.array(order))
+    begin = (row_ends - sizes)[rows]
+    edges = np.concatenate([[0.0], np.cumsum(runs)])
+    if (runs == np.floor(runs)).all() and np.abs(runs).sum() < 1 << 53:  # sums of whole widths are exact
+        x0, x1 = edges[starts] - edges[begin], edges[ends] - edges[begin]
+    else:
+        for r in np.unique(rows).tolist():
+            np.cumsum(runs[row_ends[r] - sizes[r] : row_ends[r]], out=edges[row_ends[r] - sizes[r] + 1 : row_ends[r] + 1])
+        x0, x1 = np.where(starts == begin, 0.0, edges[starts]), edges[ends]
+    columns = [pa.array((np.arange(len(rows)) - np.searchsorted(rows, rows)).astype(np.int32)), pa.array(["Code 128", "Code 39"]).take(pa.array(kind)), value, pa.array(x0.astype(np.int64)), pa.array(x1.astype(np.int64)), pa.array(score)]
+    found = pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(rows)) for c in keep], *columns], names=[*keep, *(f.split()[0] for f in READING.split(", "))])
+    return found.filter(pc.is_valid(value))
 
 
 def read_rows(rows: DataFrame, runs: str = "runs", dark: str = "dark") -> DataFrame:
@@ -167,10 +157,7 @@ def read_rows(rows: DataFrame, runs: str = "runs", dark: str = "dark") -> DataFr
     keep = [c for c in rows.columns if c not in (runs, dark)]
     plain = rows.select(*[f"`{c}`" for c in keep], F.col(runs).cast("array<double>").alias("_runs"), F.col(dark).cast("boolean").alias("_dark"))
     schema = T.StructType([*rows.select(*[f"`{c}`" for c in keep]).schema.fields, *T._parse_datatype_string(READING).fields])
-    found = plain.mapInArrow(lambda batches: _search(batches, keep), schema)
-    start, data, check = F.get("symbols", F.lit(0)), F.slice("symbols", 2, F.greatest(F.size("symbols") - 2, F.lit(0))), F.element_at("symbols", -1)
-    value = F.when(F.col("kind") == "Code 39", F.col("text")).when(code128_check(start, data) == check, code128_text(start, data))
-    return found.withColumn("value", value).where("value IS NOT NULL").select(*[f"`{c}`" for c in keep], "ord", "kind", "value", "x0", "x1", "score")
+    return plain.mapInArrow(lambda batches: _search(batches, keep), schema)
 
 
 def region_labels(readings: DataFrame, least: int = 2) -> DataFrame:

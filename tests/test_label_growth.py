@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
-from docbatch.functions.codes import STOP, WIDTHS, code39_label, code128_label, code128_text, code128_texts
+from docbatch.functions.codes import STOP, WIDTHS, code39_label, code128_label, code128_text, code128_texts, nearest
 from docbatch.jobs import archive as archive_jobs
+from docbatch.operators.labels import read_rows
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,23 @@ def test_broken_widths_are_no_label(spark):
     frame = spark.createDataFrame(list(enumerate(rows)), "i int, s array<array<double>>").coalesce(1)
     got = frame.select("i", code128_label(F.col("s")).alias("t"), code39_label(F.col("s"))["text"].alias("u")).orderBy("i").collect()
     assert [r["t"] for r in got] == ["AA"] + [None] * 7 and all(r["u"] is None for r in got)
+
+
+def test_nearest_against_all_symbols():
+    table = np.array([[int(c) for c in w] for w in WIDTHS], float)
+    assert min(((a - b) ** 2).sum() for i, a in enumerate(table) for b in table[:i]) == 2
+    rnd = np.random.default_rng(5)
+    near = table[rnd.integers(0, 106, 20_000)] * 3 + rnd.normal(0, 1, (20_000, 6)) * rnd.choice([0, 0.3, 0.8, 1.5], (20_000, 1))
+    windows = np.concatenate([np.abs(near), rnd.integers(1, 5, (5000, 6)), rnd.uniform(0.1, 60, (5000, 6)), [[np.inf, 1, 1, 1, 1, 1], [np.nan] * 6, [1e300, 1, 1, 1, 1, 1]]])
+    for first in (0, 103):
+        with np.errstate(invalid="ignore"):
+            off = ((table[None, first:] - (windows * 11 / windows.sum(axis=1, keepdims=True))[:, None]) ** 2).mean(axis=2)
+        symbol, error = nearest(windows, first)
+        assert (symbol == off.argmin(axis=1) + first).all() and np.array_equal(error, off.min(axis=1), equal_nan=True)
+
+
+def test_region_rows_dealt_and_read_once(spark):
+    rows = archive_jobs._label_rows(spark, SF)
+    assert rows.rdd.getNumPartitions() >= 4
+    text = read_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "lambda" not in text[: text.index("MapInArrow")]  # nothing is decoded again after the search
