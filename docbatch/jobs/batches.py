@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docbatch.operators import archive, grouping, publish, review
 from docbatch.sources import fixtures
-from docbatch.sources.shared import fresh_folder
+from docbatch.sources.shared import fresh_folder, stored
 
 
 def _conversations(spark, sf_dir):
@@ -18,8 +18,8 @@ def published_documents(spark, sf_dir):
     """Every batch that nothing blocks, published to a fresh shared folder and read back as committed jobs: folders, file names, pages in order, sizes."""
     pages = _conversations(spark, sf_dir).withColumns({"source_signature": F.struct(F.lit(1).cast("long").alias("size"), F.lit(2).cast("long").alias("mtime_ns")), "stamp": F.lit("blue")})
     payload = pages.select("source", "idx", F.encode("text", "utf-8").alias("content"))
+    pages = stored(pages.drop("text"), "pages")
     current = pages.select("source", F.col("source_signature").alias("signature")).distinct()
-    pages = pages.drop("text")
     ready = grouping.approval_problems(pages).where("problem = ''").select("source")
     ready = ready.join(publish.publication_problems(pages, payload, current), "source", "left_anti")
     number = F.substring("source", 6, 20).cast("long")
@@ -27,9 +27,9 @@ def published_documents(spark, sf_dir):
     jobs = ready.select(number.alias("id"), "source", created.alias("created"), F.concat(F.lit("Scan/"), (number % 3).cast("string")).alias("label"))
     root = fresh_folder(spark, "archive")
     publish.publish(pages, payload, jobs, root, current)
-    done = publish.published_jobs(spark, root).select("job", "archive_date", "archive_dir", "mode", "committed")
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "source_page"))), lambda p: p["source_page"].cast("string")), ",")
-    documents = publish.published_pages(spark, root).groupBy("job", "file").agg(listed.alias("pages"), F.sum("n_bytes").alias("size"))
+    listing = stored(publish.document_listing(spark, root), "listing")  # every folder is opened once
+    done = publish.published_jobs(spark, root, listing).where("committed").select("job", "archive_date", "archive_dir", "mode", "committed")
+    documents = listing.select("job", F.col("name").alias("file"), F.array_join(F.transform("source_pages", lambda p: p.cast("string")), ",").alias("pages"), "size")
     return documents.join(done, "job").select("job", "archive_date", "archive_dir", "file", "pages", "size", "mode", "committed")
 
 

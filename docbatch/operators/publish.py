@@ -24,7 +24,7 @@ from docbatch.functions.text import safe_filename
 from docbatch.operators.archive import claim_names, committed, source_drift
 from docbatch.operators.grouping import page_runs
 from docbatch.operators.saving import archive_folders
-from docbatch.sources.shared import exists, remove
+from docbatch.sources.shared import exists, read_folders, read_narrow, remove, stored, write_folders
 
 PAGE = "struct<source:string,page:int,state:string,manual:boolean,stamp:string>"
 MANIFEST = f"job string, source string, archive_dir string, file string, number string, written timestamp, part int, pages array<{PAGE}>"
@@ -95,11 +95,11 @@ def _manifests(pages: DataFrame, jobs: DataFrame, root: str, grouping: str, writ
     # the dates of one batch of jobs are days, some thousands at most
     dates = jobs.select(F.date_format("created", "yyyy-MM-dd").alias("archive_date")).distinct()
     folders = archive_folders(jobs, taken_folders(spark, root, dates)).select(F.col("id").cast("string").alias("job"), "source", "archive_date", "archive_dir")
-    documents = document_pages(pages, grouping).join(folders, "source")
     folder = F.concat_ws("/", "archive_date", "archive_dir")
+    documents = stored(document_pages(pages, grouping).join(folders, "source").withColumn("folder", folder), "documents")
     stem = F.coalesce(safe_filename(F.col("number")), F.raise_error(F.concat(F.lit("no file name in number "), F.col("number"))).cast("string"))
-    names = claim_names(documents.select(folder.alias("folder"), stem.alias("stem"), "cover_idx"), spark.createDataFrame([], "folder string, stem string, number int"), "cover_idx")
-    named = documents.withColumn("folder", folder).join(names.select("folder", "cover_idx", F.col("name").alias("file")), ["folder", "cover_idx"])
+    names = claim_names(documents.select("folder", stem.alias("stem"), "cover_idx"), spark.createDataFrame([], "folder string, stem string, number int"), "cover_idx")
+    named = documents.join(names.select("folder", "cover_idx", F.col("name").alias("file")), ["folder", "cover_idx"])
     before = F.sum(F.size("pages")).over(Window.partitionBy("folder").orderBy("cover_idx")) - F.size("pages")
     return named.select("job", "source", "archive_date", "archive_dir", "file", "number", written.alias("written"), F.floor(before / rows_per_file).cast("int").alias("part"), "pages")
 
@@ -116,7 +116,10 @@ def publish(pages: DataFrame, payload: DataFrame, jobs: DataFrame, root: str, cu
     """
     spark = pages.sparkSession
     batch = batch or "b" + uuid.uuid4().hex  # never read as a number
-    mine = pages.join(jobs.select("source"), "source", "left_semi")
+    # both are read many times: what they come from is worked out once
+    jobs = stored(jobs.select("id", "source", "created", "label"), "jobs")
+    used = [c for c in ("source", "idx", "number", "effective_state", "decision", "stamp", "source_signature") if c in pages.columns]
+    mine = stored(pages.select(*used).join(jobs.select("source"), "source", "left_semi"), "pages")
     _stop_on(jobs.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").select("source", F.lit("several_jobs")), "not published")
     _stop_on(jobs.select("source").join(mine.select("source").distinct(), "source", "left_anti").select("source", F.lit("no_pages")), "not published")
     _stop_on(publication_problems(mine, payload, current, grouping), "not published")
@@ -130,8 +133,8 @@ def publish(pages: DataFrame, payload: DataFrame, jobs: DataFrame, root: str, cu
         content = payload.select("source", (F.col("idx") + 1).cast("int").alias("source_page"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("n_bytes"), "content")
         rows = wanted.join(content, ["source", "source_page"]).select("job", "archive_date", "archive_dir", "part", "file", "page", "source", "source_page", "n_bytes", "content")
         # a folder's documents lie together, rows_per_file pages to a task and file; a document is never cut
-        rows.repartition("archive_date", "archive_dir", "part").sortWithinPartitions("archive_date", "archive_dir", "file", "page").drop("part").write.partitionBy("archive_date", "archive_dir").parquet(place["pages"])
-        sizes = document_listing(spark, root, batch)
+        write_folders(rows.repartition("archive_date", "archive_dir", "part").sortWithinPartitions("archive_date", "archive_dir", "file", "page").drop("part"), place["pages"], "archive_date", "archive_dir")
+        sizes = stored(document_listing(spark, root, batch).drop("source_pages"), "sizes")
         counted = manifests.select("job", F.col("file").alias("name"), F.size("pages").cast("long").alias("wanted")).join(sizes, ["job", "name"], "full")
         _stop_on(counted.where("NOT (wanted <=> pages) OR NOT (wanted <=> distinct_pages)").select("job", "name", "wanted", "pages"), "pages on disk differ from the manifests")
         source = manifests.groupBy("job").agg(F.first("source").alias("source"), F.first("archive_date").alias("archive_date"), F.first("archive_dir").alias("archive_dir"))
@@ -146,22 +149,29 @@ def publish(pages: DataFrame, payload: DataFrame, jobs: DataFrame, root: str, cu
 
 
 def document_listing(spark: SparkSession, root: str, batch: str | None = None) -> DataFrame:
-    """The documents on disk: job, name, size in bytes, pages, distinct_pages; no content is read.  A document's pages are bounded as its source's are."""
+    """The documents on disk: job, name, size in bytes, pages, distinct_pages, source_pages in order; no content is read.  A document's pages are bounded as its source's are."""
     path = f"{root}/pages" + (f"/batch={batch}" if batch else "")
-    return spark.read.parquet(path).groupBy("job", F.col("file").alias("name")).agg(F.sum("n_bytes").alias("size"), F.count("*").alias("pages"), F.size(F.collect_set("page")).cast("long").alias("distinct_pages"))
+    columns = {"job": "string", "file": "string", "page": "int", "source_page": "int", "n_bytes": "long"}
+    rows = read_narrow(spark, path, columns, 2 if batch else 3)
+    ordered = F.sort_array(F.collect_list(F.struct("page", "source_page")))
+    return rows.groupBy("job", F.col("file").alias("name")).agg(F.sum("n_bytes").alias("size"), F.count("*").alias("pages"), F.size(F.collect_set("page")).cast("long").alias("distinct_pages"), F.transform(ordered, lambda p: p["source_page"]).alias("source_pages"))
 
 
-def published_jobs(spark: SparkSession, root: str) -> DataFrame:
-    """Per marked job its marker and whether every listed document is there in its size: job, source, mode, time, archive_date, archive_dir, files (their number), committed."""
+def published_jobs(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    """Per marked job its marker and whether every listed document is there in its size: job, source, mode, time, archive_date, archive_dir, files (their number), committed.
+
+    listing: that of document_listing, where it is at hand.
+    """
     if not exists(spark, f"{root}/markers"):
         return spark.createDataFrame([], MARKER.replace("files array<struct<name:string,size:long>>", "files long, committed boolean"))
     markers = spark.read.schema(MARKER).json(f"{root}/markers")
     listed = markers.select("job", F.explode_outer("files").alias("_f")).select("job", "_f.name", "_f.size")
-    done = committed(listed, document_listing(spark, root).select("job", "name", "size"))
+    there = document_listing(spark, root) if listing is None else listing
+    done = committed(listed, there.select("job", "name", "size"))
     return markers.drop("files").join(done, "job")
 
 
 def published_pages(spark: SparkSession, root: str) -> DataFrame:
     """The pages of committed jobs; those of any other are passed over."""
     done = published_jobs(spark, root).where("committed").select("job")
-    return spark.read.parquet(f"{root}/pages").join(done, "job", "left_semi")
+    return read_folders(spark, f"{root}/pages", "batch", "archive_date", "archive_dir").join(done, "job", "left_semi")
